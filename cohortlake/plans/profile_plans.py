@@ -254,7 +254,7 @@ def crosstab(spark: SparkSession, d: str) -> DataFrame:
       CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) AS days,
       CAST(o_orderdate AS DATE) + 30 AS supply_end, round(o_totalprice / 7, 2) AS rounded,
       CAST(floor(o_totalprice / 1000) AS BIGINT) AS thousands,
-      CASE WHEN o_custkey > 0 THEN round(o_totalprice / o_custkey, 4) END AS ratio, abs(1000 - o_totalprice) AS gap,
+      CASE WHEN o_custkey > 0 THEN o_totalprice / o_custkey END AS ratio, abs(1000 - o_totalprice) AS gap,
       CASE WHEN o_orderstatus = 'F' THEN 1 WHEN o_orderstatus = 'O' THEN 2 ELSE 0 END AS kind,
       coalesce(nullif(o_orderstatus, 'P'), 'none') AS filled, CAST(nullif(o_orderstatus, 'P') IS NULL AS INTEGER) AS was_null,
       try_cast(substr(o_orderpriority, 1, 1) AS INTEGER) + 1 AS priority_plus,
@@ -273,7 +273,7 @@ def scalars(spark: SparkSession, d: str) -> DataFrame:
         F.datediff(day, F.lit("1995-01-01").cast("date")).alias("days"),
         F.date_add(day.cast("date"), 30).alias("supply_end"), F.round(price / 7, 2).alias("rounded"),
         F.floor(price / 1000).alias("thousands"),
-        F.round(F.try_divide(price, F.col("o_custkey")), 4).alias("ratio"), F.abs(1000 - price).alias("gap"),
+        F.try_divide(price, F.col("o_custkey")).alias("ratio"), F.abs(1000 - price).alias("gap"),
         recode(status, {1: ["F"], 2: ["O"]}, 0).alias("kind"),
         F.coalesce(known, F.lit("none")).alias("filled"), known.isNull().cast("int").alias("was_null"),
         (F.substring(priority, 1, 1).try_cast("int") + 1).alias("priority_plus"),
