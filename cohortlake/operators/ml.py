@@ -170,21 +170,25 @@ def batch_score(spark: SparkSession, path: str, df: DataFrame, keys: Sequence[st
     return score(PipelineModel.load(path), df).select(*keys, "probability_col", "prediction")
 
 
-def attribute_names(df: DataFrame, column: str = FEATURES) -> list[str]:
-    """Vector slot names from the column metadata, in slot order."""
+def attribute_names(df: DataFrame, column: str = FEATURES, scaled: Sequence[str] = ()) -> list[str]:
+    """Vector slot names from the column metadata, in slot order.
+
+    Scaling drops the names of the numeric block; ``scaled`` lists them in order.
+    """
     attrs = df.schema[column].metadata["ml_attr"]["attrs"]
     slots = [a for block in attrs.values() for a in block]
-    return [a["name"] for a in sorted(slots, key=lambda a: a["idx"])]
+    given = {f"numeric_scaled_{i}": name for i, name in enumerate(scaled)}
+    return [given.get(a["name"], a["name"]) for a in sorted(slots, key=lambda a: a["idx"])]
 
 
-def importance_table(model: PipelineModel, sample: DataFrame) -> DataFrame:
+def importance_table(model: PipelineModel, sample: DataFrame, scaled: Sequence[str] = ()) -> DataFrame:
     """Feature, value and absolute value: coefficients of a linear learner or tree gains.
 
     The table has one row per vector slot, so it is as small as the model itself.
     """
     learner = model.stages[-1]
     values = learner.coefficients if hasattr(learner, "coefficients") else learner.featureImportances
-    names = attribute_names(model.transform(sample))
+    names = attribute_names(model.transform(sample), scaled=scaled)
     rows = [(n, float(v), abs(float(v))) for n, v in zip(names, values.toArray())]
     return sample.sparkSession.createDataFrame(rows, "feature string, value double, importance double")
 

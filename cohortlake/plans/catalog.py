@@ -1,4 +1,6 @@
 """All registered queries."""
 
-from cohortlake.plans import acute_plans, claim_plans, evaluation_plans, feature_plans, panel_plans, profile_plans  # noqa: F401
+from cohortlake.plans import (  # noqa: F401
+    acute_plans, claim_plans, evaluation_plans, feature_plans, ml_plans, panel_plans, profile_plans,
+)
 from cohortlake.plans.registry import ORACLES, QUERIES  # noqa: F401
