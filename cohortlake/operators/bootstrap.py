@@ -101,14 +101,16 @@ def auc_replicates(weighted: DataFrame, scored: DataFrame, score: str, label: st
         F.sum(F.when(F.col(label) == 1, w).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col(label) == 0, w).otherwise(0)).alias("neg"),
     )
-    return auc_from_counts(counts, score, score_bounds(scored, score, 64), ["replicate"])
+    return auc_from_counts(counts, score, score_bounds(scored, score, 8), ["replicate"])
 
 
 def bootstrap_ci(scored: DataFrame, key: Column, label: str, prediction: str, score: str, replicates: int,
                  fraction: float, salt: str) -> DataFrame:
     """Percentile intervals of the classification metrics and AUC."""
     narrow = scored.select(key.cast("string").alias("__key"), label, prediction, score)
-    weighted = weighted_replicates(narrow, F.col("__key"), replicates, fraction, salt)
+    drawn = weighted_replicates(narrow, F.col("__key"), replicates, fraction, salt)
+    # both kinds of metric read this one aggregate, whose shuffle they share
+    weighted = drawn.groupBy("replicate", score, label, prediction).agg(F.sum("weight").alias("weight"))
     metrics = percentile_interval(classification_replicates(weighted, label, prediction), CLASSIFICATION)
     auc = percentile_interval(auc_replicates(weighted, narrow, score, label), ["auc"])
     return metrics.unionByName(auc)

@@ -47,11 +47,17 @@ def confusion_metrics(df: DataFrame, label: str, prediction: str, group: Sequenc
     return cells.select(*group, *CELLS, *[c.alias(n) for n, c in rounded.items()])
 
 
-def score_bounds(df: DataFrame, score: str, buckets: int = 256) -> Column:
-    """Bucket boundaries with about equally many distinct scores between them, as a scalar
-    array subquery. The array length is fixed, whatever the data size."""
-    steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    return df.select(score).distinct().agg(F.percentile_approx(score, steps, 10_000)).scalar()
+def score_bounds(df: DataFrame, score: str, fan_out: int = 16) -> Column:
+    """Bounds cutting the rows into ``fan_out`` squared parts of about equal size by score, as
+    a scalar subquery: coarse bounds, and for each coarse part its fine bounds. Their number
+    is fixed, whatever the data size, and the sketch behind them needs no shuffle of rows.
+    A score shared by many rows only makes some parts empty."""
+    parts = fan_out * fan_out
+    steps = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    bounds = df.agg(F.percentile_approx(score, steps, 2_000).alias("b"))
+    coarse = F.array(*[F.col("b")[fan_out * i - 1] for i in range(1, fan_out)])
+    fine = F.array(*[F.slice("b", fan_out * i + 1, fan_out - 1) for i in range(fan_out)])
+    return bounds.select(F.struct(coarse.alias("coarse"), fine.alias("fine"))).scalar()
 
 
 def auc_from_counts(counts: DataFrame, score: str, bounds: Column, group: Sequence[str] = (),
@@ -62,8 +68,15 @@ def auc_from_counts(counts: DataFrame, score: str, bounds: Column, group: Sequen
     ``bounds`` instead: ranks inside a bucket come from a window on (group, bucket), and
     the negatives below a bucket from a window over the few bucket totals. Ties count half.
     """
-    bucketed = counts.withColumn("__bounds", bounds).withColumn(
-        "__bucket", F.size(F.filter("__bounds", lambda b: b < F.col(score)))
+
+    def passed(values: Column) -> Column:
+        return F.size(F.filter(values, lambda b: b < F.col(score)))
+
+    bucketed = (
+        counts.withColumn("__bounds", bounds)
+        .withColumn("__part", passed(F.col("__bounds.coarse")))
+        .withColumn("__bucket", F.col("__part") * 1000 + passed(F.col("__bounds.fine")[F.col("__part")]))
+        .drop("__bounds", "__part")
     )
     inside = Window.partitionBy(*group, "__bucket").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     ranked = bucketed.withColumn("__below", F.coalesce(F.sum(negatives).over(inside), F.lit(0)))
@@ -73,7 +86,7 @@ def auc_from_counts(counts: DataFrame, score: str, bounds: Column, group: Sequen
     )
     lower = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     placed = totals.withColumn("__before", F.coalesce(F.sum("n").over(lower), F.lit(0)))
-    wins = F.sum(F.col("u2") + 2 * F.col("p") * F.col("__before")).cast("double")
+    wins = F.sum((F.col("u2") + 2 * F.col("p") * F.col("__before")).cast("decimal(38,0)")).cast("double")
     pairs = F.sum("p").cast("double") * F.sum("n").cast("double")
     return placed.groupBy(*group).agg(
         F.sum("p").alias("positives"), F.sum("n").alias("negatives"),
@@ -81,12 +94,12 @@ def auc_from_counts(counts: DataFrame, score: str, bounds: Column, group: Sequen
     )
 
 
-def auc_rank(df: DataFrame, score: str, label: str, buckets: int = 256) -> DataFrame:
+def auc_rank(df: DataFrame, score: str, label: str, fan_out: int = 16) -> DataFrame:
     """Exact AUC of one scored set."""
     counts = df.groupBy(score).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
-    return auc_from_counts(counts, score, score_bounds(df, score, buckets))
+    return auc_from_counts(counts, score, score_bounds(df, score, fan_out))
 
 
 def regression_sums(actual: str, predicted: str, weight: Column | None = None) -> list[Column]:

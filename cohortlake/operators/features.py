@@ -161,17 +161,34 @@ def impute_group_mean(df: DataFrame, group: str, columns: Sequence[str]) -> Data
     return joined.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])
 
 
+BITS = 62
+
+
 def group_indicators(events: DataFrame, crosswalk: DataFrame, keys: Sequence[str], code: str, group: str,
                      values: Sequence[str]) -> DataFrame:
     """0/1 per disease group: inner lookup drops unlisted codes, names are trimmed.
 
-    A code may belong to several groups, so the crosswalk is only made distinct. Events
-    are reduced to distinct (member, code) before the lookup.
+    A code may belong to several groups, so the crosswalk is only made distinct. Each
+    group is one bit: a member's groups are OR-ed into one long per 62 groups, and that
+    is all the shuffle carries, instead of one column per group.
     """
-    pairs = crosswalk.select(code, F.trim(group).alias(group)).distinct()
+    names = F.array(*[F.lit(x) for x in values])
+    slots = (
+        crosswalk.select(code, (F.array_position(names, F.trim(group)) - 1).alias("__slot"))
+        .where(F.col("__slot") >= 0).distinct()
+    )
     unique = events.select(*keys, code).distinct()
-    matched = unique.join(pairs, code, "inner")
-    return matched.groupBy(*keys).agg(*[F.max((F.col(group) == v).cast("int")).alias(v) for v in values])
+    slot = F.col("__slot")
+    words = (len(values) + BITS - 1) // BITS
+    masks = [
+        F.bit_or(F.when(slot.between(w * BITS, (w + 1) * BITS - 1), F.expr(f"shiftleft(1L, cast(__slot - {w * BITS} AS INT))"))
+                 .otherwise(0)).alias(f"__mask_{w}")
+        for w in range(words)
+    ]
+    packed = unique.join(slots, code, "inner").groupBy(*keys).agg(*masks)
+    return packed.select(*keys, *[
+        F.getbit(f"__mask_{i // BITS}", F.lit(i % BITS)).cast("int").alias(x) for i, x in enumerate(values)
+    ])
 
 
 def apply_rules(df: DataFrame, rules: Sequence[tuple[str, int, str]] = tuple(codes.GROUP_RULES)) -> DataFrame:

@@ -91,7 +91,8 @@ def _numbered_sql(source: str, mode: str = "lag") -> str:
   SELECT *, lag(start_date) {w}) AS ps, {previous} AS pe, row_number() {w}) AS rn FROM {source}),
 opened AS (SELECT *, CAST(pe IS NULL OR start_date > pe + 1 AS INTEGER) AS opens FROM looked),
 numbered AS (
-  SELECT *, CAST(sum(opens) {w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS episode,
+  SELECT *, CAST(sum(opens) OVER (PARTITION BY member_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+      AS BIGINT) AS episode,
     CASE WHEN rn = 1 THEN '1.First' WHEN opens = 1 THEN '2.New Episode' WHEN end_date > pe THEN '3.Regular Overlap'
       WHEN start_date = ps AND end_date < pe THEN '5.Same Start Date (SRO)'
       WHEN start_date > ps AND end_date < pe THEN '6.Embedded'
@@ -102,7 +103,8 @@ numbered AS (
 @query("episodes", f"""
     WITH {v.INTERVALS_SQL}, {_numbered_sql('stays')} SELECT member_id, start_date, end_date, episode FROM numbered""")
 def episode_rows(spark: SparkSession, d: str) -> DataFrame:
-    return episodes.episodes(v.intervals(spark, d), v.MEMBER, "start_date", "end_date").drop("overlap")
+    stays = v.intervals(spark, d, "l_orderkey", "l_linenumber")
+    return episodes.episodes(stays, v.MEMBER, "start_date", "end_date").select(*v.MEMBER, "start_date", "end_date", "episode")
 
 
 @query("episodes_running_max", f"""
@@ -115,7 +117,8 @@ def episodes_running_max(spark: SparkSession, d: str) -> DataFrame:
 @query("episode_overlap_class", f"""
     WITH {v.INTERVALS_SQL}, {_numbered_sql('stays')} SELECT member_id, start_date, end_date, overlap FROM numbered""")
 def overlap_rows(spark: SparkSession, d: str) -> DataFrame:
-    return episodes.episodes(v.intervals(spark, d), v.MEMBER, "start_date", "end_date").drop("episode")
+    stays = v.intervals(spark, d, "l_orderkey", "l_linenumber")
+    return episodes.episodes(stays, v.MEMBER, "start_date", "end_date").select(*v.MEMBER, "start_date", "end_date", "overlap")
 
 
 @query("overlap_report", f"""

@@ -220,8 +220,7 @@ def group_bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
 @query("regression_metrics", """
     WITH t AS (SELECT l_extendedprice AS y, l_quantity * p_retailprice * 1.5 AS p FROM lineitem JOIN part ON l_partkey = p_partkey)
     SELECT round(avg(y), 4) AS mean_actual, round(avg(p), 4) AS mean_predicted, round(avg(y - p), 4) AS mean_difference,
-      round(avg(abs(y - p)), 4) AS mean_absolute_difference, round(sum(CAST(y AS DECIMAL(18,2)))::DOUBLE, 4) AS total_actual,
-      round(sum(CAST(p AS DECIMAL(18,2)))::DOUBLE, 1) AS total_predicted,
+      round(avg(abs(y - p)), 4) AS mean_absolute_difference, round(sum(y), 2) AS total_actual, round(sum(p), 2) AS total_predicted,
       round(1 - sum((y - p) * (y - p)) / sum((y - m) * (y - m)), 6) AS r2
     FROM t, (SELECT avg(y) AS m FROM t)""")
 def regression(spark: SparkSession, d: str) -> DataFrame:
@@ -229,8 +228,9 @@ def regression(spark: SparkSession, d: str) -> DataFrame:
     part = load(spark, d, "part", "p_partkey", "p_retailprice")
     scored = line.join(part, "p_partkey").withColumn("p", F.col("l_quantity") * F.col("p_retailprice") * 1.5)
     values = evaluation.regression_metrics(scored, "y", "p", digits=6)
-    four = {c: F.round(c, 4) for c in ("mean_actual", "mean_predicted", "mean_difference", "mean_absolute_difference", "total_actual")}
-    return values.withColumns({**four, "total_predicted": F.round("total_predicted", 1)})
+    four = {c: F.round(c, 4) for c in ("mean_actual", "mean_predicted", "mean_difference", "mean_absolute_difference")}
+    two = {c: F.round(c, 2) for c in ("total_actual", "total_predicted")}
+    return values.withColumns({**four, **two})
 
 
 MEMBER_COST_SQL = """costs AS (

@@ -114,7 +114,7 @@ def chi_square(spark: SparkSession, d: str) -> DataFrame:
     from cohortlake.plans.evaluation_plans import member_scored
 
     people = v.members(spark, d).select("member_id", "age_cat", "sex", "race")
-    tested = people.join(member_scored(spark, d).select("member_id", "label"), "member_id")
+    tested = materialize(people.join(member_scored(spark, d).select("member_id", "label"), "member_id"), "labelled")
     result = ml.chi_square(tested, ["age_cat", "sex", "race"], "label")
     return result.select("feature", "degrees_of_freedom", F.round("statistic", 6).alias("statistic"))
 
@@ -149,7 +149,7 @@ def ml_logreg(spark: SparkSession, d: str) -> DataFrame:
     from cohortlake.plans.evaluation_plans import member_scored
 
     people = v.members(spark, d).select("member_id", "age_cat")
-    tested = people.join(member_scored(spark, d).select("member_id", "label"), "member_id")
+    tested = materialize(people.join(member_scored(spark, d).select("member_id", "label"), "member_id"), "labelled")
     model = ml.fit(tested, ml.encoder(["age_cat"], [], invalid="error"), ml.logistic("label", tol=1e-10))
     return ml.score(model, tested).groupBy("age_cat").agg(
         F.count("*").alias("n"), F.round(F.avg("probability_col"), 3).alias("probability"))
@@ -207,9 +207,9 @@ def ml_batch_score(spark: SparkSession, d: str) -> DataFrame:
     from cohortlake.plans.evaluation_plans import member_scored
 
     people = v.members(spark, d).select("member_id", "age_cat")
-    tested = sampling.hash_split(
-        people.join(member_scored(spark, d).select("member_id", "label"), "member_id"), v.MEMBER,
-        {"train": 0.8, "test": 0.2}, "score")
+    labelled = people.join(member_scored(spark, d).select("member_id", "label"), "member_id")
+    shares = {"train": 0.8, "test": 0.2}
+    tested = materialize(sampling.hash_split(labelled, v.MEMBER, shares, "score"), "split")
     train = tested.where(F.col("part") == "train")
     model = ml.fit(train, ml.encoder(["age_cat"], [], invalid="error"), ml.logistic("label", tol=1e-10))
     path = f"{shared_dir(spark)}/models/{uuid.uuid4().hex}"
@@ -238,8 +238,8 @@ def top_k_importance(spark: SparkSession, d: str) -> DataFrame:
 def coefficient_importance(spark: SparkSession, d: str) -> DataFrame:
     """Coefficients by absolute value. With one categorical each coefficient is the
     category's mean cost less that of the dropped category."""
-    people = v.members(spark, d).select("member_id", "state").join(
-        claim_plans.total_cost(spark, d).select("member_id", "total_cost"), "member_id")
+    people = materialize(v.members(spark, d).select("member_id", "state").join(
+        claim_plans.total_cost(spark, d).select("member_id", "total_cost"), "member_id"), "state-cost")
     model = ml.fit(people, ml.encoder(["state"], [], invalid="error"), ml.linear("total_cost", solver="normal"))
     top = ml.top_k(ml.importance_table(model, people), 15)
     return top.select("feature", F.round("value", 2).alias("value"), F.round("importance", 2).alias("importance"))
@@ -255,8 +255,8 @@ def coefficient_importance(spark: SparkSession, d: str) -> DataFrame:
     FROM members LEFT JOIN totals USING (member_id) GROUP BY 1""")
 def ml_linear_regression(spark: SparkSession, d: str) -> DataFrame:
     """Least squares on one categorical: the prediction of each category is its mean cost."""
-    people = v.members(spark, d).select("member_id", "age_cat").join(
-        claim_plans.total_cost(spark, d).select("member_id", "total_cost"), "member_id")
+    people = materialize(v.members(spark, d).select("member_id", "age_cat").join(
+        claim_plans.total_cost(spark, d).select("member_id", "total_cost"), "member_id"), "age-cost")
     stages = ml.encoder(["age_cat"], [], invalid="error")
     model = ml.fit(people, stages, ml.linear("total_cost", solver="normal"))
     return model.transform(people).groupBy("age_cat").agg(

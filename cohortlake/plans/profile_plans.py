@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.functions import codes
 from cohortlake.functions.dates import month_index, trend_slope
-from cohortlake.functions.recode import composite_flag, recode, region
+from cohortlake.functions.recode import composite_flag, recode, region, to_int
 from cohortlake.operators import joins, profile
 from cohortlake.plans import views as v
 from cohortlake.plans.registry import query
@@ -276,8 +276,8 @@ def scalars(spark: SparkSession, d: str) -> DataFrame:
         F.try_divide(price, F.col("o_custkey")).alias("ratio"), F.abs(1000 - price).alias("gap"),
         recode(status, {1: ["F"], 2: ["O"]}, 0).alias("kind"),
         F.coalesce(known, F.lit("none")).alias("filled"), known.isNull().cast("int").alias("was_null"),
-        (F.substring(priority, 1, 1).try_cast("int") + 1).alias("priority_plus"),
-        status.try_cast("int").alias("bad_cast"),
+        (to_int(F.substring(priority, 1, 1)) + 1).alias("priority_plus"),
+        to_int(status).alias("bad_cast"),
         # slope through two points, one step apart
         F.round(trend_slope([F.month(day), F.year(day)]) / 2, 6).alias("slope"),
     )
