@@ -12,9 +12,21 @@ from pyspark.sql import types as T
 from cohortlake.functions.dates import before, on_or_after
 
 
-def load(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    """Read one parquet table; listed columns are all that the scan reads."""
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
+_schemas: dict[str, T.StructType] = {}
+
+
+def load(spark: SparkSession, folder: str, name: str, *columns: str | Column) -> DataFrame:
+    """Read one parquet table; listed columns are all that the scan reads.
+
+    The schema is inferred once per path: reading it again from the footers would cost
+    a Spark job for every mention of the table in a plan. Files are listed each time.
+    """
+    path = f"{folder}/{name}.parquet"
+    if path in _schemas:
+        df = spark.read.schema(_schemas[path]).parquet(path)
+    else:
+        df = spark.read.parquet(path)
+        _schemas[path] = df.schema
     return df.select(*columns) if columns else df
 
 
@@ -86,6 +98,17 @@ def save_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> No
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def save_bucketed(df: DataFrame, table: str, path: str, keys: Sequence[str], buckets: int) -> DataFrame:
+    """Overwrite a catalog table bucketed and sorted by the member key.
+
+    Feature blocks stored this way with one bucket count join on the key without a
+    shuffle, so assembling ten of them costs ten scans.
+    """
+    writer = df.write.mode("overwrite").option("path", path).bucketBy(buckets, *keys).sortBy(*keys)
+    writer.saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def save_report(df: DataFrame, path: str) -> None:
     """Overwrite a small report as CSV with a header."""
     df.write.mode("overwrite").csv(path, header=True)
