@@ -42,7 +42,8 @@ def build_frame(spark: SparkSession, d: str) -> DataFrame:
         individual, feature_plans.dx_counts(spark, d), claim_plans.slope(spark, d), feature_plans.rx_adherence(spark, d),
         claims, claim_plans.total_cost(spark, d).select("member_id", "total_cost"),
     ]
-    numeric_fill = {c: 0 for b in blocks for c in b.columns if c not in (*v.MEMBER, *INDIVIDUAL)}
+    # a rate unknown in every county stays null through imputation
+    numeric_fill = {c: 0 for c in AREA} | {c: 0 for b in blocks for c in b.columns if c not in (*v.MEMBER, *INDIVIDUAL)}
     return joins.assemble(demographics.join(area, "county"), blocks, v.MEMBER, fill=None).na.fill(numeric_fill)
 
 
