@@ -33,10 +33,14 @@ def weighted_replicates(df: DataFrame, key: Column, replicates: int, fraction: f
                         with_replacement: bool = True) -> DataFrame:
     """Rows of every replicate with their positive ``weight``.
 
-    One md5 digest holds four words and serves four consecutive replicates.
+    One md5 digest holds four words and serves four consecutive replicates. The rows are
+    spread over the cluster first: each of them costs a thousand draws, so even a set that
+    fits one file is worth one small shuffle.
     """
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = (replicates + WORDS_PER_DIGEST - 1) // WORDS_PER_DIGEST
-    drawn = df.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn(
+    drawn = df.repartition(tasks, key).withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn(
         "__digest", digest(key, salt, F.col("__block").cast("string"))
     )
     weigh = poisson_weight if with_replacement else bernoulli_weight

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlake.functions import codes
-from cohortlake.operators.evaluation import CELLS, auc_rank, confusion_cells, metric_columns
+from cohortlake.operators.evaluation import CELLS, auc_from_counts, confusion_cells, metric_columns, score_bounds
 
 FEATURES = "features"
 
@@ -102,11 +102,20 @@ def score(model: Model, df: DataFrame) -> DataFrame:
 
 
 def evaluate(scored: DataFrame, label: str, digits: int = 6) -> DataFrame:
-    """AUC, cells and metrics of one scored set as one row."""
-    cells = scored.agg(*confusion_cells(label, "prediction"))
-    metrics = cells.select(*CELLS, *[F.round(c, digits).alias(n) for n, c in metric_columns().items()])
-    auc = auc_rank(scored, "probability_col", label).select(F.round("auc", digits)).scalar()
-    return metrics.withColumn("auc", auc)
+    """AUC, cells and metrics of one scored set as one row.
+
+    Everything is computed from one aggregate by (score, label, class): the model runs
+    over the data once, and the uses share that shuffle.
+    """
+    grouped = scored.groupBy("probability_col", label, "prediction").agg(F.count("*").alias("rows")).where("rows > 0")
+    rows = F.col("rows")
+    metrics = grouped.agg(*confusion_cells(label, "prediction", rows)).select(
+        *CELLS, *[F.round(c, digits).alias(n) for n, c in metric_columns().items()])
+    counts = grouped.groupBy("probability_col").agg(
+        F.sum(F.when(F.col(label) == 1, rows).otherwise(0)).alias("pos"),
+        F.sum(F.when(F.col(label) == 0, rows).otherwise(0)).alias("neg"))
+    auc = auc_from_counts(counts, "probability_col", score_bounds(grouped, "probability_col"))
+    return metrics.withColumn("auc", auc.select(F.round("auc", digits)).scalar())
 
 
 def mcc_value(scored: DataFrame, label: str) -> float:

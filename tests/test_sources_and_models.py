@@ -62,6 +62,32 @@ def test_bucketed_blocks_join_without_a_shuffle(spark, tmp_path):
             spark.sql(f"DROP TABLE block_{i}")
 
 
+def test_hot_claim_is_split_by_adaptive_execution(spark):
+    """A claim with most of the lines: the row-level join is split, and stays whole."""
+    from cohortlake.operators.joins import header_lines
+
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, x in settings.items():
+        spark.conf.set(k, x)
+    try:
+        lines = spark.range(0, 40000, 1, 8).select(
+            F.when(F.col("id") < 20000, 1).otherwise(F.col("id")).alias("claim"), F.md5(F.col("id").cast("string")).alias("x"))
+        headers = spark.range(40000).select(F.col("id").alias("claim"), F.lit("1").alias("kind"))
+        joined = header_lines(headers, lines, ["claim"], "kind", ["1"])
+        assert len(joined.collect()) == 40000
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, x in before.items():
+            spark.conf.unset(k) if x is None else spark.conf.set(k, x)
+
+
 def test_hot_member_adds_no_large_group(spark):
     """The window of a member with very many rows sees its distinct intervals only."""
     from cohortlake.operators.episodes import episode_rollup
