@@ -169,6 +169,21 @@ def cell_replicates(cells: DataFrame, cell: Sequence[str], count: str, replicate
     return spread.mapInPandas(draw, schema)
 
 
+def bootstrap_cells_ci(scored: DataFrame, label: str, prediction: str, score_bin: Column, replicates: int,
+                       fraction: float, seed: int, with_replacement: bool = True) -> DataFrame:
+    """Percentile intervals from cells alone: the cost does not grow with the rows.
+
+    Confusion metrics have exactly the law of the row bootstrap. AUC treats the scores of
+    one bin as tied, so ``score_bin`` should be fine (a thousand bins of a probability).
+    """
+    cells = scored.groupBy(label, prediction, score_bin.alias("score_bin")).agg(F.count("*").alias("__n"))
+    weighted = cell_replicates(
+        cells, [label, prediction, "score_bin"], "__n", replicates, fraction, seed, with_replacement)
+    metrics = percentile_interval(classification_replicates(weighted, label, prediction), CLASSIFICATION)
+    auc = percentile_interval(auc_replicates(weighted, cells, "score_bin", label), ["auc"])
+    return metrics.unionByName(auc)
+
+
 def _one_draw(seed: int, stream: int, n: int, fraction: float, with_replacement: bool) -> int:
     rng = np.random.Generator(np.random.Philox(key=[seed, stream & (2**64 - 1)]))
     return int(rng.poisson(n * fraction) if with_replacement else rng.binomial(n, fraction))

@@ -187,10 +187,8 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
 
 @query("bootstrap_cell_ci")
 def bootstrap_cell_ci(spark: SparkSession, d: str) -> DataFrame:
-    cells = member_scored(spark, d).groupBy("label", "prediction").agg(F.count("*").alias("n"))
-    weighted = bootstrap.cell_replicates(cells, ["label", "prediction"], "n", 1000, 0.05, 42)
-    return bootstrap.percentile_interval(
-        bootstrap.classification_replicates(weighted, "label", "prediction"), METRICS)
+    bins = F.floor(F.col("score") / 100)
+    return bootstrap.bootstrap_cells_ci(v.scored(spark, d), "label", "prediction", bins, CLASS_REPLICATES, CLASS_FRACTION, 42)
 
 
 GROUP_METRICS = ["sensitivity", "specificity", "f1"]

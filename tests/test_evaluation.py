@@ -79,17 +79,22 @@ def test_poisson_weights_have_the_right_law(spark):
 
 def test_cell_and_row_bootstrap_agree(spark):
     df = scored(spark, n=2000)
-    names = ["sensitivity", "specificity"]
-    by_row = bootstrap.bootstrap_ci(df, F.col("id"), "label", "prediction", "score", 400, 0.2, "s").where(F.col("metric").isin(names))
-    cells = df.groupBy("label", "prediction").agg(F.count("*").alias("n"))
-    weighted = bootstrap.cell_replicates(cells, ["label", "prediction"], "n", 400, 0.2, 42)
-    by_cell = bootstrap.percentile_interval(bootstrap.classification_replicates(weighted, "label", "prediction"), names)
-    rows = {r.metric: r for r in by_row.collect()}
-    for c in by_cell.collect():
-        assert c["mean"] == pytest.approx(rows[c.metric]["mean"], abs=0.01)
-        assert c.upper - c.lower == pytest.approx(rows[c.metric].upper - rows[c.metric].lower, rel=0.25)
-    repeat = bootstrap.cell_replicates(cells, ["label", "prediction"], "n", 400, 0.2, 42)
-    assert weighted.exceptAll(repeat).count() == 0
+    rows = {r.metric: r for r in bootstrap.bootstrap_ci(df, F.col("id"), "label", "prediction", "score", 400, 0.2, "s").collect()}
+    by_cell = bootstrap.bootstrap_cells_ci(df, "label", "prediction", F.col("score"), 400, 0.2, 42)
+    got = {c.metric: c for c in by_cell.collect()}
+    assert set(got) == {*bootstrap.CLASSIFICATION, "auc"}
+    for name in ("sensitivity", "specificity", "f1", "auc"):
+        assert got[name]["mean"] == pytest.approx(rows[name]["mean"], abs=0.01)
+        assert got[name].upper - got[name].lower == pytest.approx(rows[name].upper - rows[name].lower, rel=0.3)
+
+
+def test_cell_draws_repeat(spark):
+    cells = spark.createDataFrame([(0, 500), (1, 300)], "label int, n long")
+    draws = [bootstrap.cell_replicates(cells.repartition(k), ["label"], "n", 50, 0.5, 7) for k in (1, 5)]
+    assert draws[0].exceptAll(draws[1]).count() == 0
+    assert draws[0].count() == 100
+    once = bootstrap.cell_replicates(cells, ["label"], "n", 50, 0.5, 7, with_replacement=False)
+    assert once.agg(F.max("weight")).first()[0] <= 500
 
 
 def test_bootstrap_of_one_class(spark):
