@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm import decontaminate, quality, simhash, substrings, toxicity
+from cohortlake.llm import decontaminate, lines, mixing, quality, simhash, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,3 +56,57 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_levenshtein_toxicity")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+#: Shares of the characters of a mix; all other sources together get the rest.
+WEIGHTS = {"src0": 0.15, "src1": 0.10, "src2": 0.10, "src3": 0.05}
+REST = 0.60
+
+MIX_SQL = """
+WITH target(g, w) AS (VALUES ('src0', 0.15::DOUBLE), ('src1', 0.10), ('src2', 0.10), ('src3', 0.05), ('', 0.60)),
+grouped AS (
+  SELECT *, CASE WHEN source IN ('src0', 'src1', 'src2', 'src3') THEN source ELSE '' END AS g,
+    coalesce(CAST(doc_id AS VARCHAR), text, '') AS key
+  FROM documents),
+sizes AS (SELECT g, sum(length(text))::DOUBLE AS n FROM grouped GROUP BY g HAVING sum(length(text)) > 0),
+rates AS (
+  SELECT g, w / sum(w) OVER () * sum(n) OVER () / n AS r FROM sizes JOIN target USING (g)),
+steps AS (
+  SELECT g, k, floor(sum(exp(-r + k * ln(r) - lgamma(k + 1))) OVER (PARTITION BY g ORDER BY k) * 4503599627370496.0) AS level
+  FROM rates, range(0, 200) t(k)),
+drawn AS (SELECT *, CAST('0x' || substr(md5('mix|' || key), 1, 13) AS BIGINT) AS u FROM grouped)
+SELECT doc_id, text, lang, source, n_chars, CAST(k + 1 AS INTEGER) AS copy,
+  substr(md5('mix|' || key || '|' || (k + 1)), 1, 16) AS place
+FROM drawn d JOIN steps s ON d.g = s.g AND s.level <= u AND s.level < 4503599627370496.0
+"""
+
+
+@query("op2_poisson_mixing", MIX_SQL)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), WEIGHTS, REST)
+
+
+LINES_SQL = """
+WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+windows AS (
+  SELECT doc_id, p, l[p + 1] || chr(10) || l[p + 2] || chr(10) || l[p + 3] AS w
+  FROM (SELECT doc_id, l, unnest(range(0, len(l) - 2)) AS p FROM split WHERE len(l) >= 3)),
+later AS (
+  SELECT doc_id, p FROM (
+    SELECT doc_id, p, row_number() OVER (PARTITION BY w ORDER BY doc_id, p) AS n FROM windows
+    WHERE trim(replace(w, chr(10), '')) <> '')
+  WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, p + k AS line FROM later, range(0, 3) t(k)),
+each_line AS (SELECT doc_id, unnest(l) AS line_text, generate_subscripts(l, 1) - 1 AS line FROM split),
+rest AS (
+  SELECT e.doc_id, string_agg(line_text, chr(10) ORDER BY line) AS text, count(*) AS n
+  FROM each_line e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.line = g.line GROUP BY e.doc_id)
+SELECT s.doc_id, CASE WHEN s.text IS NOT NULL THEN coalesce(r.text, '') END AS text,
+  CAST(coalesce(len(l), 0) AS INTEGER) AS n_lines, CAST(coalesce(len(l), 0) - coalesce(r.n, 0) AS INTEGER) AS n_removed
+FROM split s LEFT JOIN rest r ON s.doc_id = r.doc_id
+"""
+
+
+@query("op9_line_windows", LINES_SQL)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.deduplicate(table(spark, folder, "documents").select("doc_id", "text"), counts=True)
