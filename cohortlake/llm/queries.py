@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm import decontaminate, lines, mixing, quality, simhash, substrings, toxicity
+from cohortlake.llm import decontaminate, lines, mixing, quality, search, simhash, store, substrings, toxicity, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -110,3 +110,31 @@ FROM split s LEFT JOIN rest r ON s.doc_id = r.doc_id
 @query("op9_line_windows", LINES_SQL)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return lines.deduplicate(table(spark, folder, "documents").select("doc_id", "text"), counts=True)
+
+
+@query("op1_warc_ranges")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    manifest = warc.write(table(spark, folder, "pages"), store.folder(spark, "warc"))
+    return warc.read(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+TOP_SQL = """
+WITH v AS (
+  SELECT vec_id, [floor(64 * CAST(x AS DOUBLE)) for x in embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id))
+WHERE rank <= 20
+"""
+
+
+@query("op4_segment_top_k", TOP_SQL)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return search.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op8_path_templates", urls.sql())
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
