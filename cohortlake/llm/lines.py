@@ -63,7 +63,8 @@ def kept(lines: Column, starts: Column, window: int = WINDOW) -> Column:
 def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, counts: bool = False) -> DataFrame:
     """``docs`` with the lines of later windows taken out of the text; with ``counts`` also n_lines and n_removed."""
     starts = repeated(docs, doc_id=doc_id, text=text, window=window)
-    joined = docs.join(starts, (F.col(doc_id) == F.col("__id")) & (F.xxhash64(F.col(text)) == F.col("__body")), "left")
+    # by shuffle at every size: no plan that a growing table of starts would change
+    joined = docs.join(starts.hint("merge"), (F.col(doc_id) == F.col("__id")) & (F.xxhash64(F.col(text)) == F.col("__body")), "left")
     joined = joined.withColumn("__rest", kept(split(text), F.col("__starts"), window))
     out = [
         F.when(F.col("__starts").isNull(), F.col(text)).otherwise(F.array_join("__rest", "\n")).alias(text) if c == text else F.col(c)
