@@ -74,3 +74,8 @@ def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         size = F.when(F.col(text).isNull(), 0).otherwise(F.size(split(text)))
         out += [size.alias("n_lines"), F.when(F.col(text).isNull(), 0).otherwise(size - F.size("__rest")).alias("n_removed")]
     return joined.select(*out)
+
+
+def with_length(docs: DataFrame, *, text: str = "text", length: str = "n_chars") -> DataFrame:
+    """``docs`` with the column ``length``, if there is one, set to the characters of the text; null for a null text."""
+    return docs.withColumn(length, F.length(text).cast(docs.schema[length].dataType)) if length in docs.columns else docs

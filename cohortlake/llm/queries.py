@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from cohortlake.llm import decontaminate, lines, mixing, quality, search, simhash, store, substrings, toxicity, urls, warc
+from cohortlake.llm.mix_weights import REST, WEIGHTS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -58,10 +60,6 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-#: Shares of the characters of a mix; all other sources together get the rest.
-WEIGHTS = {"src0": 0.15, "src1": 0.10, "src2": 0.10, "src3": 0.05}
-REST = 0.60
-
 MIX_SQL = """
 WITH target(g, w) AS (VALUES ('src0', 0.15::DOUBLE), ('src1', 0.10), ('src2', 0.10), ('src3', 0.05), ('', 0.60)),
 grouped AS (
@@ -138,3 +136,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_path_templates", urls.sql())
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)

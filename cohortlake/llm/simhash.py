@@ -211,7 +211,8 @@ def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """
     groups = stage(near_duplicates(docs, doc_id=doc_id, text=text, **options), "groups")
     gone = stage(groups.where("doc_id > component_id").select(F.col("doc_id").alias("__id")).distinct(), "gone")
-    kept = docs.join(gone, F.col(doc_id) == F.col("__id"), "left_anti")
+    # by shuffle at every size: no plan that a growing table of ids would change
+    kept = docs.join(gone.hint("merge"), F.col(doc_id) == F.col("__id"), "left_anti")
     many = stage(groups.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id"), "many")
     if many.isEmpty():
         return kept
