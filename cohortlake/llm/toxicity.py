@@ -1,13 +1,13 @@
 """Toxicity scores: a learned lexicon, matched with misspellings, weighed by context.
 
-Lexicon. Words and word beginnings of four to eight characters that occur in at least ``support``
-toxic documents of a labelled sample, and more often than in others; the log odds are their
+Lexicon. Words and word beginnings of four to eight characters that occur in at least ``support``, and a
+``share``, of the toxic documents of a labelled sample, and more often than in others; the log odds are their
 weight. A word that has nearly all documents of its beginnings to itself is a fixed word and
 replaces them; all other words are matched by their beginnings, the strongest of which counts.
 
 Matching. The terms are a trie; a word is matched by walking the trie with the states of its
 Levenshtein automaton: one edit for fixed words of five characters or more, two from
-nine on, none for beginnings. Only words that hold half (a third) of a term unchanged at its start or
+nine on, if their log odds are ``STRONG``; none for others and for beginnings. Only words that hold half (a third) of a term unchanged at its start or
 end (or middle) can be that near; others are not walked.
 
 Context. A match counts as quotation if a quote mark or a word of report stands within ``WINDOW``
@@ -16,7 +16,7 @@ over how many different words match (a single one is often chance), gives the sc
 
 Lexicon and model are fitted from about ``rows`` labelled documents; every document is then
 scored in one pass without a shuffle. Null and empty texts have no matches. Without toxic
-examples the lexicon is empty and all scores are the smoothed share of toxic labels.
+examples the lexicon is empty and all scores are near zero.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from cohortlake.llm.labelled import held_out, sample
 from cohortlake.llm.store import drop, stage
 from cohortlake.llm.words import binary_texts
 
-ROWS, SUPPORT, ODDS, TERMS, WINDOW, CACHE, THRESHOLD = 16_384, 8, 1.5, 4096, 6, 1 << 19, 0.3
+ROWS, SUPPORT, SHARE, ODDS, TERMS, STRONG, WINDOW, CACHE, THRESHOLD = 16_384, 8, 0.02, 1.5, 1024, 4.0, 6, 1 << 19, 0.3
 BEGINNINGS = (4, 5, 6, 7, 8)
 QUOTES = "\"“”„«»‹›‘’`>"
 REPORT = frozenset(
@@ -48,7 +48,7 @@ def normal(word: str) -> str:
 
 
 class Lexicon:
-    """Terms as a trie, with what is needed to pass over words that cannot be near any."""
+    """Terms, those that may be misspelled as a trie, with what is needed to pass over words that cannot be near any."""
 
     def __init__(self, terms: dict[str, float]):
         self.whole = {t: w for t, w in terms.items() if not t.endswith("*")}
@@ -59,17 +59,19 @@ class Lexicon:
         self.tails: dict[int, set[str]] = {}
         self.middles: list[str] = []
         for term, weight in self.whole.items():
+            edits = self.allowed(len(term))
+            if not edits or weight < STRONG:
+                continue
             node = self.trie
             for c in term:
                 node = node.setdefault(c, {})
             node[""] = weight
-            if edits := self.allowed(len(term)):
-                cut = len(term) // (edits + 1)
-                self.heads.setdefault(cut, set()).add(term[:cut])
-                tail = term[cut * edits :]
-                self.tails.setdefault(len(tail), set()).add(tail)
-                if edits == 2:
-                    self.middles.append(term[cut : 2 * cut])
+            cut = len(term) // (edits + 1)
+            self.heads.setdefault(cut, set()).add(term[:cut])
+            tail = term[cut * edits :]
+            self.tails.setdefault(len(tail), set()).add(tail)
+            if edits == 2:
+                self.middles.append(term[cut : 2 * cut])
         self.first = {t[: min(BEGINNINGS)] for t in self.starts}
         self.pieces = [(n, s, False) for n, s in self.heads.items()] + [(n, s, True) for n, s in self.tails.items()]
         self.clean: set[str] = set()  # raw words known to match nothing
@@ -144,7 +146,7 @@ class Lexicon:
 N_FEATURES = 10
 
 
-def learn_terms(chosen: DataFrame, *, support: int = SUPPORT, odds: float = ODDS, terms: int = TERMS) -> dict[str, float]:
+def learn_terms(chosen: DataFrame, *, support: int = SUPPORT, share: float = SHARE, odds: float = ODDS, terms: int = TERMS) -> dict[str, float]:
     """Terms and their log odds; at most ``terms``, those of most toxic documents first."""
 
     def count(batches):
@@ -164,16 +166,16 @@ def learn_terms(chosen: DataFrame, *, support: int = SUPPORT, odds: float = ODDS
     ratio = F.log((F.col("bad") + 0.5) / (n_bad + 1.0)) - F.log((F.col("good") + 0.5) / (n_good + 1.0))
     counted = chosen.mapInArrow(count, "term string, bad bigint, good bigint").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     rows = (
-        counted.where(F.col("bad") >= support).withColumn("ratio", ratio).where(F.col("ratio") >= odds)
+        counted.where(F.col("bad") >= max(support, share * n_bad)).withColumn("ratio", ratio).where(F.col("ratio") >= odds)
         .orderBy(F.desc("bad"), "term").limit(terms).collect()
     )
     found = {r["term"]: r["ratio"] for r in rows}
-    share = {r["term"]: r["bad"] for r in rows}
+    docs = {r["term"]: r["bad"] for r in rows}
     fixed = {
         t for t in found
-        if not t.endswith("*") and all(share[t] >= 0.9 * share.get(t[:n] + "*", 0) for n in BEGINNINGS if n < len(t))
+        if not t.endswith("*") and all(docs[t] >= 0.9 * docs.get(t[:n] + "*", 0) for n in BEGINNINGS if n < len(t))
     }
-    covered = {t[:n] + "*" for t in fixed for n in BEGINNINGS if n < len(t) and share[t] >= 0.9 * share.get(t[:n] + "*", 0)}
+    covered = {t[:n] + "*" for t in fixed for n in BEGINNINGS if n < len(t) and docs[t] >= 0.9 * docs.get(t[:n] + "*", 0)}
     return {t: w for t, w in found.items() if t in fixed or (t.endswith("*") and t not in covered)}
 
 
@@ -181,6 +183,9 @@ def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 5
     """Logistic regression by Newton steps; the last weight is the intercept."""
     x = np.column_stack((x, np.ones(len(x))))
     w = np.zeros(x.shape[1])
+    if not y.any():
+        w[-1] = -30.0
+        return w
     penalty = np.full(x.shape[1], ridge)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
