@@ -71,7 +71,7 @@ class Trees:
         feature, limit = np.zeros((trees, inner), np.int64), np.full((trees, inner), np.inf)
         value = np.zeros((trees, 2**depth))
         share = y.mean() if n else 0.5
-        if not 0 < share < 1:
+        if not n or not 0 < share < 1:
             return cls(np.clip(np.log((share + 1e-9) / (1 - share + 1e-9)), -20, 20), feature, limit, value)
         cuts = [np.unique(np.quantile(c, np.arange(1, bins) / bins)) for c in x.T]
         binned = np.stack([np.searchsorted(c, v) for c, v in zip(cuts, x.T)])

@@ -8,7 +8,7 @@ so is every row of a group without any id. A null payload is empty.
 
 Reading. A file is cut into ranges. A task looks for the gzip magic from the start of its range on, accepts a
 position if it inflates to a WARC header and a whole record with a right checksum, and, where it has not yet
-met a record, if another record or the end of the file follows. It owns the records that start inside its
+met a record, if another gzip member or the end of the file follows. It owns the records that start inside its
 range and reads past its end to finish the last. Files are opened through pyarrow's file systems, by URI.
 A record that itself holds stored (uncompressed) archives and is longer than a range can deceive
 a range that starts inside it; use ranges longer than such records.
@@ -147,7 +147,7 @@ class Members:
         fields = dict(x.decode("utf-8", "replace").split(": ", 1) for x in lines[1:] if b": " in x)
         return fields if fields.get("Content-Length", "").isdigit() and "WARC-Type" in fields else None
 
-    def member(self, at: int, whole: bool = True):
+    def member(self, at: int):
         """(header fields, payload, end) of the record at a position; None if there is none."""
         unpack, data, next_at, cut = zlib.decompressobj(31), bytearray(), at, -1
         fields = None
@@ -169,8 +169,6 @@ class Members:
                     fields = self.header(bytes(data[:cut]))
                     if fields is None:
                         return None
-                    if not whole:
-                        return fields, b"", next_at
         except zlib.error:
             return None
         if fields is None:
@@ -186,7 +184,7 @@ class Members:
         at = next(places, None)
         while at is not None:
             found = self.member(at)
-            if found and (known or found[2] == self.size or self.member(found[2], whole=False)):
+            if found and (known or found[2] == self.size or self.read(found[2], len(MAGIC)) == MAGIC):
                 yield at, found[0], found[1]
                 known, onward = True, found[2]
             else:
