@@ -60,15 +60,17 @@ def pivot_counts(events: DataFrame, keys: Sequence[str], category: str, values:
 
 
 def pivot_wide(events: DataFrame, keys: Sequence[str], category: str, values: Sequence[str],
-               prefix: str = "") -> DataFrame:
+               prefix: str = "", unmatched: str | None = UNMATCHED) -> DataFrame:
     """As :func:`pivot_counts` for hundreds of categories.
 
     Events are first counted by member and category (map-side), so the wide row is
-    built from at most one input row per cell.
+    built from at most one input row per cell. No listed value may be called ``unmatched``.
     """
-    counted = events.groupBy(*keys, category).agg(F.count("*").alias("__n"))
-    wide = counted.groupBy(*keys).pivot(category, list(values)).agg(F.sum("__n"))
-    return wide.select(*keys, *[F.coalesce(F.col(f"`{v}`"), F.lit(0)).alias(f"{prefix}{v}") for v in values])
+    named = F.coalesce(F.col(category), F.lit(unmatched)) if unmatched else F.col(category)
+    columns = [*values, *([unmatched] if unmatched else [])]
+    counted = events.groupBy(*keys, named.alias("__category")).agg(F.count("*").alias("__n"))
+    wide = counted.groupBy(*keys).pivot("__category", columns).agg(F.sum("__n"))
+    return wide.select(*keys, *[F.coalesce(F.col(f"`{v}`"), F.lit(0)).alias(f"{prefix}{v}") for v in columns])
 
 
 def category_values(crosswalk: DataFrame, category: str) -> list[str]:

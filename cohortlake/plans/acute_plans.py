@@ -215,10 +215,15 @@ def correlation(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("stay_totals", f"""
-    WITH {v.INTERVALS_SQL}, {_numbered_sql('stays')},
+    WITH {v.INTERVALS_SQL}, before_index AS (
+      SELECT stays.* FROM stays JOIN supplier ON s_suppkey = member_id
+      WHERE {v.sql_months('start_date')} BETWEEN s_nationkey % 24 + 2 AND s_nationkey % 24 + 7), {_numbered_sql('before_index')},
     merged AS (SELECT member_id, episode, max(end_date) - min(start_date) AS days FROM numbered GROUP BY 1, 2)
     SELECT s_suppkey AS member_id, count(episode) AS episodes, CAST(coalesce(sum(days), 0) AS BIGINT) AS stay_days
     FROM supplier LEFT JOIN merged ON s_suppkey = member_id GROUP BY 1""")
 def stays(spark: SparkSession, d: str) -> DataFrame:
-    totals = episodes.stay_totals(v.intervals(spark, d), v.MEMBER, "start_date", "end_date")
+    """Stays that begin in the pre period, merged; their number and days."""
+    inside = windows.prepost_window(v.intervals(spark, d), _windows(spark, d), v.MEMBER, "start_date", v.BASE_YEAR)
+    totals = episodes.stay_totals(
+        inside.where(F.col("pre") == 1).select("member_id", "start_date", "end_date"), v.MEMBER, "start_date", "end_date")
     return joins.spine_fill(v.supplier_index(spark, d).select("member_id"), totals, v.MEMBER)

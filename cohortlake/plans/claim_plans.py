@@ -200,13 +200,22 @@ def line_paid_claims(spark: SparkSession, d: str) -> DataFrame:
     return cost.claim_cost(_line_sums(spark, d, True), CLAIM, "sum")
 
 
+POST_COST_SQL = f"""{CLAIM_COST_SQL}, {v.INDEX_SQL},
+post_costed AS (SELECT costed.* FROM costed JOIN orders ON claim_id = o_orderkey JOIN idx ON idx.member_id = costed.member_id
+  WHERE {v.sql_months('o_orderdate')} BETWEEN m + 7 AND m + 12)"""
+
+
 @query("total_cost", f"""
-    WITH {CLAIM_COST_SQL}
+    WITH {POST_COST_SQL}
     SELECT c_custkey AS member_id, CAST(coalesce(sum(mc), 0) AS DOUBLE) AS mc_total,
       CAST(coalesce(sum(ffs), 0) AS DOUBLE) AS ffs_total, CAST(coalesce(sum(mc + ffs), 0) AS DOUBLE) AS total_cost
-    FROM customer LEFT JOIN costed ON c_custkey = member_id GROUP BY 1""")
+    FROM customer LEFT JOIN post_costed ON c_custkey = member_id GROUP BY 1""")
 def total_cost(spark: SparkSession, d: str) -> DataFrame:
-    per_member = _plain(cost.member_cost([header_paid_claims(spark, d)], v.MEMBER))
+    """Cost of the claims of the post period, the target of the cost models."""
+    dates = v.headers(spark, d).select("claim_id", "member_id", "service_date")
+    inside = windows.prepost_window(dates, windowed_members(spark, d), v.MEMBER, "service_date", v.BASE_YEAR)
+    claims = header_paid_claims(spark, d).join(inside.where(F.col("post") == 1).select("claim_id"), "claim_id", "left_semi")
+    per_member = _plain(cost.member_cost([claims], v.MEMBER))
     spine = load(spark, d, "customer", "c_custkey").withColumnRenamed("c_custkey", "member_id")
     return joins.spine_fill(spine, per_member, v.MEMBER, 0.0)
 

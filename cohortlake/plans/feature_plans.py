@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from cohortlake.functions import codes
 from cohortlake.functions.recode import age_sex_cells
-from cohortlake.operators import features, joins, windows
+from cohortlake.operators import acute, features, joins, windows
 from cohortlake.plans import claim_plans, views as v
+from cohortlake.plans.acute_plans import ED_SQL, PLACES, PROCEDURES, REVENUE
 from cohortlake.plans.registry import query
 from cohortlake.sources.tables import load
 
@@ -39,6 +40,16 @@ def crosswalk_exact(spark: SparkSession, d: str) -> DataFrame:
     return features.crosswalk_exact(events, crosswalk, "code", "category")
 
 
+def in_pre(events: DataFrame, spark: SparkSession, d: str, date: str) -> DataFrame:
+    """Events of the half-year after the index month; no feature may see what comes later."""
+    inside = windows.prepost_window(events, claim_plans.windowed_members(spark, d), v.MEMBER, date, v.BASE_YEAR)
+    return inside.where(F.col("pre") == 1).select(*events.columns)
+
+
+def _pre_sql(date: str) -> str:
+    return f"{v.sql_months(date)} BETWEEN m + 1 AND m + 6"
+
+
 def _part_codes(spark: SparkSession, d: str) -> DataFrame:
     p = load(spark, d, "part", "p_partkey", "p_brand", "p_size", "p_type")
     code = F.concat_ws("-", "p_brand", F.lpad(F.col("p_size").cast("string"), 2, "0"))
@@ -118,19 +129,51 @@ def dx_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("pivot_counts", f"""
-    WITH fills AS (
+    WITH {v.INDEX_SQL}, fills AS (
       SELECT DISTINCT o_custkey AS member_id, CAST(l_shipdate AS DATE) AS fill_date, l_partkey FROM lineitem
-      JOIN orders ON l_orderkey = o_orderkey),
+      JOIN orders ON l_orderkey = o_orderkey JOIN idx ON o_custkey = member_id
+      WHERE {_pre_sql('l_shipdate')} AND l_partkey IS NOT NULL),
     rx AS (SELECT member_id, {_count_columns_sql(PART_TYPES, 'rx_', 'p_type')} FROM fills
       LEFT JOIN (SELECT * FROM part WHERE p_size <= 45) ON l_partkey = p_partkey GROUP BY 1)
     SELECT c_custkey AS member_id, {_filled_sql(PART_TYPES, 'rx_')} FROM customer LEFT JOIN rx ON c_custkey = member_id""")
 def rx_counts(spark: SparkSession, d: str) -> DataFrame:
     fills = member_lines(spark, d, "l_partkey", "l_shipdate").select(
-        "member_id", F.to_date("l_shipdate").alias("fill_date"), F.col("l_partkey").alias("drug"))
+        "member_id", F.to_date("l_shipdate").alias("fill_date"), F.col("l_partkey").alias("drug")).where("drug is not null")
     listed = load(spark, d, "part", F.col("p_partkey").alias("drug"), F.col("p_type").alias("drug_class"), "p_size")
     crosswalk = listed.where(F.col("p_size") <= 45).select("drug", "drug_class")
-    placed = features.crosswalk_exact(fills.distinct(), crosswalk, "drug", "drug_class")
-    counts = features.pivot_counts(placed, v.MEMBER, "drug_class", PART_TYPES, "rx_")
+    placed = features.crosswalk_exact(in_pre(fills.distinct(), spark, d, "fill_date"), crosswalk, "drug", "drug_class")
+    counts = features.pivot_wide(placed, v.MEMBER, "drug_class", PART_TYPES, "rx_")
+    return joins.spine_fill(_spine(spark, d), counts, v.MEMBER)
+
+
+PROCEDURE_SQL = f"""proc_events AS (
+  SELECT DISTINCT o_custkey AS member_id, CAST(o_orderdate AS DATE) AS service_date, l_partkey FROM lineitem
+  JOIN orders ON l_orderkey = o_orderkey JOIN idx ON o_custkey = member_id
+  WHERE l_returnflag <> 'R' AND NOT {ED_SQL} AND {_pre_sql('o_orderdate')}),
+proc AS (SELECT member_id, {_count_columns_sql(PART_TYPES, 'pc_', 'p_type')} FROM proc_events
+  LEFT JOIN (SELECT * FROM part WHERE p_size <= 45) ON l_partkey = p_partkey GROUP BY 1)"""
+
+
+def outpatient_lines(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Lines of outpatient claims that are no emergency visit, with their claim's member and date."""
+    raw = load(spark, d, "lineitem", *dict.fromkeys(
+        ["l_orderkey", "l_returnflag", "l_linestatus", "l_linenumber", "l_quantity", *columns]))
+    emergency = acute.ed_visit(
+        F.concat("l_returnflag", "l_linestatus"), F.col("l_linenumber"), F.col("l_quantity").cast("int"), REVENUE, PLACES, PROCEDURES)
+    mine = raw.where((F.col("l_returnflag") != "R") & (emergency == 0)).select(F.col("l_orderkey").alias("claim_id"), *columns)
+    return mine.distinct().join(v.headers(spark, d).select("claim_id", "member_id", "service_date"), "claim_id")
+
+
+@query("proc_category_counts", f"""
+    WITH {v.INDEX_SQL}, {PROCEDURE_SQL} SELECT c_custkey AS member_id, {_filled_sql(PART_TYPES, 'pc_')}
+    FROM customer LEFT JOIN proc ON c_custkey = member_id""")
+def proc_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Procedure categories of outpatient, non-emergency claims in the pre period."""
+    coded = outpatient_lines(spark, d, "l_partkey").select("member_id", "service_date", F.col("l_partkey").alias("procedure"))
+    listed = load(spark, d, "part", F.col("p_partkey").alias("procedure"), F.col("p_type").alias("category"), "p_size")
+    crosswalk = listed.where(F.col("p_size") <= 45).select("procedure", "category")
+    placed = features.crosswalk_exact(in_pre(coded, spark, d, "service_date").distinct(), crosswalk, "procedure", "category")
+    counts = features.pivot_wide(placed, v.MEMBER, "category", PART_TYPES, "pc_")
     return joins.spine_fill(_spine(spark, d), counts, v.MEMBER)
 
 
@@ -139,32 +182,32 @@ SPECIALTY_SQL = f"""spec_events AS (
   SELECT DISTINCT o_custkey AS member_id, CAST(o_orderdate AS DATE) AS service_date,
     coalesce(CASE WHEN l_linestatus = 'F' THEN 'S' || CAST(l_suppkey % 5 AS VARCHAR) END,
       CASE WHEN l_returnflag <> 'A' THEN 'B' || CAST(l_partkey % 3 AS VARCHAR) END) AS specialty
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN idx ON o_custkey = member_id
+  WHERE l_returnflag <> 'R' AND NOT {ED_SQL} AND {_pre_sql('o_orderdate')}),
 spec AS (SELECT member_id, {_count_columns_sql(SPECIALTIES, 'sp_', 'specialty', False)} FROM spec_events
   WHERE specialty IS NOT NULL GROUP BY 1)"""
 
 
 @query("provider_coalesce", f"""
-    WITH {SPECIALTY_SQL} SELECT c_custkey AS member_id, {_filled_sql(SPECIALTIES, 'sp_', False)}
+    WITH {v.INDEX_SQL}, {SPECIALTY_SQL} SELECT c_custkey AS member_id, {_filled_sql(SPECIALTIES, 'sp_', False)}
     FROM customer LEFT JOIN spec ON c_custkey = member_id""")
 def provider_counts(spark: SparkSession, d: str) -> DataFrame:
-    raw = load(spark, d, "lineitem", "l_orderkey", "l_linestatus", "l_returnflag", "l_suppkey", "l_partkey")
-    # specialties of one claim are distinct already before the join
-    coded = raw.select(
-        F.col("l_orderkey").alias("claim_id"),
+    raw = outpatient_lines(spark, d, "l_linestatus", "l_returnflag", "l_suppkey", "l_partkey")
+    events = in_pre(raw, spark, d, "service_date").select(
+        "member_id", "service_date",
         F.when(F.col("l_linestatus") == "F", F.concat(F.lit("S"), (F.col("l_suppkey") % 5).cast("string"))).alias("service"),
         F.when(F.col("l_returnflag") != "A", F.concat(F.lit("B"), (F.col("l_partkey") % 3).cast("string"))).alias("billing"),
-    ).distinct()
-    events = coded.join(v.headers(spark, d).select("claim_id", "member_id", "service_date"), "claim_id")
+    )
     return features.provider_counts(
         events, _spine(spark, d), v.MEMBER, "service_date", "service", "billing", SPECIALTIES, "sp_")
 
 
-RX_SQL = """per_drug AS (
+RX_SQL = f"""per_drug AS (
   SELECT o_custkey AS member_id, l_partkey, count(*) AS fills, min(CAST(l_shipdate AS DATE)) AS first_fill,
     max(CAST(l_shipdate AS DATE) + CAST(l_quantity AS INTEGER)) AS supply_end, sum(CAST(l_quantity AS INTEGER)) AS supplied,
     count(*) FILTER (l_returnflag = 'A') AS generic
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN idx ON o_custkey = member_id WHERE {_pre_sql('l_shipdate')}
+  GROUP BY 1, 2),
 rx_member AS (
   SELECT member_id, CAST(sum(fills) AS BIGINT) AS number_of_fills, count(*) AS number_of_unique_med,
     round(sum(generic) / sum(fills), 4) AS percent_generic,
@@ -172,7 +215,7 @@ rx_member AS (
 
 
 @query("rx_adherence", f"""
-    WITH {RX_SQL} SELECT c_custkey AS member_id, coalesce(number_of_fills, 0) AS number_of_fills,
+    WITH {v.INDEX_SQL}, {RX_SQL} SELECT c_custkey AS member_id, coalesce(number_of_fills, 0) AS number_of_fills,
       coalesce(number_of_unique_med, 0) AS number_of_unique_med, coalesce(percent_generic, 0) AS percent_generic,
       coalesce(percent_med_adherence, 0) AS percent_med_adherence
     FROM customer LEFT JOIN rx_member ON c_custkey = member_id""")
@@ -180,7 +223,7 @@ def rx_adherence(spark: SparkSession, d: str) -> DataFrame:
     fills = member_lines(spark, d, "l_partkey", "l_shipdate", "l_quantity", "l_returnflag").select(
         "member_id", F.col("l_partkey").alias("drug"), F.to_date("l_shipdate").alias("fill_date"),
         F.col("l_quantity").cast("int").alias("days"), (F.col("l_returnflag") == "A").cast("int").alias("generic"))
-    block = features.rx_adherence(fills, v.MEMBER, "drug", "fill_date", "days", "generic")
+    block = features.rx_adherence(in_pre(fills, spark, d, "fill_date"), v.MEMBER, "drug", "fill_date", "days", "generic")
     return joins.spine_fill(_spine(spark, d), block, v.MEMBER)
 
 

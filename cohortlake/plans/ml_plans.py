@@ -28,8 +28,8 @@ _frames: dict[tuple[str, str], DataFrame] = {}
 
 
 def build_frame(spark: SparkSession, d: str) -> DataFrame:
-    """Member table for modelling: demographics, index month, counts, trend, adherence,
-    imputed area rates, post-period outcome and total cost."""
+    """Member table for modelling: demographics, index month, counts, trend, adherence
+    and categories of the pre period, imputed area rates, post-period outcome and cost."""
     people = v.members(spark, d).join(v.index_months(spark, d), "member_id")
     demographics = people.select(
         "member_id", "state", "sex", "race", "disabled", F.col("age_cat").alias("ageCat"),
@@ -227,8 +227,8 @@ def top_k_importance(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("coefficient_importance", f"""
-    WITH {v.PERSONS_SQL}, {claim_plans.CLAIM_COST_SQL}, totals AS (
-      SELECT member_id, CAST(sum(mc + ffs) AS DOUBLE) AS cost FROM costed GROUP BY 1),
+    WITH {v.PERSONS_SQL}, {claim_plans.POST_COST_SQL}, totals AS (
+      SELECT member_id, CAST(sum(mc + ffs) AS DOUBLE) AS cost FROM post_costed GROUP BY 1),
     means AS (SELECT state, avg(coalesce(cost, 0)) AS mean_cost, row_number() OVER (ORDER BY count(*) DESC, state) AS place
       FROM persons LEFT JOIN totals USING (member_id) GROUP BY 1),
     base AS (SELECT mean_cost AS base_cost FROM means ORDER BY place DESC LIMIT 1),
@@ -250,8 +250,8 @@ def coefficient_importance(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("ml_linear_regression", f"""
-    WITH {v.MEMBERS_SQL}, {claim_plans.CLAIM_COST_SQL}, totals AS (
-      SELECT member_id, CAST(sum(mc + ffs) AS DOUBLE) AS cost FROM costed GROUP BY 1)
+    WITH {v.MEMBERS_SQL}, {claim_plans.POST_COST_SQL}, totals AS (
+      SELECT member_id, CAST(sum(mc + ffs) AS DOUBLE) AS cost FROM post_costed GROUP BY 1)
     SELECT age_cat, count(*) AS n, round(avg(coalesce(cost, 0)), 2) AS predicted_cost
     FROM members LEFT JOIN totals USING (member_id) GROUP BY 1""")
 def ml_linear_regression(spark: SparkSession, d: str) -> DataFrame:
