@@ -41,15 +41,14 @@ def below(text: Column, probability: float) -> Column:
 
 def poisson_levels(mean: float) -> list[str]:
     """Cumulative Poisson probabilities as words, up to the last one below 1."""
-    levels, term, total, k = [], math.exp(-mean), 0.0, 0
-    while k <= 200:
-        total += term
+    levels, total, k = [], 0.0, 0
+    while k <= mean + 40 * math.sqrt(mean) + 60:
+        total += math.exp(-mean + (k * math.log(mean) if k else 0.0) - math.lgamma(k + 1))
         level = threshold(total)
         if level == "g":
             break
         levels.append(level)
         k += 1
-        term *= mean / k
     return levels
 
 

@@ -20,13 +20,13 @@ def _chain(branches: Iterable[tuple[Column, object]], default: object) -> Column
 
 
 def to_int(source: Column) -> Column:
-    """Whole number held as text, else null.
+    """Whole number held as text or as a number, else null; '007' and '7.0' are 7.
 
     A pattern test comes first: ``try_cast`` raises and catches an exception inside for
     every bad value, which costs microseconds per row on dirty columns.
     """
     text = F.trim(source.cast("string"))
-    return F.when(text.rlike("^-?[0-9]{1,9}$"), text.cast("int"))
+    return F.when(text.rlike(r"^-?0*[0-9]{1,18}(\.0*)?$"), F.regexp_replace(text, r"\..*$", "").cast("bigint"))
 
 
 def recode(source: Column, table: Mapping[str, Sequence], default: str | None = codes.MISSING,

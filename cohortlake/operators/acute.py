@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohortlake.functions import codes
 from cohortlake.functions.recode import any_code
 from cohortlake.operators.episodes import episode_rollup
+from cohortlake.operators.joins import apart
 
 EVENT_FLAGS = ["ed_avoid", "ed_other", "ip_avoid", "ip_other"]
 OUTCOMES = [
@@ -45,7 +46,7 @@ def avoidable_ed_codes(weights: DataFrame, code: str, parts: Sequence[str], cuto
 
 def attach_code_flag(events: DataFrame, flags: DataFrame, code: str, flag: str) -> DataFrame:
     """Left lookup of a 0/1 code flag; unlisted codes get 0. ``flags`` is unique by code."""
-    return events.join(flags.select(code, flag), code, "left").na.fill(0, subset=[flag])
+    return events.join(apart(flags.select(code, flag)), code, "left").na.fill(0, subset=[flag])
 
 
 def visit_flags(events: DataFrame) -> DataFrame:

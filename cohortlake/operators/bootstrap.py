@@ -148,23 +148,25 @@ def cell_replicates(cells: DataFrame, cell: Sequence[str], count: str, replicate
                     seed: int, with_replacement: bool = True) -> DataFrame:
     """Replicated counts of aggregated cells: one draw per replicate and cell.
 
-    Each draw has its own generator, keyed by (seed, replicate, cell), so a retried task
-    repeats the same numbers.
+    Cells are sorted within their replicate and drawn a batch at a time by a generator keyed by
+    (seed, replicate, first cell), so a retried task repeats the same numbers.
     """
     grid = cells.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn(
         "__stream", F.xxhash64("replicate", *cell)
     )
     # cells are few and replicates many: spread the draws
-    spread = grid.repartition("replicate")
+    spread = grid.repartition("replicate").sortWithinPartitions("replicate", *cell)
     schema = spread.drop("__stream", count).schema.add("weight", "long")
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            weights = [
-                _one_draw(seed, int(stream), int(n), fraction, with_replacement)
-                for stream, n in zip(batch["__stream"], batch[count])
-            ]
-            yield batch.drop(columns=["__stream", count]).assign(weight=np.array(weights, dtype="int64"))
+            weights = np.empty(len(batch), dtype="int64")
+            counts = batch[count].to_numpy("int64")
+            for rows in batch.groupby("replicate", sort=False).indices.values():
+                stream = int(batch["__stream"].iloc[rows[0]]) & (2**64 - 1)
+                rng = np.random.Generator(np.random.Philox(key=[seed, stream]))
+                weights[rows] = rng.poisson(counts[rows] * fraction) if with_replacement else rng.binomial(counts[rows], fraction)
+            yield batch.drop(columns=["__stream", count]).assign(weight=weights)
 
     return spread.mapInPandas(draw, schema)
 
@@ -183,7 +185,3 @@ def bootstrap_cells_ci(scored: DataFrame, label: str, prediction: str, score_bin
     auc = percentile_interval(auc_replicates(weighted, cells, "score_bin", label), ["auc"])
     return metrics.unionByName(auc)
 
-
-def _one_draw(seed: int, stream: int, n: int, fraction: float, with_replacement: bool) -> int:
-    rng = np.random.Generator(np.random.Philox(key=[seed, stream & (2**64 - 1)]))
-    return int(rng.poisson(n * fraction) if with_replacement else rng.binomial(n, fraction))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from cohortlake.functions import codes
 
 SALTS = 32
+CHUNK = 100_000
 
 
 def _opens(start: Column, previous_end: Column, gap_days: int) -> Column:
@@ -85,28 +86,33 @@ def episodes(df: DataFrame, keys: Sequence[str], start: str, end: str, gap_days:
              salts: int = SALTS) -> DataFrame:
     """Every row with its ``episode`` number and ``overlap`` class.
 
-    Rows meet their interval on (member, start, end, salt), so a third of all rows in
-    one interval still spreads over ``salts`` tasks; the position of a row among equal
-    intervals comes from per-salt counts plus a row number inside its salt.
+    Equal rows are first combined to one row with a count, map-side, so a third of all rows
+    in one interval is no group of rows anywhere; different rows of one interval spread over
+    ``salts`` tasks by a hash of the row. The position of a row among equal intervals comes from per-salt
+    counts plus a running count inside its salt. Rows are told apart again at the end, a bounded
+    number at a time.
     """
     interval = [*keys, start, end]
-    salted = df.withColumn("__hash", F.xxhash64(*df.columns)).withColumn(
+    rows = df.groupBy(*df.columns).agg(F.count("*").alias("__n"))
+    salted = rows.withColumn("__hash", F.xxhash64(*df.columns)).withColumn(
         "__salt", F.pmod("__hash", F.lit(salts)).cast("int")
     )
-    per_salt = salted.groupBy(*interval, "__salt").agg(F.count("*").alias("__n"))
-    distinct = per_salt.groupBy(*interval).agg(F.sum("__n").alias("copies"))
+    per_salt = salted.groupBy(*interval, "__salt").agg(F.sum("__n").alias("__in_salt"))
+    distinct = per_salt.groupBy(*interval).agg(F.sum("__in_salt").alias("copies"))
     numbered = number_intervals(distinct, keys, start, end, "copies", gap_days, mode)
 
-    spread = Window.partitionBy(*interval).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_salt.withColumn("__offset", F.coalesce(F.sum("__n").over(spread), F.lit(0)))
+    before = Window.unboundedPreceding
+    spread = Window.partitionBy(*interval).orderBy("__salt").rowsBetween(before, -1)
+    offsets = per_salt.withColumn("__offset", F.coalesce(F.sum("__in_salt").over(spread), F.lit(0)))
     lookup = _null_safe_join(offsets, numbered, interval, ["copies_open", "overlap", "copy_overlap", "episode"])
     joined = _null_safe_join(
         salted, lookup, [*interval, "__salt"],
         ["__offset", "copies_open", "overlap", "copy_overlap", "episode"],
     )
-    local = Window.partitionBy(*interval, "__salt").orderBy("__hash")
-    copy = F.col("__offset") + F.row_number().over(local)
-    return joined.withColumn("__copy", copy).select(
+    local = Window.partitionBy(*interval, "__salt").orderBy("__hash").rowsBetween(before, -1)
+    first = F.col("__offset") + F.coalesce(F.sum("__n").over(local), F.lit(0))
+    placed = _explode_range(joined.withColumn("__first", first), "__copy", F.col("__first") + 1, F.col("__first") + F.col("__n"))
+    return placed.select(
         *df.columns,
         F.when(F.col("copies_open"), F.col("episode") + F.col("__copy") - 1)
         .otherwise(F.col("episode")).cast("long").alias("episode"),
@@ -114,6 +120,13 @@ def episodes(df: DataFrame, keys: Sequence[str], start: str, end: str, gap_days:
     )
 
 
+def _explode_range(df: DataFrame, name: str, first: Column, last: Column, step: int = CHUNK) -> DataFrame:
+    """One row per number from ``first`` to ``last``; no array is longer than ``step`` but for the list of its starts."""
+    starts = df.withColumn("__last", last).withColumn("__at", F.explode(F.sequence(first, F.col("__last"), F.lit(step).cast("long"))))
+    ends = F.least(F.col("__at") + step - 1, F.col("__last"))
+    return starts.withColumn(name, F.explode(F.sequence("__at", ends))).drop("__last", "__at")
+
+
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], added: Sequence[str]) -> DataFrame:
     """Inner equi-join in which null keys match; keeps the left columns and ``added``."""
     renamed = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *added)
@@ -128,7 +141,7 @@ def episode_rollup(df: DataFrame, keys: Sequence[str], start: str, end: str, fla
     Flags are combined to distinct intervals before numbering, so rows are shuffled
     once and never joined back. Copies of an interval that open an episode each (no
     end, or an end before the start) must keep their own flags; they are combined only
-    with copies of equal flags and then spread over their episode numbers.
+    with copies of equal flags and then spread over their episode numbers, in bounded pieces.
     """
     standalone = F.col(end).isNull() | (F.col(start) > F.date_add(end, gap_days))
     tie = F.when(standalone, F.concat_ws("|", *[F.col(f).cast("string") for f in flags]))
@@ -136,8 +149,10 @@ def episode_rollup(df: DataFrame, keys: Sequence[str], start: str, end: str, fla
         F.count("*").alias("copies"), *[F.max(f).alias(f) for f in flags]
     )
     numbered = number_intervals(distinct, keys, start, end, "copies", gap_days, mode, tie=["__tie"])
-    last = F.col("episode") + F.when(F.col("copies_open"), F.col("copies") - 1).otherwise(0)
-    return numbered.withColumn("episode", F.explode(F.sequence("episode", last))).groupBy(*keys, "episode").agg(
+    ranged = numbered.withColumnRenamed("episode", "__from").withColumn(
+        "__to", F.col("__from") + F.when(F.col("copies_open"), F.col("copies") - 1).otherwise(0))
+    each = _explode_range(ranged, "episode", F.col("__from"), F.col("__to"))
+    return each.groupBy(*keys, "episode").agg(
         F.min(start).alias(start), F.max(end).alias(end), *[F.max(f).alias(f) for f in flags],
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -47,14 +48,19 @@ def confusion_metrics(df: DataFrame, label: str, prediction: str, group: Sequenc
     return cells.select(*group, *CELLS, *[c.alias(n) for n, c in rounded.items()])
 
 
+def fan_out_for(rows: int, per_bucket: int = 4_000_000) -> int:
+    """``fan_out`` for :func:`score_bounds` such that a bucket holds about ``per_bucket`` scores."""
+    return max(16, math.ceil(math.sqrt(rows / per_bucket)))
+
+
 def score_bounds(df: DataFrame, score: str, fan_out: int = 16) -> Column:
     """Bounds cutting the rows into ``fan_out`` squared parts of about equal size by score, as
     a scalar subquery: coarse bounds, and for each coarse part its fine bounds. Their number
-    is fixed, whatever the data size, and the sketch behind them needs no shuffle of rows.
+    is fixed by ``fan_out``, and the sketch behind them needs no shuffle of rows.
     A score shared by many rows only makes some parts empty."""
     parts = fan_out * fan_out
     steps = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    bounds = df.agg(F.percentile_approx(score, steps, 2_000).alias("b"))
+    bounds = df.agg(F.percentile_approx(score, steps, max(2_000, 8 * parts)).alias("b"))
     coarse = F.array(*[F.col("b")[fan_out * i - 1] for i in range(1, fan_out)])
     fine = F.array(*[F.slice("b", fan_out * i + 1, fan_out - 1) for i in range(fan_out)])
     return bounds.select(F.struct(coarse.alias("coarse"), fine.alias("fine"))).scalar()
@@ -69,24 +75,27 @@ def auc_from_counts(counts: DataFrame, score: str, bounds: Column, group: Sequen
     the negatives below a bucket from a window over the few bucket totals. Ties count half.
     """
 
+    def wide(value: Column) -> Column:
+        return value.cast("decimal(19,0)")
+
     def passed(values: Column) -> Column:
         return F.size(F.filter(values, lambda b: b < F.col(score)))
 
     bucketed = (
         counts.withColumn("__bounds", bounds)
         .withColumn("__part", passed(F.col("__bounds.coarse")))
-        .withColumn("__bucket", F.col("__part") * 1000 + passed(F.col("__bounds.fine")[F.col("__part")]))
+        .withColumn("__bucket", F.struct("__part", passed(F.col("__bounds.fine")[F.col("__part")]).alias("fine")))
         .drop("__bounds", "__part")
     )
     inside = Window.partitionBy(*group, "__bucket").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     ranked = bucketed.withColumn("__below", F.coalesce(F.sum(negatives).over(inside), F.lit(0)))
     totals = ranked.groupBy(*group, "__bucket").agg(
         F.sum(positives).alias("p"), F.sum(negatives).alias("n"),
-        F.sum(F.col(positives) * (2 * F.col("__below") + F.col(negatives))).alias("u2"),
+        F.sum(wide(F.col(positives)) * wide(2 * F.col("__below") + F.col(negatives))).alias("u2"),
     )
     lower = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     placed = totals.withColumn("__before", F.coalesce(F.sum("n").over(lower), F.lit(0)))
-    wins = F.sum((F.col("u2") + 2 * F.col("p") * F.col("__before")).cast("decimal(38,0)")).cast("double")
+    wins = F.sum(F.col("u2").cast("double") + (wide(2 * F.col("p")) * wide(F.col("__before"))).cast("double"))
     pairs = F.sum("p").cast("double") * F.sum("n").cast("double")
     return placed.groupBy(*group).agg(
         F.sum("p").alias("positives"), F.sum("n").alias("negatives"),
@@ -94,8 +103,9 @@ def auc_from_counts(counts: DataFrame, score: str, bounds: Column, group: Sequen
     )
 
 
-def auc_rank(df: DataFrame, score: str, label: str, fan_out: int = 16) -> DataFrame:
-    """Exact AUC of one scored set."""
+def auc_rank(df: DataFrame, score: str, label: str, fan_out: int | None = None) -> DataFrame:
+    """Exact AUC of one scored set; the number of buckets follows from the rows unless given."""
+    fan_out = fan_out or fan_out_for(df.count())
     counts = df.groupBy(score).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
@@ -106,16 +116,18 @@ def regression_sums(actual: str, predicted: str, weight: Column | None = None) -
     """Sufficient sums for means, totals and R-squared."""
     y, p = F.col(actual).cast("double"), F.col(predicted).cast("double")
     w = F.lit(1.0) if weight is None else weight.cast("double")
+    # the variance aggregate updates around the running mean, so large means cancel nothing
+    spread = F.var_pop(y) * F.count(y) if weight is None else F.sum(w * y * y) - F.try_divide(F.sum(w * y) * F.sum(w * y), F.sum(w))
     return [
         F.sum(w).alias("w"), F.sum(w * y).alias("wy"), F.sum(w * p).alias("wp"),
-        F.sum(w * y * y).alias("wyy"), F.sum(w * (y - p) * (y - p)).alias("wee"),
+        spread.alias("spread"), F.sum(w * (y - p) * (y - p)).alias("wee"),
         F.sum(w * F.abs(y - p)).alias("wae"),
     ]
 
 
 def regression_columns() -> dict[str, Column]:
     w, wy, wp = F.col("w"), F.col("wy"), F.col("wp")
-    spread = F.col("wyy") - F.try_divide(wy * wy, w)
+    spread = F.col("spread")
     return {
         "mean_actual": F.try_divide(wy, w),
         "mean_predicted": F.try_divide(wp, w),

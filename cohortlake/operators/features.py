@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.functions import codes
-from cohortlake.operators.joins import spine_fill
+from cohortlake.operators.joins import apart, spine_fill
 from cohortlake.operators.profile import distinct_events
 
 UNMATCHED = "unmatched"
@@ -22,8 +22,8 @@ def unique_codes(crosswalk: DataFrame, code: str, category: str) -> DataFrame:
 def crosswalk_exact(events: DataFrame, crosswalk: DataFrame, code: str, category: str,
                     how: str = "left") -> DataFrame:
     """Code to category on the whole code. No broadcast hint: adaptive execution
-    measures the crosswalk and picks the join."""
-    return events.join(unique_codes(crosswalk, code, category), code, how)
+    measures the crosswalk and picks the join, or splits a code that most events have."""
+    return events.join(apart(unique_codes(crosswalk, code, category)), code, how)
 
 
 def crosswalk_prefix(events: DataFrame, crosswalk: DataFrame, code: str, category: str,
@@ -179,7 +179,6 @@ def group_indicators(events: DataFrame, crosswalk: DataFrame, keys: Sequence[str
         crosswalk.select(code, (F.array_position(names, F.trim(group)) - 1).alias("__slot"))
         .where(F.col("__slot") >= 0).distinct()
     )
-    unique = events.select(*keys, code).distinct()
     slot = F.col("__slot")
     words = (len(values) + BITS - 1) // BITS
     masks = [
@@ -187,7 +186,8 @@ def group_indicators(events: DataFrame, crosswalk: DataFrame, keys: Sequence[str
                  .otherwise(0)).alias(f"__mask_{w}")
         for w in range(words)
     ]
-    packed = unique.join(slots, code, "inner").groupBy(*keys).agg(*masks)
+    # repeated events only repeat the same bits, so they need not be made distinct first
+    packed = events.select(*keys, code).join(slots, code, "inner").groupBy(*keys).agg(*masks)
     return packed.select(*keys, *[
         F.getbit(f"__mask_{i // BITS}", F.lit(i % BITS)).cast("int").alias(x) for i, x in enumerate(values)
     ])

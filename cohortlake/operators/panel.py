@@ -98,6 +98,8 @@ def coverage_mask(months: DataFrame, keys: Sequence[str], index: str, width: int
 
     One bigint per member replaces ``width`` columns in the shuffle.
     """
+    if not 1 <= width <= 64:
+        raise ValueError("one long holds 64 months")
     inside = months.where(F.col(index).between(1, width))
     bit = F.expr(f"shiftleft(1L, {index} - 1)")
     return inside.groupBy(*keys).agg(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.functions.dates import month_index, trend_slope
+from cohortlake.operators.joins import apart
 
 HALF = 6
 
@@ -30,11 +31,11 @@ def prepost_window(events: DataFrame, windows: DataFrame, keys: Sequence[str], d
                    base_year: int) -> DataFrame:
     """Row-level events inside a member's twelve months, flagged pre and post.
 
-    Equi-join on the member with the month range applied to the joined row; nothing
-    follows the join, so adaptive execution is free to split a hot member.
+    Equi-join on the member with the month range applied to the joined row. The windows
+    have a shuffle of their own, so adaptive execution is free to split a hot member.
     """
     dated = events.withColumn("service_month", month_index(F.col(date), base_year))
-    joined = dated.join(windows, list(keys), "inner").where(
+    joined = dated.join(apart(windows), list(keys), "inner").where(
         F.col("service_month").between(F.col("start_month"), F.col("end_month"))
     )
     return joined.withColumns({

@@ -202,12 +202,12 @@ def _normal_sql(source: str, metrics: list[str], sd: str, digits: int, group: st
 
 
 @query("group_bootstrap_ci", f"""
-    WITH {MEMBER_SCORED_SQL}, {_replicates_sql('grouped', 'CAST(member_id AS VARCHAR)', 200, 0.25, 'grp')},
+    WITH {MEMBER_SCORED_SQL}, {_replicates_sql('grouped', 'CAST(member_id AS VARCHAR)', 1000, 0.05, 'grp')},
     cells AS (SELECT replicate, grp, {_cells_sql('weight')} FROM weighted GROUP BY 1, 2),
     metrics AS (SELECT replicate, grp, {METRICS_SQL} FROM cells) {_normal_sql('metrics', GROUP_METRICS, 'stddev_samp', 6)}""")
 def group_bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     weighted = bootstrap.weighted_replicates(
-        member_scored(spark, d), F.col("member_id").cast("string"), 200, 0.25, "grp")
+        member_scored(spark, d), F.col("member_id").cast("string"), 1000, 0.05, "grp")
     values = bootstrap.classification_replicates(weighted, "label", "prediction", ["grp"])
     return bootstrap.normal_interval(values, GROUP_METRICS, ["grp"])
 
@@ -254,19 +254,19 @@ REGRESSION_METRICS = ["mean_actual", "mean_predicted", "mean_difference", "r2"]
 
 
 @query("bootstrap_regression_ci", f"""
-    WITH {MEMBER_COST_SQL}, {_replicates_sql('costs', 'CAST(member_id AS VARCHAR)', 200, 0.1, 'cost')}, {REGRESSION_SQL}
+    WITH {MEMBER_COST_SQL}, {_replicates_sql('costs', 'CAST(member_id AS VARCHAR)', 1000, 0.1, 'cost')}, {REGRESSION_SQL}
     {_percentile_sql('values_', REGRESSION_METRICS, 4)}""")
 def bootstrap_regression(spark: SparkSession, d: str) -> DataFrame:
     return bootstrap.bootstrap_regression_ci(
-        member_costs(spark, d), F.col("member_id"), "actual", "predicted", 200, 0.1, "cost")
+        member_costs(spark, d), F.col("member_id"), "actual", "predicted", 1000, 0.1, "cost")
 
 
 @query("subsample_regression_ci", f"""
-    WITH {MEMBER_COST_SQL}, {_replicates_sql('costs', 'CAST(member_id AS VARCHAR)', 200, 0.25, 'sub', False)}, {REGRESSION_SQL}
+    WITH {MEMBER_COST_SQL}, {_replicates_sql('costs', 'CAST(member_id AS VARCHAR)', 1000, 0.25, 'sub', False)}, {REGRESSION_SQL}
     {_percentile_sql('values_', REGRESSION_METRICS, 4)}""")
 def subsample_regression(spark: SparkSession, d: str) -> DataFrame:
     return bootstrap.bootstrap_regression_ci(
-        member_costs(spark, d), F.col("member_id"), "actual", "predicted", 200, 0.25, "sub", with_replacement=False)
+        member_costs(spark, d), F.col("member_id"), "actual", "predicted", 1000, 0.25, "sub", with_replacement=False)
 
 
 @query("group_residual", f"""
@@ -276,11 +276,11 @@ def group_residual(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("group_residual_ci", f"""
-    WITH {MEMBER_COST_SQL}, {_replicates_sql('costs', 'CAST(member_id AS VARCHAR)', 200, 0.25, 'res')},
+    WITH {MEMBER_COST_SQL}, {_replicates_sql('costs', 'CAST(member_id AS VARCHAR)', 1000, 0.25, 'res')},
     means AS (SELECT replicate, grp, sum(weight * (predicted - actual)) / sum(weight) AS mean_residual FROM weighted GROUP BY 1, 2)
     {_normal_sql('means', ['mean_residual'], 'stddev_pop', 4)}""")
 def group_residual_ci(spark: SparkSession, d: str) -> DataFrame:
-    weighted = bootstrap.weighted_replicates(member_costs(spark, d), F.col("member_id").cast("string"), 200, 0.25, "res")
+    weighted = bootstrap.weighted_replicates(member_costs(spark, d), F.col("member_id").cast("string"), 1000, 0.25, "res")
     values = bootstrap.group_residual_replicates(weighted, "actual", "predicted", "grp")
     return bootstrap.normal_interval(values, ["mean_residual"], ["grp"], sample_deviation=False, digits=4)
 

@@ -127,7 +127,7 @@ def ml_feature_sets(spark: SparkSession, d: str) -> DataFrame:
     results = None
     for name in ml.feature_sets([], []):
         categorical, numeric = feature_set(name)
-        learner = ml.linear("total_cost", regParam=0.01, maxIter=20)
+        learner = ml.linear("total_cost")
         model = ml.fit(p["train"], ml.encoder(categorical, numeric), learner)
         row = evaluation.regression_metrics(model.transform(p["test"]), "total_cost", "prediction").select(
             F.lit(name).alias("feature_set"), F.lit(len(categorical)).alias("categorical"),
@@ -289,7 +289,7 @@ def ml_cost_by_stratum(spark: SparkSession, d: str) -> DataFrame:
     rows = None
     for name in ("adults", "kids", "disabled"):
         mine = split.where(F.col("stratum") == name)
-        model = ml.fit(mine.where(F.col("part") == "train"), ml.encoder([], columns), ml.linear("total_cost", regParam=0.01))
+        model = ml.fit(mine.where(F.col("part") == "train"), ml.encoder([], columns), ml.linear("total_cost"))
         scored = model.transform(mine.where(F.col("part") == "test"))
         row = evaluation.regression_metrics(scored, "total_cost", "prediction").withColumn("stratum", F.lit(name))
         rows = row if rows is None else rows.unionByName(row)
