@@ -11,7 +11,8 @@ Equal fingerprints are one node, so copies are never compared. The tree is fitte
 and those that the triangle bound lets come within ``distance`` of one there, to its inner branch and those
 beyond the radius to its outer branch: two linked fingerprints reach a common leaf. A leaf
 whose share of the sample is large is cut into blocks, and each pair of blocks is a shard of
-its own. Shards return a spanning forest of their links, never all pairs.
+its own. Shards return their groups of connected fingerprints, each member paired with the smallest one,
+never all pairs.
 
 Rows without doc_id get a fingerprint, and the component of an equal fingerprint of a row with
 an id, if any; they link nothing.
@@ -141,28 +142,27 @@ class Tree:
         return np.concatenate(at or [np.empty(0, np.int64)]), np.concatenate(shard or [np.empty(0, np.int64)])
 
 
-def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Positions of linked fingerprints, as few pairs as connect what is connected."""
+def groups(fps: np.ndarray, distance: int) -> list[np.ndarray]:
+    """Positions of the fingerprints that links connect, a list for each group of two or more."""
     n, step = len(fps), max(1, (1 << 21) // max(len(fps), 1))
     some = np.zeros(n, bool)
     for low in range(0, n, step):
         near = np.bitwise_count(fps[low : low + step, None] ^ fps[None, :]) <= distance
         some[low : low + step] = near.sum(axis=1) > 1
-    rest, pairs = np.flatnonzero(some), []
+    rest, found = np.flatnonzero(some), []
     while len(rest):
-        front, rest = rest[:1], rest[1:]
+        front, rest, members = rest[:1], rest[1:], [rest[:1]]
         while len(front) and len(rest):
             now, front = front[:step], front[step:]
-            near = np.bitwise_count(fps[now][:, None] ^ fps[rest][None, :]) <= distance
-            hit = near.any(axis=0)
-            pairs += zip(now[near.argmax(axis=0)[hit]].tolist(), rest[hit].tolist())
+            hit = (np.bitwise_count(fps[now][:, None] ^ fps[rest][None, :]) <= distance).any(axis=0)
+            members.append(rest[hit])
             front, rest = np.concatenate((front, rest[hit])), rest[~hit]
-    return pairs
+        found.append(np.concatenate(members))
+    return found
 
 
 def links(nodes: DataFrame, *, distance: int = DISTANCE, sample: int = SAMPLE, leaf: int = LEAF, leaves: int = LEAVES) -> DataFrame:
-    """Links (a, b) between nodes (node, fp) of different fingerprints that connect all fingerprints
-    within ``distance`` of each other."""
+    """Pairs (a, b) of nodes (node, fp) that connect exactly what links of ``distance`` or fewer bits connect."""
     total = nodes.count()
     some = nodes if total <= sample else nodes.where(F.xxhash64("fp") < -(2**63) + 2**64 * sample // total)
     chosen = some.select("fp").toPandas()["fp"].to_numpy(np.int64)
@@ -182,8 +182,11 @@ def links(nodes: DataFrame, *, distance: int = DISTANCE, sample: int = SAMPLE, l
 
     def connect(rows: pd.DataFrame) -> pd.DataFrame:
         node = rows["node"].to_numpy()
-        pairs = np.array(forest(rows["fp"].to_numpy().view(np.uint64), distance), np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": node[pairs[:, 0]], "b": node[pairs[:, 1]]})
+        found = [np.sort(node[x]) for x in groups(rows["fp"].to_numpy().view(np.uint64), distance)]
+        return pd.DataFrame({
+            "a": np.concatenate([np.repeat(x[:1], len(x) - 1) for x in found] or [node[:0]]),
+            "b": np.concatenate([x[1:] for x in found] or [node[:0]]),
+        })
 
     routed = nodes.select("node", "fp").mapInArrow(route, "node bigint, fp bigint, shard bigint")
     return routed.groupBy("shard").applyInPandas(connect, "a bigint, b bigint")
