@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -18,6 +19,7 @@ from cohortlake.functions import codes
 from cohortlake.operators.evaluation import CELLS, auc_from_counts, confusion_cells, metric_columns, score_bounds
 
 FEATURES = "features"
+PIECES = 4
 
 
 def encoder(categorical: Sequence[str], numeric: Sequence[str], invalid: str = "keep",
@@ -46,10 +48,12 @@ def encoder(categorical: Sequence[str], numeric: Sequence[str], invalid: str = "
 
 
 def feature_sets(counts: Sequence[str], utilisation: Sequence[str], area: Sequence[str] = tuple(codes.AREA_RATES),
-                 individual: Sequence[str] = tuple(codes.INDIVIDUAL_CATEGORICAL)) -> dict[str, tuple[list, list]]:
-    """Named (categorical, numeric) column lists; the numeric blocks come from the data."""
+                 individual: Sequence[str] = tuple(codes.INDIVIDUAL_CATEGORICAL),
+                 stage1: Sequence[str] = ()) -> dict[str, tuple[list, list]]:
+    """Named (categorical, numeric) column lists; the numeric blocks come from the data, ``stage1`` are
+    the probabilities of the stage-1 models."""
     base = codes.STAGE2_CATEGORICAL
-    numeric = [*utilisation, *counts]
+    numeric = [*utilisation, *counts, *stage1]
     return {
         "baseline": (list(codes.STAGE2_BASELINE), list(counts)),
         "no_sdoh": (list(base), numeric),
@@ -70,18 +74,23 @@ def logistic(label: str, reg: float = 0.0, mix: float = 0.0, **extra) -> Logisti
 
 
 def boosted_classifier(label: str, depth: int = 5, trees: int = 20, step: float = 0.1, subsample: float = 1.0,
-                       seed: int = 42) -> GBTClassifier:
+                       subset: str = "all", gain: float = 0.0, leaf: int = 1, seed: int = 42) -> GBTClassifier:
     return GBTClassifier(featuresCol=FEATURES, labelCol=label, maxDepth=depth, maxIter=trees, stepSize=step,
-                         subsamplingRate=subsample, seed=seed)
+                         subsamplingRate=subsample, featureSubsetStrategy=subset, minInfoGain=gain,
+                         minInstancesPerNode=leaf, seed=seed)
 
 
-def forest(label: str, depth: int = 20, trees: int = 50, leaf: int = 1, seed: int = 42) -> RandomForestClassifier:
+def forest(label: str, depth: int = 20, trees: int = 50, leaf: int = 1, subset: str = "sqrt",
+           seed: int = 42) -> RandomForestClassifier:
     return RandomForestClassifier(featuresCol=FEATURES, labelCol=label, maxDepth=depth, numTrees=trees,
-                                  minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", seed=seed)
+                                  minInstancesPerNode=leaf, featureSubsetStrategy=subset, seed=seed)
 
 
-def boosted_regressor(label: str, depth: int = 5, trees: int = 20, step: float = 0.1, seed: int = 42) -> GBTRegressor:
-    return GBTRegressor(featuresCol=FEATURES, labelCol=label, maxDepth=depth, maxIter=trees, stepSize=step, seed=seed)
+def boosted_regressor(label: str, depth: int = 5, trees: int = 20, step: float = 0.1, subsample: float = 1.0,
+                      subset: str = "all", gain: float = 0.0, leaf: int = 1, seed: int = 42) -> GBTRegressor:
+    return GBTRegressor(featuresCol=FEATURES, labelCol=label, maxDepth=depth, maxIter=trees, stepSize=step,
+                        subsamplingRate=subsample, featureSubsetStrategy=subset, minInfoGain=gain,
+                        minInstancesPerNode=leaf, seed=seed)
 
 
 def linear(label: str, **extra) -> LinearRegression:
@@ -128,46 +137,47 @@ def grid(**axes: Sequence) -> list[dict]:
     return [dict(zip(names, values)) for values in product(*axes.values())]
 
 
-def choose_by_mcc(train: DataFrame, validation: DataFrame, stages: Sequence[Estimator], label: str, build,
-                  settings: Sequence[Mapping]) -> tuple[dict, PipelineModel, list[tuple[dict, float]]]:
-    """Fit each setting, keep the one with the best correlation coefficient on validation.
+def _choose(train, validation, stages, label, build, settings, value_of, parallel):
+    """Fit every setting, a bounded number at a time, and keep the best on validation.
 
-    The encoders are fitted once and both sets encoded once; only the learner is refitted.
+    The encoders are fitted once and both sets encoded once; only the learner is refitted. The driver
+    holds one number per setting and the best model so far; the first of equal settings wins.
     """
     encoders = Pipeline(stages=list(stages)).fit(train)
-    encoded, held_out = (encoders.transform(d).select(label, FEATURES).persist() for d in (train, validation))
-    trials = []
-    best = None
-    for setting in settings:
+    # the search sample is bounded, and a fit is many small passes over it: few pieces
+    encoded = encoders.transform(train).select(label, FEATURES).coalesce(PIECES).persist()
+    held_out = encoders.transform(validation).select(label, FEATURES).persist()
+
+    def trial(setting):
         model = build(label=label, **setting).fit(encoded)
-        value = mcc_value(model.transform(held_out), label)
-        trials.append((dict(setting), value))
-        if best is None or value > best[1]:
-            best = (dict(setting), value, model)
+        return dict(setting), value_of(model.transform(held_out)), model
+
+    trials, best = [], None
+    with ThreadPool(parallel) as pool:
+        for setting, value, model in pool.imap(trial, settings):
+            trials.append((setting, value))
+            if best is None or (value is not None and (best[1] is None or value > best[1])):
+                best = (setting, value, model)
     encoded.unpersist()
     held_out.unpersist()
     return best[0], PipelineModel(stages=[*encoders.stages, best[2]]), trials
 
 
+def choose_by_mcc(train: DataFrame, validation: DataFrame, stages: Sequence[Estimator], label: str, build,
+                  settings: Sequence[Mapping], parallel: int = 4) -> tuple[dict, PipelineModel, list[tuple[dict, float]]]:
+    """The setting with the best correlation coefficient on validation, its model, and all values."""
+    return _choose(train, validation, stages, label, build, settings, lambda scored: mcc_value(scored, label), parallel)
+
+
 def choose_by_r2(train: DataFrame, validation: DataFrame, stages: Sequence[Estimator], label: str, build,
-                 settings: Sequence[Mapping]) -> tuple[dict, PipelineModel, list[tuple[dict, float]]]:
+                 settings: Sequence[Mapping], parallel: int = 4) -> tuple[dict, PipelineModel, list[tuple[dict, float]]]:
     """As :func:`choose_by_mcc` for regression, by R-squared."""
     from cohortlake.operators.evaluation import regression_columns, regression_sums
 
-    encoders = Pipeline(stages=list(stages)).fit(train)
-    encoded, held_out = (encoders.transform(d).select(label, FEATURES).persist() for d in (train, validation))
-    trials = []
-    best = None
-    for setting in settings:
-        model = build(label=label, **setting).fit(encoded)
-        sums = model.transform(held_out).agg(*regression_sums(label, "prediction"))
-        value = sums.select(regression_columns()["r2"]).first()[0]
-        trials.append((dict(setting), value))
-        if best is None or (value is not None and value > best[1]):
-            best = (dict(setting), value, model)
-    encoded.unpersist()
-    held_out.unpersist()
-    return best[0], PipelineModel(stages=[*encoders.stages, best[2]]), trials
+    def r2(scored: DataFrame) -> float | None:
+        return scored.agg(*regression_sums(label, "prediction")).select(regression_columns()["r2"]).first()[0]
+
+    return _choose(train, validation, stages, label, build, settings, r2, parallel)
 
 
 def save_model(model: PipelineModel, path: str) -> None:

@@ -13,8 +13,9 @@ from cohortlake.functions import codes
 from cohortlake.functions.dates import month_name, month_year
 from cohortlake.functions.hashing import threshold
 from cohortlake.operators import evaluation, features, joins, ml, sampling
-from cohortlake.plans import claim_plans, feature_plans, profile_plans, views as v
+from cohortlake.plans import claim_plans, feature_plans, panel_plans, profile_plans, views as v
 from cohortlake.plans.registry import query
+from cohortlake.sources.tables import version
 from cohortlake.session import materialize, shared_dir
 
 LABEL = "outcome"
@@ -24,7 +25,9 @@ UTILISATION = ["lines_slope", "number_of_fills", "percent_generic", "percent_med
 INDIVIDUAL = list(codes.INDIVIDUAL_CATEGORICAL)
 AREA = ["rich_rate", "poor_rate", "debt_rate"]
 
-_frames: dict[tuple[str, str], DataFrame] = {}
+STAGE1 = ["stage1_baseline_probability", "stage1_probability"]
+
+_frames: dict[tuple[str, str], tuple[str, DataFrame]] = {}
 
 
 def build_frame(spark: SparkSession, d: str) -> DataFrame:
@@ -40,19 +43,48 @@ def build_frame(spark: SparkSession, d: str) -> DataFrame:
     claims = claim_plans.post_outcomes(spark, d).select("member_id", (F.col("claims_post") > 0).cast("double").alias(LABEL))
     blocks = [
         individual, feature_plans.dx_counts(spark, d), claim_plans.slope(spark, d), feature_plans.rx_adherence(spark, d),
-        claims, claim_plans.total_cost(spark, d).select("member_id", "total_cost"),
+        claims, claim_plans.total_cost(spark, d).select("member_id", "total_cost"), stage1_probabilities(spark, d),
     ]
     # a rate unknown in every county stays null through imputation
     numeric_fill = {c: 0 for c in AREA} | {c: 0 for b in blocks for c in b.columns if c not in (*v.MEMBER, *INDIVIDUAL)}
     return joins.assemble(demographics.join(area, "county"), blocks, v.MEMBER, fill=None).na.fill(numeric_fill)
 
 
+def stage1_table(spark: SparkSession, d: str) -> DataFrame:
+    """Stage-1 population under the names of the feature sets, in two halves."""
+    population = panel_plans.stage1(spark, d).withColumnsRenamed(
+        {"age_cat": "ageCat", "enroll_month": "enrollMonth", "enroll_year": "enrollYear", "prior_coverage": "cov2016yes"})
+    individual = profile_plans.recodes(spark, d).select("member_id", *INDIVIDUAL)
+    joined = joins.assemble(population, [individual], v.MEMBER, fill=None)
+    return sampling.hash_split(joined, v.MEMBER, {"a": 0.5, "b": 0.5}, "stage1")
+
+
+def _other_half(spark: SparkSession, table: DataFrame, categorical: list[str], name: str, **learner) -> DataFrame:
+    """Probability of losing coverage for every member, from a stored model fitted on the half the member is not in."""
+    scored = []
+    for half, other in (("a", "b"), ("b", "a")):
+        model = ml.fit(table.where(F.col("part") == half), ml.encoder(categorical, []), ml.logistic("lose_coverage", **learner))
+        path = f"{shared_dir(spark)}/models/{uuid.uuid4().hex}"
+        ml.save_model(model, path)
+        mine = ml.batch_score(spark, path, table.where(F.col("part") == other), v.MEMBER)
+        scored.append(mine.select("member_id", F.col("probability_col").alias(name)))
+    return scored[0].unionByName(scored[1])
+
+
+def stage1_probabilities(spark: SparkSession, d: str) -> DataFrame:
+    """Both stage-1 models' probabilities; members outside the stage-1 population have no row."""
+    table = materialize(stage1_table(spark, d), "stage1")
+    sets = (codes.STAGE1_BASELINE, codes.STAGE1_CATEGORICAL)
+    blocks = [_other_half(spark, table, [c for c in columns if c in table.columns], name) for name, columns in zip(STAGE1, sets)]
+    return joins.assemble_inner(blocks, v.MEMBER)
+
+
 def frame(spark: SparkSession, d: str) -> DataFrame:
     """The member table as a written table: model fitting reads it many times."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _frames:
-        _frames[key] = materialize(build_frame(spark, d), "member-table")
-    return _frames[key]
+    key, now = (spark.sparkContext.applicationId, d), version(spark, d)
+    if key not in _frames or _frames[key][0] != now:
+        _frames[key] = (now, materialize(build_frame(spark, d), "member-table"))
+    return _frames[key][1]
 
 
 def parts(spark: SparkSession, d: str) -> dict[str, DataFrame]:
@@ -63,8 +95,9 @@ def parts(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 
 def feature_set(name: str) -> tuple[list[str], list[str]]:
-    sets = ml.feature_sets(COUNTS, UTILISATION, AREA)
-    return ml.restrict_set(sets[name], [*CATEGORICAL, *INDIVIDUAL, *COUNTS, *UTILISATION, *AREA])
+    stage1 = {"baseline": [], "no_sdoh": STAGE1[:1]}.get(name, STAGE1[1:])
+    sets = ml.feature_sets(COUNTS, UTILISATION, AREA, stage1=stage1)
+    return ml.restrict_set(sets[name], [*CATEGORICAL, *INDIVIDUAL, *COUNTS, *UTILISATION, *AREA, *STAGE1])
 
 
 def _settings(trials) -> str:
@@ -139,6 +172,35 @@ def ml_feature_sets(spark: SparkSession, d: str) -> DataFrame:
 # --- classifiers --------------------------------------------------------------
 
 
+@query("stage1_train_score", f"""
+    WITH {panel_plans.STAGE1_SQL}, drawn AS (
+      SELECT member_id, age_cat, lose_coverage, substr(md5(concat_ws('|', CAST(member_id AS VARCHAR), 'stage1')), 1, 8) < '{threshold(0.5)}' AS a
+      FROM stage1),
+    rates AS (SELECT a, age_cat, avg(lose_coverage) AS p FROM drawn GROUP BY 1, 2)
+    SELECT d.member_id, round(p + 1e-6, 3) AS stage1_probability FROM drawn d JOIN rates r ON d.age_cat = r.age_cat AND d.a <> r.a""")
+def stage1_train_score(spark: SparkSession, d: str) -> DataFrame:
+    """Stage-1 model on one categorical, which saturates it: each member gets the rate of the other half's category."""
+    table = materialize(stage1_table(spark, d), "stage1")
+    scored = _other_half(spark, table, ["ageCat"], "p", tol=1e-12, maxIter=300)
+    # rates of few members end in exact halves: both sides are moved off them
+    return scored.select("member_id", F.round(F.col("p") + 1e-6, 3).alias("stage1_probability"))
+
+
+@query("ml_tree_majority", f"""
+    WITH {v.MEMBERS_SQL}, tested AS (
+      SELECT state, CAST(coalesce(n, 0) > 0 AS INTEGER) AS label FROM members
+      LEFT JOIN (SELECT o_custkey, count(*) FILTER (o_totalprice > 450000) AS n FROM orders GROUP BY 1) ON o_custkey = member_id)
+    SELECT state, count(*) AS n, CAST(avg(label) > 0.5 AS DOUBLE) AS prediction FROM tested GROUP BY 1""")
+def ml_tree_majority(spark: SparkSession, d: str) -> DataFrame:
+    """A forest of one unsampled tree, deep enough for one categorical: it predicts each category's majority."""
+    from cohortlake.plans.evaluation_plans import member_scored
+
+    people = v.members(spark, d).select("member_id", "state")
+    tested = materialize(people.join(member_scored(spark, d).select("member_id", "label"), "member_id"), "labelled")
+    model = ml.fit(tested, ml.encoder(["state"], [], invalid="error"), ml.forest("label", depth=30, trees=1, subset="all"))
+    return ml.score(model, tested).groupBy("state", "prediction").agg(F.count("*").alias("n"))
+
+
 @query("ml_logreg", f"""
     WITH {v.MEMBERS_SQL}, tested AS (
       SELECT age_cat, CAST(coalesce(n, 0) > 0 AS INTEGER) AS label FROM members
@@ -157,9 +219,12 @@ def ml_logreg(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _classifier_report(spark: SparkSession, d: str, name: str, build, settings: list[dict]) -> DataFrame:
-    """Grid choice on validation, then metrics of the chosen model on train and test."""
+    """Grid choice on a bounded sample and validation, refit on train, then metrics on train and test."""
     p = parts(spark, d)
-    chosen, model, _ = ml.choose_by_mcc(p["train"], p["validation"], ml.encoder(*feature_set(name)), LABEL, build, settings)
+    stages = ml.encoder(*feature_set(name))
+    some = sampling.sample_to_size(p["train"], v.MEMBER, codes.SEARCH_ROWS, "search")
+    chosen, _, _ = ml.choose_by_mcc(some, p["validation"], stages, LABEL, build, settings)
+    model = ml.fit(p["train"], stages, build(label=LABEL, **chosen))
     rows = None
     for part in ("train", "test"):
         row = ml.evaluate(ml.score(model, p[part]), LABEL).select(
@@ -170,7 +235,7 @@ def _classifier_report(spark: SparkSession, d: str, name: str, build, settings:
 
 @query("ml_elastic_net")
 def ml_elastic_net(spark: SparkSession, d: str) -> DataFrame:
-    settings = ml.grid(reg=[0.001, 0.1], mix=[0.0, 1.0])
+    settings = ml.grid(reg=codes.ELASTIC_NET_REG, mix=codes.ELASTIC_NET_MIX)
     return _classifier_report(spark, d, "no_sdoh", ml.logistic, settings)
 
 
@@ -264,12 +329,52 @@ def ml_linear_regression(spark: SparkSession, d: str) -> DataFrame:
         F.count("*").alias("n"), F.round(F.avg("prediction"), 2).alias("predicted_cost"))
 
 
+@query("ml_boosted_leaf_means", f"""
+    WITH {v.MEMBERS_SQL}, {claim_plans.POST_COST_SQL}, totals AS (
+      SELECT member_id, CAST(sum(mc + ffs) AS DOUBLE) AS cost FROM post_costed GROUP BY 1)
+    SELECT age_cat, count(*) AS n, round(avg(coalesce(cost, 0)), 2) AS predicted_cost
+    FROM members LEFT JOIN totals USING (member_id) GROUP BY 1""")
+def ml_boosted_leaf_means(spark: SparkSession, d: str) -> DataFrame:
+    """Boosting stopped after its first tree, on one categorical: each leaf predicts its category's mean cost."""
+    people = materialize(v.members(spark, d).select("member_id", "age_cat").join(
+        claim_plans.total_cost(spark, d).select("member_id", "total_cost"), "member_id"), "age-cost")
+    model = ml.fit(people, ml.encoder(["age_cat"], [], invalid="error"), ml.boosted_regressor("total_cost", depth=8, trees=1))
+    return model.transform(people).groupBy("age_cat").agg(
+        F.count("*").alias("n"), F.round(F.avg("prediction"), 2).alias("predicted_cost"))
+
+
+@query("cost_slope_by_stratum", f"""
+    WITH {v.MEMBERS_SQL}, {claim_plans.POST_COST_SQL}, totals AS (
+      SELECT member_id, CAST(sum(mc + ffs) AS DOUBLE) AS cost FROM post_costed GROUP BY 1),
+    placed AS (
+      SELECT CASE WHEN disabled = 'yes' THEN 'disabled' WHEN disabled = 'no' AND age_cat IN ('under10', '10To17') THEN 'kids'
+          WHEN disabled = 'no' AND age_cat <> 'missing' THEN 'adults' END AS stratum,
+        CAST(member_id % 2 AS DOUBLE) AS x, coalesce(cost, 0) AS y FROM members LEFT JOIN totals USING (member_id))
+    SELECT stratum, round(regr_slope(y, x), 2) AS slope, round(regr_intercept(y, x), 2) AS intercept
+    FROM placed WHERE stratum IS NOT NULL GROUP BY 1""")
+def cost_slope_by_stratum(spark: SparkSession, d: str) -> DataFrame:
+    """Unpenalised least squares on one 0/1 column, fitted apart for each stratum."""
+    from cohortlake.operators.cost import stratum
+
+    people = v.members(spark, d).select(
+        "member_id", stratum(F.col("age_cat"), F.col("disabled")).alias("stratum"), (F.col("member_id") % 2).cast("double").alias("x"))
+    table = materialize(people.join(claim_plans.total_cost(spark, d).select("member_id", "total_cost"), "member_id"), "stratum-cost")
+    rows = []
+    for name in ("adults", "kids", "disabled"):
+        model = ml.fit(table.where(F.col("stratum") == name), ml.encoder([], ["x"]), ml.linear("total_cost", solver="normal")).stages[-1]
+        rows.append((name, float(model.coefficients[0]), float(model.intercept)))
+    fitted = spark.createDataFrame(rows, "stratum string, slope double, intercept double")
+    return fitted.select("stratum", F.round("slope", 2).alias("slope"), F.round("intercept", 2).alias("intercept"))
+
+
 @query("ml_gbt_regressor")
 def ml_gbt_regressor(spark: SparkSession, d: str) -> DataFrame:
     p = parts(spark, d)
     settings = ml.grid(depth=[2, 3], trees=[5], step=[0.1])
-    chosen, model, _ = ml.choose_by_r2(
-        p["train"], p["validation"], ml.encoder(*feature_set("area_sdoh")), "total_cost", ml.boosted_regressor, settings)
+    stages = ml.encoder(*feature_set("area_sdoh"))
+    some = sampling.sample_to_size(p["train"], v.MEMBER, codes.SEARCH_ROWS, "search")
+    chosen, _, _ = ml.choose_by_r2(some, p["validation"], stages, "total_cost", ml.boosted_regressor, settings)
+    model = ml.fit(p["train"], stages, ml.boosted_regressor("total_cost", **chosen))
     scored = model.transform(p["test"])
     return evaluation.regression_metrics(scored, "total_cost", "prediction").withColumn("chosen", F.lit(_settings(chosen)))
 

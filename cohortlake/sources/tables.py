@@ -12,21 +12,32 @@ from pyspark.sql import types as T
 from cohortlake.functions.dates import before, on_or_after
 
 
-_schemas: dict[str, T.StructType] = {}
+_schemas: dict[str, tuple[str, T.StructType]] = {}
+
+
+def version(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of the files under a path: changes whenever the table is rewritten."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = store.listStatus(target)
+    return ";".join(sorted(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}" for f in found))
 
 
 def load(spark: SparkSession, folder: str, name: str, *columns: str | Column) -> DataFrame:
     """Read one parquet table; listed columns are all that the scan reads.
 
-    The schema is inferred once per path: reading it again from the footers would cost
-    a Spark job for every mention of the table in a plan. Files are listed each time.
+    The schema is inferred once per version of the files: reading it again from the footers
+    would cost a Spark job for every mention of the table in a plan.
     """
     path = f"{folder}/{name}.parquet"
-    if path in _schemas:
-        df = spark.read.schema(_schemas[path]).parquet(path)
+    now = version(spark, path)
+    known = _schemas.get(path)
+    if known and known[0] == now:
+        df = spark.read.schema(known[1]).parquet(path)
     else:
         df = spark.read.parquet(path)
-        _schemas[path] = df.schema
+        _schemas[path] = (now, df.schema)
     return df.select(*columns) if columns else df
 
 

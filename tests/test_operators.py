@@ -241,3 +241,124 @@ def test_joins(spark):
     assert {r.found for r in joins.enrich(a, b.limit(1), ["id"], "found").collect()} == {0, 1}
     both = joins.union_sources({"x": a, "y": a}, ["id"])
     assert both.count() == 6 and {r.source for r in both.collect()} == {"x", "y"}
+
+
+# --- hot keys, windows and caps ----------------------------------------------------
+
+SKEW = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16KB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32KB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+}
+
+
+@pytest.fixture
+def skewed(spark):
+    before = {k: spark.conf.get(k, None) for k in SKEW}
+    for k, x in SKEW.items():
+        spark.conf.set(k, x)
+    yield lambda df: "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+    for k, x in before.items():
+        spark.conf.unset(k) if x is None else spark.conf.set(k, x)
+
+
+def _hot(spark, key):
+    return spark.range(0, 40000, 1, 8).select(
+        F.when(F.col("id") < 20000, 1).otherwise(F.col("id")).alias(key), F.md5(F.col("id").cast("string")).alias("x"),
+        F.to_date(F.lit("1995-03-05")).alias("day"))
+
+
+def test_hot_member_is_split_against_aggregated_windows(spark, skewed):
+    index = _hot(spark, "member").groupBy("member").agg(F.min(F.lit(1)).alias("m"))
+    inside = windows.prepost_window(_hot(spark, "member"), windows.index_windows(index, "m"), ["member"], "day", 1995)
+    assert len(inside.collect()) == 40000 and skewed(inside)
+
+
+def test_hot_code_is_split_against_an_aggregated_list(spark, skewed):
+    from cohortlake.operators import acute
+
+    listed = spark.range(40000).select(F.col("id").alias("code"), F.lit("c").alias("category"))
+    placed = features.crosswalk_exact(_hot(spark, "code"), listed, "code", "category")
+    assert len(placed.collect()) == 40000 and skewed(placed)
+    flags = listed.groupBy("code").agg(F.max(F.lit(1)).alias("flag"))
+    flagged = acute.attach_code_flag(_hot(spark, "code"), flags, "code", "flag")
+    assert len(flagged.collect()) == 40000 and skewed(flagged)
+
+
+def test_many_equal_and_open_intervals(spark):
+    """Equal rows are one row with a count until the end; open copies are numbered in bounded pieces."""
+    from cohortlake.operators import episodes
+
+    day = F.to_date(F.lit("2018-01-01"))
+    closed = spark.range(3000).select(F.lit(1).alias("m"), day.alias("s"), day.alias("e"))
+    opened = spark.range(250_000).select(F.lit(2).alias("m"), day.alias("s"), F.lit(None).cast("date").alias("e"))
+    rows = episodes.episodes(closed.union(opened), ["m"], "s", "e")
+    got = {r["m"]: tuple(r)[1:] for r in rows.groupBy("m").agg(F.count("*"), F.min("episode"), F.max("episode"), F.countDistinct("episode")).collect()}
+    assert got == {1: (3000, 1, 1, 1), 2: (250_000, 1, 250_000, 250_000)}
+    rolled = episodes.episode_rollup(closed.union(opened), ["m"], "s", "e").groupBy("m").count().collect()
+    assert {r["m"]: r["count"] for r in rolled} == {1: 1, 2: 250_000}
+
+
+def test_later_claims_change_no_feature(spark, tmp_path):
+    """Without the lines shipped after the pre period the pharmacy features are the same; without the claims
+    dated after it so are the diagnosis, procedure and specialty features."""
+    from cohortlake.plans import feature_plans
+
+    source = "/root/testdata/sf0.001"
+    read = {n: spark.read.parquet(f"{source}/{n}.parquet") for n in "nation customer supplier part orders lineitem".split()}
+    owned = read["orders"].join(read["orders"].groupBy("o_custkey").agg(F.min("o_orderdate").alias("first")), "o_custkey")
+    limit = F.add_months(F.trunc("first", "month"), 7)
+    dated = owned.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate", limit.alias("limit"))
+    early = {
+        "shipped": read["lineitem"].join(dated, "l_orderkey").where(F.to_date("l_shipdate") < F.col("limit")),
+        "claimed": read["lineitem"].join(dated, "l_orderkey").where(F.to_date("o_orderdate") < F.col("limit")),
+    }
+    for kind, rows in early.items():
+        for name, df in (read | {"lineitem": rows.select(*read["lineitem"].columns)}).items():
+            df.write.parquet(str(tmp_path / kind / f"{name}.parquet"))
+    blocks = {
+        "shipped": [feature_plans.rx_counts, feature_plans.rx_adherence],
+        "claimed": [feature_plans.dx_counts, feature_plans.proc_counts, feature_plans.provider_counts],
+    }
+    for kind, found in blocks.items():
+        assert early[kind].count() < read["lineitem"].count()
+        for block in found:
+            before, after = (sorted(map(tuple, block(spark, d).collect())) for d in (source, str(tmp_path / kind)))
+            assert before == after, block.__name__
+
+
+def test_poisson_levels_have_no_cap():
+    from cohortlake.functions.hashing import WORDS, poisson_levels
+
+    for mean in (0.05, 3.0, 250.0, 900.0):
+        levels = [int(x, 16) for x in poisson_levels(mean)]
+        assert levels == sorted(levels) and levels[-1] / WORDS > 0.999999
+        assert abs(sum(1 - x / WORDS for x in levels) - mean) < 0.01 * mean + 1e-3
+
+
+def test_codes_compare_as_numbers(spark):
+    from cohortlake.functions.recode import to_int
+
+    texts = ["0000000001", "1234567890", "7.0", " 12 ", "x", "", None, "1.5", "-3", "7."]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(to_int(F.col("t"))).collect()] == [1, 1234567890, 7, 12, None, None, None, None, -3, 7]
+    assert spark.range(1).select(to_int(F.lit(7.0))).first()[0] == 7
+
+
+def test_coverage_mask_refuses_more_months_than_bits(spark):
+    from cohortlake.operators import panel
+
+    with pytest.raises(ValueError):
+        panel.coverage_mask(spark.range(1).selectExpr("id as m", "1 as i"), ["m"], "i", 65)
+
+
+def test_auc_of_very_large_counts(spark):
+    from cohortlake.operators.evaluation import auc_from_counts, score_bounds
+
+    n = 10**11
+    counts = spark.createDataFrame([(i / 500, n * (i % 3 == 0), n * (i % 3 != 0)) for i in range(500)], "score double, pos bigint, neg bigint")
+    got = auc_from_counts(counts, "score", score_bounds(counts, "score")).first()["auc"]
+    pos, neg = [i for i in range(500) if i % 3 == 0], [i for i in range(500) if i % 3]
+    assert abs(got - sum(p > q for p in pos for q in neg) / (len(pos) * len(neg))) < 1e-9
