@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohortlake.functions import codes
 from cohortlake.operators.joins import apart, spine_fill
 from cohortlake.operators.profile import distinct_events
+from cohortlake.session import materialize
 
 UNMATCHED = "unmatched"
 
@@ -138,7 +139,8 @@ def impute_group_mean(df: DataFrame, group: str, columns: Sequence[str]) -> Data
 
     Group means are a small aggregate joined back (a hot group is never gathered in one
     window), and the overall mean follows from the same aggregate: each filled column
-    averages its values plus, for every group, the group mean times its null count.
+    averages its values plus, for every group, the group mean times its null count. The
+    aggregate is written once, as both uses read it.
     """
     stats = df.groupBy(group).agg(
         *[F.avg(c).alias(f"__mean_{i}") for i, c in enumerate(columns)],
@@ -146,6 +148,7 @@ def impute_group_mean(df: DataFrame, group: str, columns: Sequence[str]) -> Data
         *[F.count(c).alias(f"__n_{i}") for i, c in enumerate(columns)],
         F.count("*").alias("__rows"),
     )
+    stats = materialize(stats, "group-means")
 
     def overall(i: int) -> Column:
         mean, known = F.col(f"__mean_{i}"), F.col(f"__n_{i}")

@@ -81,9 +81,9 @@ def boosted_classifier(label: str, depth: int = 5, trees: int = 20, step: float
 
 
 def forest(label: str, depth: int = 20, trees: int = 50, leaf: int = 1, subset: str = "sqrt",
-           seed: int = 42) -> RandomForestClassifier:
+           bagging: bool = True, seed: int = 42) -> RandomForestClassifier:
     return RandomForestClassifier(featuresCol=FEATURES, labelCol=label, maxDepth=depth, numTrees=trees,
-                                  minInstancesPerNode=leaf, featureSubsetStrategy=subset, seed=seed)
+                                  minInstancesPerNode=leaf, featureSubsetStrategy=subset, bootstrap=bagging, seed=seed)
 
 
 def boosted_regressor(label: str, depth: int = 5, trees: int = 20, step: float = 0.1, subsample: float = 1.0,

@@ -197,7 +197,7 @@ def ml_tree_majority(spark: SparkSession, d: str) -> DataFrame:
 
     people = v.members(spark, d).select("member_id", "state")
     tested = materialize(people.join(member_scored(spark, d).select("member_id", "label"), "member_id"), "labelled")
-    model = ml.fit(tested, ml.encoder(["state"], [], invalid="error"), ml.forest("label", depth=30, trees=1, subset="all"))
+    model = ml.fit(tested, ml.encoder(["state"], [], invalid="error"), ml.forest("label", depth=30, trees=1, subset="all", bagging=False))
     return ml.score(model, tested).groupBy("state", "prediction").agg(F.count("*").alias("n"))
 
 
