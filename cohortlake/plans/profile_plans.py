@@ -276,8 +276,8 @@ def scalars(spark: SparkSession, d: str) -> DataFrame:
         F.try_divide(price, F.col("o_custkey")).alias("ratio"), F.abs(1000 - price).alias("gap"),
         recode(status, {1: ["F"], 2: ["O"]}, 0).alias("kind"),
         F.coalesce(known, F.lit("none")).alias("filled"), known.isNull().cast("int").alias("was_null"),
-        (to_int(F.substring(priority, 1, 1)) + 1).alias("priority_plus"),
-        to_int(status).alias("bad_cast"),
+        (to_int(F.substring(priority, 1, 1)) + 1).cast("int").alias("priority_plus"),
+        to_int(status).cast("int").alias("bad_cast"),
         # slope through two points, one step apart
         F.round(trend_slope([F.month(day), F.year(day)]) / 2, 6).alias("slope"),
     )
