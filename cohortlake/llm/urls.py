@@ -5,8 +5,7 @@ rule that fits decides. Urls that rules decide are the labelled ones (or give la
 
 Tree. The path's segments are generalised in two ways, from the root down, one level at a time.
 Digits become ``#``. Then, below one node, a segment value stays a branch of its own only if it is supported
-(at least ``least`` labelled urls, and one in ``share`` of the node's urls) and its labels differ from
-the node's: the squared distance of the two purities is over ``z`` squared times the variance of
+(at least ``least`` labelled urls, whatever the node's size) and its labels differ from the node's: the squared distance of the two purities is over ``z`` squared times the variance of
 a purity of that many labels. All other branches are alike as far as can be told, and merge into ``*``.
 ``depth`` segments are looked at; what lies deeper belongs to the last.
 
@@ -59,7 +58,7 @@ def shape(path: Column, depth: int = DEPTH) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(depth - 1)), lambda i: F.coalesce(F.get(parts, i), F.lit(""))), "/")
 
 
-def verdicts(shapes: DataFrame, *, depth=DEPTH, least=LEAST, share=SHARE, z=Z, weight=WEIGHT, limit=LIMIT) -> DataFrame:
+def verdicts(shapes: DataFrame, *, depth=DEPTH, least=LEAST, z=Z, weight=WEIGHT, limit=LIMIT) -> DataFrame:
     """(host, shape, template, verdict) for shapes (host, shape, n, labelled, good) of distinct host and shape."""
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "good")]
     node = shapes.withColumn("template", F.lit(""))
@@ -72,7 +71,7 @@ def verdicts(shapes: DataFrame, *, depth=DEPTH, least=LEAST, share=SHARE, z=Z, w
         )
         own, all_ = F.col("good") / F.col("labelled"), F.col("pg") / F.col("pl")
         differs = (own - all_) * (own - all_) * F.col("labelled") > z * z * all_ * (1 - all_)
-        stays = (F.col("labelled") >= least) & (F.col("n") * share >= F.col("pn")) & differs
+        stays = (F.col("labelled") >= least) & differs
         chosen = stage(
             branches.join(parents, ["host", "template"]).where(stays).select("host", "template", "part", F.lit(True).alias("stays")), "chosen"
         )
@@ -127,7 +126,7 @@ def judge(
 
 
 def sql(rules=RULES, depth=DEPTH, least=LEAST, share=SHARE, z=Z, weight=WEIGHT, limit=LIMIT) -> str:
-    """The same in DuckDB SQL over ``pages``, without the template."""
+    """The same in DuckDB SQL over ``pages``, without the template; it still drops branches under one in ``share`` of a node's urls."""
     fits = [
         (what, rule, "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}{2}')".format(*rule.partition("/")))
         for what, rule in sorted(rules, key=lambda r: -len(r[1]))
