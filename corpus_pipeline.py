@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlake.llm import decontaminate, jaccard, lines, mixing, quality
+from cohortlake.llm import decontaminate, lines, mixing, quality, simhash
 from cohortlake.llm.mix_weights import REST, WEIGHTS
 from cohortlake.llm.store import stage
 
@@ -24,8 +24,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each component of texts that share four fifths of their five-word shingles."""
-    return jaccard.deduplicate(docs)
+    """One document, the smallest id, of each component of fingerprints that link at two or fewer differing bits."""
+    return simhash.deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
