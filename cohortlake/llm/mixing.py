@@ -49,17 +49,24 @@ def number(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, BITS // 4), 16, 10).cast("bigint")
 
 
+def free_name(name: str, taken: set[str]) -> str:
+    """``name``, with underscores behind it while it is among the lower-cased names ``taken``."""
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def mix(
     docs: DataFrame, weights: dict[str, float], rest: float, *, seed: str = "mix", epochs: float = 1.0,
     doc_id: str = "doc_id", text: str = "text", source: str = "source", copy: str = "copy", place: str = "place",
 ) -> DataFrame:
     """The columns of ``docs``, the number of the copy from 1, and its place in the shuffled order (hex).
 
-    The two new names must not be among the columns of ``docs``.
+    A column of ``docs`` keeps its name: the new columns get underscores behind theirs until no column is called so.
     """
-    taken = {copy, place} & set(docs.columns)
-    if taken:
-        raise ValueError(f"columns exist: {sorted(taken)}")
+    taken = {c.lower() for c in docs.columns}
+    copy = free_name(copy, taken)
+    place = free_name(place, taken | {copy.lower()})
     found = rates(docs, weights, rest, source=source, text=text, epochs=epochs)
     levels = F.array(*map(F.lit, poisson_levels(found.get(None, 0.0)))).cast("array<bigint>")
     for name in weights:

@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlake.llm.components import connected
@@ -32,7 +32,6 @@ from cohortlake.llm.store import drop, stage
 from cohortlake.llm.words import binary_texts
 
 SHINGLE, DISTANCE, SAMPLE, LEAF, LEAVES = 3, 2, 1 << 16, 1000, 1 << 14
-BLOCK = 1 << 12
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -210,7 +209,7 @@ def near_duplicates(
 def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One document of each component, the one with the smallest id; columns as they are.
 
-    Of several rows with that id one stays. Rows without id stay.
+    Of several rows with that id the one whose text, then whose columns as JSON, come first stays. Rows without id stay.
     """
     groups = stage(near_duplicates(docs, doc_id=doc_id, text=text, **options), "groups")
     gone = stage(groups.where("doc_id > component_id").select(F.col("doc_id").alias("__id")).distinct(), "gone")
@@ -219,5 +218,7 @@ def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     many = stage(groups.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id"), "many")
     if many.isEmpty():
         return kept
-    several = kept.join(many, F.col(doc_id) == F.col("__id"), "left_semi").dropDuplicates([doc_id])
+    order = [F.col(text).asc_nulls_first(), F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).asc()]
+    place = F.row_number().over(Window.partitionBy(doc_id).orderBy(*order))
+    several = kept.join(many, F.col(doc_id) == F.col("__id"), "left_semi").withColumn("__n", place).where("`__n` = 1").drop("__n")
     return kept.join(many, F.col(doc_id) == F.col("__id"), "left_anti").unionByName(several)

@@ -8,7 +8,7 @@ so is every row of a group without any id. A null payload is empty.
 
 Reading. A file is cut into ranges. A task looks for the gzip magic from the start of its range on, accepts a
 position if it inflates to a WARC header and a whole record with a right checksum, and, where it has not yet
-met a record, if another gzip member or the end of the file follows. It owns the records that start inside its
+met a record, if another gzip member or the end of the file follows. A header may be as long as its record. It owns the records that start inside its
 range and reads past its end to finish the last. Files are opened through pyarrow's file systems, by URI.
 A record that itself holds stored (uncompressed) archives and is longer than a range can deceive
 a range that starts inside it; use ranges longer than such records.
@@ -30,7 +30,6 @@ from cohortlake.llm.store import stage
 LEAST, FILE_BYTES, SPLIT_BYTES, BLOCK = 100, 256 << 20, 8 << 20, 1 << 16
 HEAVY = 1000
 MAGIC = b"\x1f\x8b\x08"
-LONGEST_HEADER = 1 << 20
 DATE = "1970-01-01T00:00:00Z"
 RECORDS = (
     "file string, at bigint, record_type string, page_id bigint, url string, payload_bytes bigint, "
@@ -86,36 +85,40 @@ def typed(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", paylo
 
 
 def write(pages: DataFrame, folder: str, *, file_bytes: int = FILE_BYTES, **options) -> DataFrame:
-    """Write archives below ``folder``; returns the manifest (path, bytes, records), itself a stage table."""
+    """Write archives below ``folder``; returns the manifest (path, bytes, records, starts of the records), itself a stage table."""
     target = _uri(folder)
 
     def pack(batches):
         store, root = pafs.FileSystem.from_uri(target)
         store.create_dir(root, recursive=True)
-        done, out, size, count, name = [], None, 0, 0, ""
+        done, out, size, starts, name = [], None, 0, [], ""
         for batch in batches:
             for row in batch.to_pylist():
                 if out is None:
-                    name, size, count = f"{uuid.uuid4().hex}.warc.gz", 0, 0
+                    name, size, starts = f"{uuid.uuid4().hex}.warc.gz", 0, []
                     out = store.open_output_stream(f"{root}/{name}", compression=None)
                 member = record(row["page_id"], row["url"], row["payload"], row["kind"], row["digest"], row["first"])
                 out.write(member)
-                size, count = size + len(member), count + 1
+                starts.append(size)
+                size += len(member)
                 if size >= file_bytes:
                     out.close()
-                    done.append((name, size, count))
+                    done.append((name, size, starts))
                     out = None
         if out is not None:
             out.close()
-            done.append((name, size, count))
+            done.append((name, size, starts))
         if done:
-            names, sizes, counts = zip(*done)
+            names, sizes, places = zip(*done)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([f"{target}/{n}" for n in names]), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())],
-                names=["path", "bytes", "records"],
+                [
+                    pa.array([f"{target}/{n}" for n in names]), pa.array(sizes, pa.int64()), pa.array([len(p) for p in places], pa.int64()),
+                    pa.array(places, pa.list_(pa.int64())),
+                ],
+                names=["path", "bytes", "records", "starts"],
             )
 
-    return stage(typed(pages, **options).mapInArrow(pack, "path string, bytes bigint, records bigint"), "manifest")
+    return stage(typed(pages, **options).mapInArrow(pack, "path string, bytes bigint, records bigint, starts array<bigint>"), "manifest")
 
 
 class Members:
@@ -150,7 +153,7 @@ class Members:
     def member(self, at: int):
         """(header fields, payload, end) of the record at a position; None if there is none."""
         unpack, data, next_at, cut = zlib.decompressobj(31), bytearray(), at, -1
-        fields = None
+        fields, seen = None, 0
         try:
             while not unpack.eof:
                 block = self.read(next_at, BLOCK)
@@ -161,10 +164,9 @@ class Members:
                 if fields is None:
                     if not data.startswith(b"WARC/1."[: len(data)]):
                         return None
-                    cut = data.find(b"\r\n\r\n")
+                    cut = data.find(b"\r\n\r\n", max(seen - 3, 0))
                     if cut < 0:
-                        if len(data) > LONGEST_HEADER:
-                            return None
+                        seen = len(data)
                         continue
                     fields = self.header(bytes(data[:cut]))
                     if fields is None:
@@ -203,18 +205,27 @@ def _number(urn: str | None) -> int | None:
 def read(manifest: DataFrame, *, split_bytes: int = SPLIT_BYTES, payloads: bool = True) -> DataFrame:
     """All records of the files in ``manifest`` (path, bytes); see ``RECORDS``. payload_bytes and
     payload_digest are those of the full payload; a response whose payload does not match its
-    digest is an error. ``payloads`` false leaves the payload column null."""
-    ranges = manifest.select("path", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bytes") - 1, F.lit(split_bytes).cast("bigint"))).alias("start"))
+    digest is an error, and so is a range that does not hold as many records as the manifest's ``starts``, where it
+    has them. ``payloads`` false leaves the payload column null."""
+    starts = F.col("starts") if "starts" in manifest.columns else F.lit(None).cast("array<bigint>")
+    ranges = manifest.select(
+        "path", starts.alias("starts"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bytes") - 1, F.lit(split_bytes).cast("bigint"))).alias("start"),
+    )
+    expected = F.size(F.filter("starts", lambda x: (x >= F.col("start")) & (x < F.col("start") + split_bytes)))
+    ranges = ranges.select("path", "start", F.when(F.col("starts").isNotNull(), expected).alias("expected"))
     # one range a task: by number, which adaptive execution leaves as it is
     ranges = ranges.repartition(max(ranges.count(), 1))
 
     def unpack(batches):
         rows, held = [], 0
         for batch in batches:
-            for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for path, start, expected in zip(*(column.to_pylist() for column in batch.columns)):
                 store, name = pafs.FileSystem.from_uri(path)
+                met = 0
                 with store.open_input_file(name) as source:
                     for at, fields, payload in Members(source, source.size()).records(start, start + split_bytes):
+                        met += 1
                         kind, digest = fields["WARC-Type"], fields.get("WARC-Payload-Digest", "").removeprefix("sha256:")
                         size = int(fields.get("X-Payload-Length", len(payload)))
                         if kind == "response":
@@ -230,6 +241,8 @@ def read(manifest: DataFrame, *, split_bytes: int = SPLIT_BYTES, payloads: bool
                         if held > 8 << 20:
                             yield _batch(rows)
                             rows, held = [], 0
+                if expected is not None and met != expected:
+                    raise ValueError(f"{met} records from byte {start} of {path} on, {expected} were written")
         if rows:
             yield _batch(rows)
 

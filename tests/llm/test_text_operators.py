@@ -216,8 +216,10 @@ def test_mix_of_edge_rows(docs, messy, empty):
     assert out.columns == [*messy.columns, "copy", "place"]
     assert mixing.mix(empty, {"src1": 0.5}, 0.5).count() == 0
     assert mixing.mix(docs.where("text is null or text = ''"), {"src1": 0.5}, 0.5).count() == 0
-    with pytest.raises(ValueError):
-        mixing.mix(docs.withColumn("copy", F.lit(1)), {}, 1.0)
+    clash = mixing.mix(docs.withColumn("Copy", F.lit("own")).withColumn("place", F.lit(1)).withColumn("place_", F.lit(2)), {}, 1.0)
+    assert clash.columns[-5:] == ["Copy", "place", "place_", "copy_", "place__"]
+    plainly = mixing.mix(docs, {}, 1.0).select("doc_id", "copy", "place").collect()
+    assert sorted(map(tuple, clash.select("doc_id", "copy_", "place__").collect()), key=str) == sorted(map(tuple, plainly), key=str)
 
 
 @pytest.mark.parametrize("mean", [0.0, 0.01, 1.3, 40.0, 900.0])
