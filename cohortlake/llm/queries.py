@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cohortlake.llm import (
-    decontaminate, lines, mixing, negatives, neighbours, quality, search, simhash, store, substrings, toxicity, urls, warc,
+    decontaminate, lines, merkle, mixing, negatives, neighbours, quality, search, simhash, store, substrings, toxicity, urls, warc,
 )
 from cohortlake.llm.mix_weights import REST, WEIGHTS
 
@@ -186,6 +186,17 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
     return negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)
 
 
+def without_breaks() -> dict[str, Column]:
+    """Texts without line breaks where 2 divides the unsigned CRC-32 of the decimal id."""
+    cut = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    return {"text": F.when(cut, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))}
+
+
+@query("op12_butterfly_merkle")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.manifest(table(spark, folder, "documents"), changed=without_breaks())
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
