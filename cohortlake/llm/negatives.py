@@ -5,9 +5,9 @@ An anchor's positives are its first ``positives`` other rows of its label; for e
 ``negatives`` rows of other labels whose score lies between ``low`` and ``high`` percent of the positive's.
 
 Anchors are clustered by direction: centroids are fitted on about ``SAMPLE`` anchors chosen by hash, and every anchor joins
-the nearest. A cluster of many members is dealt into blocks, candidates are dealt into blocks, and each pair is a cell. With
-the largest angle t between the centroid and a member of the cell, no member a can score more than
-|a| |x| cos(max(0, angle(x, centroid) - t)) with a row x. Candidates are sorted by that bound once per cell, and every member
+the nearest. Small clusters share a block, a cluster of many members is dealt into several; candidates are dealt into blocks, and
+each pair of blocks is a cell. With the largest angle t between a centroid and its members in the cell, no member a can score more than
+|a| |x| cos(max(0, angle(x, centroid) - t)) with a row x. Candidates are sorted by that bound once per cluster and cell, and every member
 walks the list in steps. It stops where the bound falls below all that could still change its result: the last of its
 positives so far, or for negatives, for each positive, the least allowed score and the last negative so far. What it has not
 seen is then certified to be worse. Cells' lists are merged by rank.
@@ -35,8 +35,12 @@ POSITIVES, NEGATIVES, LOW, HIGH, SCALE = 5, 3, 50, 95, 256
 SAMPLE, CLUSTERS, PER_CLUSTER, ROUNDS, MEMBERS, STEP = 1 << 13, 256, 32, 8, 2048, 1024
 
 
+def lengths(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x.astype(np.float64) ** 2).sum(axis=1))
+
+
 def unit(x: np.ndarray) -> np.ndarray:
-    length = np.sqrt((x.astype(np.float64) ** 2).sum(axis=1))
+    length = lengths(x)
     return x / np.where(length > 0, length, 1.0)[:, None]
 
 
@@ -60,14 +64,17 @@ def scores(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 class Shared:
-    """Candidates of a cell, sorted by what any member of the anchor cluster could score with them."""
+    """Candidates of a cell, sorted by what any member of the anchor cluster could score with them.
+
+    ``directions`` are those of the rows, computed once for all clusters of a cell.
+    """
 
-    def __init__(self, members: np.ndarray, rows: np.ndarray, ids: np.ndarray, labels: np.ndarray, centre: np.ndarray):
-        length = np.sqrt((rows.astype(np.float64) ** 2).sum(axis=1))
-        angle = lambda x: np.arccos(np.clip(unit(x) @ centre, -1.0, 1.0))
+    def __init__(self, members: np.ndarray, rows: np.ndarray, ids: np.ndarray, labels: np.ndarray, centre: np.ndarray, directions=None):
+        length, directions = (lengths(rows), unit(rows)) if directions is None else directions
+        angle = lambda x: np.arccos(np.clip(x @ centre, -1.0, 1.0))
         # a zero row has bound zero at any angle, a zero member scores zero
-        widest = angle(members[np.abs(members).sum(axis=1) > 0]).max(initial=0.0)
-        bound = length * np.cos(np.maximum(angle(rows) - widest - 1e-6, 0.0)) + 1e-9 * length
+        widest = angle(unit(members[np.abs(members).sum(axis=1) > 0])).max(initial=0.0)
+        bound = length * np.cos(np.maximum(angle(directions) - widest - 1e-6, 0.0)) + 1e-9 * length
         order = np.argsort(-bound, kind="stable")
         self.rows, self.ids, self.labels, self.bound = rows[order], ids[order], labels[order], bound[order]
         self.looked = 0
@@ -83,7 +90,7 @@ class Shared:
 
         ``bars`` gives the least score that could still matter to each member; it is asked before every step.
         """
-        reach = np.sqrt((members.astype(np.float64) ** 2).sum(axis=1))
+        reach = lengths(members)
         walking = np.arange(len(members))
         for low in range(0, len(self.rows), step):
             bar = bars()[walking]
@@ -137,18 +144,28 @@ def hardest(shared: Shared, members: np.ndarray, labels: np.ndarray, positive: n
         return np.maximum(best.bar.reshape(-1, columns), none).min(axis=1, initial=np.inf)
 
     for walking, rows, score in shared.walk(members, bars):
-        other = shared.labels[rows][None, :] != labels[walking][:, None]
+        # what no column of the member can use goes at once
+        i, j = np.nonzero(score >= bars()[walking][:, None])
+        ids, value, who = shared.ids[rows][j], score[i, j], walking[i]
+        other = shared.labels[rows][j] != labels[who]
         for c in range(columns):
-            p, bar = positive[walking, c], best.bar[walking * columns + c]
-            fits = other & (100 * score >= (low * p)[:, None]) & (100 * score <= (high * p)[:, None]) & (score >= bar[:, None])
-            i, j = np.nonzero(fits & (p >= 0)[:, None])
-            best.add(walking[i] * columns + c, shared.ids[rows][j], score[i, j])
+            p = positive[who, c]
+            fits = other & (p >= 0) & (100 * value >= low * p) & (100 * value <= high * p) & (value >= best.bar[who * columns + c])
+            best.add(who[fits] * columns + c, ids[fits], value[fits])
     return best
 
 
-def _cell(cell: pa.Table):
-    asks = cell.column("asks").to_numpy(zero_copy_only=False)
-    return asks, cell.column("vec_id").to_numpy(), cell.column("label").to_numpy(), matrix(cell.column("v")).astype(np.int64)
+def packed(sizes: dict[int, int], members: int) -> tuple[dict[int, tuple[int, int]], int]:
+    """(first block, blocks) of every cluster, and the number of blocks: about ``members`` to a block, small clusters together."""
+    out, blocks, room = {}, 0, 0
+    for cluster in sorted(sizes, key=lambda c: (sizes[c], c)):
+        size = sizes[cluster]
+        if size <= room:
+            out[cluster], room = (blocks - 1, 1), room - size
+        else:
+            own = -(-size // members)
+            out[cluster], blocks, room = (blocks, own), blocks + own, members - size if own == 1 else 0
+    return out, blocks
 
 
 def _ranked(df: DataFrame, by: list[str], ids: str, score: str, k: int) -> DataFrame:
@@ -189,44 +206,52 @@ def mine(
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], names=[*batch.schema.names, "cluster"])
 
     placed = stage(anchors.mapInArrow(assign, "vec_id bigint, label bigint, v array<bigint>, cluster bigint"), "anchors")
-    sizes = {r["cluster"]: -(-r["count"] // members) for r in placed.groupBy("cluster").count().collect()}
-    starts, down = {}, 0
-    for cluster in sorted(sizes):
-        starts[cluster], down = down, down + sizes[cluster]
+    dealt, down = packed({r["cluster"]: r["count"] for r in placed.groupBy("cluster").count().collect()}, members)
     across = blocks_for(rows, total, width or 0, down)
-    block, owner = F.lit(0).cast("bigint"), {}
-    for cluster, start in starts.items():
-        block = F.when(F.col("cluster") == cluster, start + F.pmod(F.xxhash64("vec_id"), F.lit(sizes[cluster]))).otherwise(block)
-        owner |= {start + n: cluster for n in range(sizes[cluster])}
-    owners = rows.sparkSession.sparkContext.broadcast(owner)
+    block = F.lit(0).cast("bigint")
+    for cluster, (start, blocks) in dealt.items():
+        block = F.when(F.col("cluster") == cluster, start + F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).otherwise(block)
+    nothing = lambda kind: F.lit(None).cast(kind)
     right = others.select(
-        every(max(down, 1)).alias("i"), block_of("vec_id", across).alias("j"), F.lit(False).alias("asks"), "vec_id", "label", "v",
-        F.lit(None).cast("array<bigint>").alias("positive"),
+        every(max(down, 1)).alias("i"), block_of("vec_id", across).alias("j"), nothing("bigint").alias("cluster"), "vec_id", "label", "v",
+        nothing("array<bigint>").alias("positive"),
     )
 
     def cells(asking: DataFrame) -> DataFrame:
-        left = asking.select(block.alias("i"), every(across).alias("j"), F.lit(True).alias("asks"), "vec_id", "label", "v", "positive")
+        left = asking.select(block.alias("i"), every(across).alias("j"), "cluster", "vec_id", "label", "v", "positive")
         return left.unionByName(right).groupBy("i", "j")
 
-    def near(key: tuple[pa.Scalar, ...], cell: pa.Table) -> pa.Table:
-        asks, ids, labels, v = _cell(cell)
-        a, centre = v[asks], shared.value[owners.value[key[0].as_py()], : v.shape[1]] if asks.any() else None
-        if centre is None:
-            return pa.table({"anchor_id": ids[:0], "vec_id": ids[:0], "score": ids[:0]})
-        best = closest(Shared(a, v[~asks], ids[~asks], labels[~asks], centre), a, ids[asks], labels[asks], positives)
-        return pa.table({"anchor_id": ids[asks][best.group], "vec_id": best.ids, "score": best.score})
-
-    def far(key: tuple[pa.Scalar, ...], cell: pa.Table) -> pa.Table:
-        asks, ids, labels, v = _cell(cell)
-        if not asks.any():
-            return pa.table({"anchor_id": ids[:0], "nth": ids[:0], "vec_id": ids[:0], "score": ids[:0]})
-        a, centre = v[asks], shared.value[owners.value[key[0].as_py()], : v.shape[1]]
-        given = cell.column("positive").filter(pa.array(asks)).to_pylist()
-        positive = np.full((len(given), positives), -1, np.int64)
-        for i, some in enumerate(given):
-            positive[i, : len(some)] = np.maximum(some, -1)
-        best = hardest(Shared(a, v[~asks], ids[~asks], labels[~asks], centre), a, labels[asks], positive, negatives, low, high)
-        return pa.table({"anchor_id": ids[asks][best.group // positives], "nth": best.group % positives + 1, "vec_id": best.ids, "score": best.score})
+    def lists(cell: pa.Table):
+        """For each cluster of the cell: its list, and its members' vectors, ids, labels and positives."""
+        cluster = cell.column("cluster").combine_chunks()
+        asks = cluster.is_valid().to_numpy(zero_copy_only=False)
+        own, given = cluster.fill_null(-1).to_numpy(), cell.column("positive")
+        ids, labels, v = cell.column("vec_id").to_numpy(), cell.column("label").to_numpy(), matrix(cell.column("v")).astype(np.int64)
+        rows = v[~asks]
+        directions = lengths(rows), unit(rows)
+        for name in np.unique(own[asks]):
+            who = np.flatnonzero(own == name)
+            shared_list = Shared(v[who], rows, ids[~asks], labels[~asks], shared.value[name, : v.shape[1]], directions)
+            yield shared_list, v[who], ids[who], labels[who], given.take(pa.array(who)).to_pylist()
+
+    def near(cell: pa.Table) -> pa.Table:
+        found = [pa.table({c: pa.array([], pa.int64()) for c in ("anchor_id", "vec_id", "score")})]
+        for listed, a, ids, labels, _ in lists(cell):
+            best = closest(listed, a, ids, labels, positives)
+            found.append(pa.table({"anchor_id": ids[best.group], "vec_id": best.ids, "score": best.score}))
+        return pa.concat_tables(found)
+
+    def far(cell: pa.Table) -> pa.Table:
+        found = [pa.table({c: pa.array([], pa.int64()) for c in ("anchor_id", "nth", "vec_id", "score")})]
+        for listed, a, ids, labels, given in lists(cell):
+            positive = np.full((len(given), positives), -1, np.int64)
+            for i, some in enumerate(given):
+                positive[i, : len(some)] = np.maximum(some, -1)
+            best = hardest(listed, a, labels, positive, negatives, low, high)
+            found.append(pa.table({
+                "anchor_id": ids[best.group // positives], "nth": best.group % positives + 1, "vec_id": best.ids, "score": best.score,
+            }))
+        return pa.concat_tables(found)
 
     first = cells(placed.withColumn("positive", F.lit(None).cast("array<bigint>"))).applyInArrow(near, "anchor_id bigint, vec_id bigint, score bigint")
     chosen = stage(_ranked(first, ["anchor_id"], "vec_id", "score", positives), "positives")

@@ -142,3 +142,9 @@ def test_lists_stop_early_and_lose_nothing():
         n, p = g // 5, positive[g // 5, g % 5]
         order = [j for j in np.lexsort((np.arange(8000), -whole[n])) if labels[j] != labels[a[n]] and 50 * p <= 100 * whole[n, j] <= 95 * p][:3]
         assert list(hard.ids[hard.group == g]) == order
+
+
+def test_clusters_share_blocks():
+    dealt, blocks = negatives.packed({0: 5, 1: 40, 2: 3, 3: 2, 4: 9}, 10)
+    assert blocks == 6 and dealt[1] == (2, 4) and dealt[3] == dealt[2] == dealt[0] == (0, 1) and dealt[4] == (1, 1)
+    assert negatives.packed({}, 10) == ({}, 0)
