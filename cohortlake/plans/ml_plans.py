@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cohortlake.functions import codes
 from cohortlake.functions.dates import month_name, month_year
 from cohortlake.functions.hashing import threshold
-from cohortlake.operators import evaluation, features, joins, ml, sampling
+from cohortlake.operators import evaluation, features, joins, ml, sampling, trees
 from cohortlake.plans import claim_plans, feature_plans, panel_plans, profile_plans, views as v
 from cohortlake.plans.registry import query
 from cohortlake.sources.tables import version
@@ -30,9 +30,9 @@ STAGE1 = ["stage1_baseline_probability", "stage1_probability"]
 _frames: dict[tuple[str, str], tuple[str, DataFrame]] = {}
 
 
-def build_frame(spark: SparkSession, d: str) -> DataFrame:
+def base_frame(spark: SparkSession, d: str, *more: DataFrame) -> DataFrame:
     """Member table for modelling: demographics, index month, counts, trend, adherence
-    and categories of the pre period, imputed area rates, post-period outcome and cost."""
+    and categories of the pre period, imputed area rates, post-period outcome and cost, and ``more`` blocks."""
     people = v.members(spark, d).join(v.index_months(spark, d), "member_id")
     demographics = people.select(
         "member_id", "state", "sex", "race", "disabled", F.col("age_cat").alias("ageCat"),
@@ -43,13 +43,18 @@ def build_frame(spark: SparkSession, d: str) -> DataFrame:
     claims = claim_plans.post_outcomes(spark, d).select("member_id", (F.col("claims_post") > 0).cast("double").alias(LABEL))
     blocks = [
         individual, feature_plans.dx_counts(spark, d), claim_plans.slope(spark, d), feature_plans.rx_adherence(spark, d),
-        claims, claim_plans.total_cost(spark, d).select("member_id", "total_cost"), stage1_probabilities(spark, d),
+        claims, claim_plans.total_cost(spark, d).select("member_id", "total_cost"), *more,
     ]
     # a rate unknown in every county stays null through imputation
     numeric_fill = {c: 0 for c in AREA} | {c: 0 for b in blocks for c in b.columns if c not in (*v.MEMBER, *INDIVIDUAL)}
     return joins.assemble(demographics.join(area, "county"), blocks, v.MEMBER, fill=None).na.fill(numeric_fill)
 
 
+def build_frame(spark: SparkSession, d: str) -> DataFrame:
+    """The member table with the probabilities of the stage-1 models."""
+    return base_frame(spark, d, stage1_probabilities(spark, d))
+
+
 def stage1_table(spark: SparkSession, d: str) -> DataFrame:
     """Stage-1 population under the names of the feature sets, in two halves."""
     population = panel_plans.stage1(spark, d).withColumnsRenamed(
@@ -153,22 +158,6 @@ def chi_square(spark: SparkSession, d: str) -> DataFrame:
     return result.select("feature", "degrees_of_freedom", F.round("statistic", 6).alias("statistic"))
 
 
-@query("ml_feature_sets")
-def ml_feature_sets(spark: SparkSession, d: str) -> DataFrame:
-    """Cost regression on each named feature set: test R-squared side by side."""
-    p = parts(spark, d)
-    results = None
-    for name in ml.feature_sets([], []):
-        categorical, numeric = feature_set(name)
-        learner = ml.linear("total_cost")
-        model = ml.fit(p["train"], ml.encoder(categorical, numeric), learner)
-        row = evaluation.regression_metrics(model.transform(p["test"]), "total_cost", "prediction").select(
-            F.lit(name).alias("feature_set"), F.lit(len(categorical)).alias("categorical"),
-            F.lit(len(numeric)).alias("numeric"), "r2", "mean_actual", "mean_predicted")
-        results = row if results is None else results.unionByName(row)
-    return results
-
-
 # --- classifiers --------------------------------------------------------------
 
 
@@ -224,7 +213,10 @@ def _classifier_report(spark: SparkSession, d: str, name: str, build, settings:
     stages = ml.encoder(*feature_set(name))
     some = sampling.sample_to_size(p["train"], v.MEMBER, codes.SEARCH_ROWS, "search")
     chosen, _, _ = ml.choose_by_mcc(some, p["validation"], stages, LABEL, build, settings)
-    model = ml.fit(p["train"], stages, build(label=LABEL, **chosen))
+    return _part_report(ml.fit(p["train"], stages, build(label=LABEL, **chosen)), p, chosen)
+
+
+def _part_report(model, p: dict[str, DataFrame], chosen: dict) -> DataFrame:
     rows = None
     for part in ("train", "test"):
         row = ml.evaluate(ml.score(model, p[part]), LABEL).select(
@@ -245,10 +237,26 @@ def ml_gbt(spark: SparkSession, d: str) -> DataFrame:
     return _classifier_report(spark, d, "area_sdoh", ml.boosted_classifier, settings)
 
 
+def forest_points(spark: SparkSession, d: str) -> DataFrame:
+    """The whole forest grid on a bounded sample of the training part, valued on validation."""
+    p = parts(spark, d)
+    some = sampling.sample_to_size(p["train"], v.MEMBER, codes.SEARCH_ROWS, "search")
+    encoders = Pipeline(stages=ml.encoder(*feature_set("baseline"))).fit(some)
+    sets = [encoders.transform(x).select(LABEL, ml.FEATURES).coalesce(ml.PIECES).persist() for x in (some, p["validation"])]
+    points = trees.search_forests(*sets, LABEL, codes.FOREST_GRID)
+    for x in sets:
+        x.unpersist()
+    return points
+
+
 @query("ml_random_forest")
 def ml_forest(spark: SparkSession, d: str) -> DataFrame:
-    settings = ml.grid(depth=[4], trees=[10], leaf=[1, 5])
-    return _classifier_report(spark, d, "baseline", ml.forest, settings)
+    """The best point of the forest grid, refitted on the whole training part; metrics on train and test."""
+    chosen = trees.best_point(forest_points(spark, d))
+    chosen.pop("mcc")
+    p = parts(spark, d)
+    model = ml.fit(p["train"], ml.encoder(*feature_set("baseline")), ml.forest(LABEL, **chosen))
+    return _part_report(model, p, chosen)
 
 
 @query("ml_downsampled_forest")
@@ -284,11 +292,25 @@ def ml_batch_score(spark: SparkSession, d: str) -> DataFrame:
     return scored.withColumn("probability_col", F.round("probability_col", 3))
 
 
-@query("top_k_importance")
-def top_k_importance(spark: SparkSession, d: str) -> DataFrame:
+def _boosted(spark: SparkSession, d: str):
+    """A boosted classifier on the widest registered set, its node table and slot names."""
     train = parts(spark, d)["train"]
     model = ml.fit(train, ml.encoder(*feature_set("area_sdoh")), ml.boosted_classifier(LABEL, depth=3, trees=5))
-    return ml.top_k(ml.importance_table(model, train), 15)
+    return trees.tree_nodes(model.stages[-1], spark), ml.attribute_names(model.transform(train))
+
+
+@query("top_k_importance")
+def top_k_importance(spark: SparkSession, d: str) -> DataFrame:
+    """The fifteen features of the largest gain, from the stored model's node table."""
+    nodes, names = _boosted(spark, d)
+    found = trees.gain_importance(nodes, names, by_tree=False).withColumn("value", F.col("importance"))
+    return ml.top_k(found.select("feature", "value", "importance"), 15)
+
+
+@query("unused_features")
+def unused_features(spark: SparkSession, d: str) -> DataFrame:
+    """Features of the same model that no tree splits on."""
+    return trees.unused(*_boosted(spark, d))
 
 
 @query("coefficient_importance", f"""
@@ -377,25 +399,3 @@ def ml_gbt_regressor(spark: SparkSession, d: str) -> DataFrame:
     model = ml.fit(p["train"], stages, ml.boosted_regressor("total_cost", **chosen))
     scored = model.transform(p["test"])
     return evaluation.regression_metrics(scored, "total_cost", "prediction").withColumn("chosen", F.lit(_settings(chosen)))
-
-
-@query("ml_cost_by_stratum")
-def ml_cost_by_stratum(spark: SparkSession, d: str) -> DataFrame:
-    """Disease-group cost regression fitted apart for each stratum."""
-    groups = feature_plans.hierarchy_rules(spark, d).drop("age")
-    columns = [c for c in groups.columns if c != "member_id"]
-    people = v.members(spark, d)
-    from cohortlake.operators.cost import stratum
-
-    placed = people.select("member_id", stratum(F.col("age_cat"), F.col("disabled")).alias("stratum"))
-    costs = claim_plans.total_cost(spark, d).select("member_id", "total_cost")
-    table = materialize(joins.assemble_inner([placed, groups, costs], v.MEMBER), "disease-cost")
-    split = sampling.hash_split(table, v.MEMBER, {"train": 0.8, "test": 0.2}, "cost")
-    rows = None
-    for name in ("adults", "kids", "disabled"):
-        mine = split.where(F.col("stratum") == name)
-        model = ml.fit(mine.where(F.col("part") == "train"), ml.encoder([], columns), ml.linear("total_cost"))
-        scored = model.transform(mine.where(F.col("part") == "test"))
-        row = evaluation.regression_metrics(scored, "total_cost", "prediction").withColumn("stratum", F.lit(name))
-        rows = row if rows is None else rows.unionByName(row)
-    return rows
