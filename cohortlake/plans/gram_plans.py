@@ -163,7 +163,7 @@ FROM judged JOIN sets USING (name)"""
 @query("gram_feature_sets", feature_sets_sql())
 def gram_feature_sets(spark: SparkSession, d: str) -> DataFrame:
     """The feature sets without the stage-1 probabilities, which no statement can give."""
-    return feature_set_fits(ml_plans.base_frame(spark, d), stage1=False)
+    return feature_set_fits(ml_plans.frame(spark, d), stage1=False)
 
 
 @query("ml_feature_sets")
