@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cohortlake.functions import codes
 from cohortlake.functions.dates import month_name, month_year
 from cohortlake.functions.hashing import threshold
-from cohortlake.operators import evaluation, features, joins, ml, sampling, trees
+from cohortlake.operators import evaluation, features, joins, ml, penalised, sampling, trees
 from cohortlake.plans import claim_plans, feature_plans, panel_plans, profile_plans, views as v
 from cohortlake.plans.registry import query
 from cohortlake.sources.tables import version
@@ -227,8 +227,17 @@ def _part_report(model, p: dict[str, DataFrame], chosen: dict) -> DataFrame:
 
 @query("ml_elastic_net")
 def ml_elastic_net(spark: SparkSession, d: str) -> DataFrame:
-    settings = ml.grid(reg=codes.ELASTIC_NET_REG, mix=codes.ELASTIC_NET_MIX)
-    return _classifier_report(spark, d, "no_sdoh", ml.logistic, settings)
+    """All 42 points fitted together on a bounded sample, the best on validation refitted on the whole training part."""
+    p = parts(spark, d)
+    stages = ml.encoder(*feature_set("no_sdoh"))
+    some = sampling.sample_to_size(p["train"], v.MEMBER, codes.SEARCH_ROWS, "search")
+    encoders = Pipeline(stages=stages).fit(some)
+    sets = [encoders.transform(x).select(LABEL, ml.FEATURES).coalesce(ml.PIECES).persist() for x in (some, p["validation"])]
+    points = ml.grid(reg=codes.ELASTIC_NET_REG, mix=codes.ELASTIC_NET_MIX)
+    chosen, _ = penalised.choose(*sets, LABEL, points)
+    for x in sets:
+        x.unpersist()
+    return _part_report(ml.fit(p["train"], stages, ml.logistic(label=LABEL, **chosen)), p, chosen)
 
 
 @query("ml_gbt_classifier")
