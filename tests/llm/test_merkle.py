@@ -74,8 +74,12 @@ def rows_of(counts):
 EDGES = [(None, "a", None, None, None)] * 2 + [(None, None, "x", 1, "y\n")] * 5 + [(5, "a", "x", 1, "y\n")] * 30 + [(5, "a", "x", 1, "other")]
 
 
-@pytest.mark.parametrize("fanout, levels", [(3, 1), (3, 7), (2, 2), (4, 1)])
-@pytest.mark.parametrize("counts", [{"a": 1}, {"a": 3, None: 4}, {"a": 100, "b": 1, "": 2, "Z": 27, "é": 28, None: 9}, {f"s{i}": 1 + i % 4 for i in range(40)}])
+MANY = {"a": 100, "b": 1, "": 2, "Z": 27, "é": 28, None: 9}
+
+
+@pytest.mark.parametrize("counts, fanout, levels", [
+    ({"a": 1}, 3, 7), ({"a": 3, None: 4}, 3, 1), (MANY, 3, 1), (MANY, 3, 7), (MANY, 2, 2), ({f"s{i}": 1 + i % 4 for i in range(40)}, 3, 1),
+])
 def test_manifest(spark, counts, fanout, levels):
     rows = rows_of(counts) + (EDGES if None in counts else [])
     df = documents(spark, rows).repartition(5).withColumn("root", F.lit("x")).withColumn("block", F.lit(1)).withColumn("digest", F.lit(1))
@@ -87,7 +91,7 @@ def test_no_rows(spark):
     assert merkle.manifest(documents(spark, [])).collect() == []
 
 
-@pytest.mark.parametrize("blocks", [2, 3, 4, 7, 9, 10, 19, 28])
+@pytest.mark.parametrize("blocks", [2, 4, 9, 10, 19, 28])
 def test_every_block_gets_its_proof(spark, blocks):
     """Blocks of one leaf: all of the tree comes from the exchange."""
     leaves = [h(str(i)) for i in range(blocks)]
