@@ -221,19 +221,11 @@ AREA_RATES = [
 ELASTIC_NET_REG = [0.0001, 0.001, 0.01, 0.1, 1.0, 10.0, 100.0]
 ELASTIC_NET_MIX = [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]
 
-# fixed values: full search grids, on the axes that Spark's tree learners have
+# fixed values: the full search grid of the forests
 FOREST_GRID = {
     "leaf": [1, 10, 20, 30, 40, 50, 60], "subset": ["auto", "sqrt", "log2"], "depth": [10, 12, 14, 16, 18, 20],
     "trees": [10, 20, 50, 75, 100, 125, 150, 175, 200],
 }
-BOOSTED_GRID = {
-    "step": [0.005, 0.01, 0.015], "subsample": [0.3, 0.5, 0.7], "depth": [16, 18, 20, 22], "gain": [0.0, 1.0],
-    "subset": ["0.5", "all"],
-}
-COST_GRID = {
-    "step": [0.01], "subsample": [0.4, 0.55, 0.7], "leaf": [1, 3, 5], "subset": ["0.5", "0.75", "all"],
-    "depth": [16, 19, 22], "gain": [0.0, 0.5, 1.0],
-}
 SEARCH_ROWS = 50_000
 
 # fixed values: settings that the searches chose (classifier), and the middle of the cost grid; the number of trees is ours
