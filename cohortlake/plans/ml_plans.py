@@ -146,16 +146,20 @@ def ml_scale(spark: SparkSession, d: str) -> DataFrame:
     seen AS (SELECT feature, x, label, count(*) AS n FROM long GROUP BY 1, 2, 3),
     cells AS (SELECT g.*, coalesce(n, 0) AS n FROM grid g LEFT JOIN seen s USING (feature, x, label)),
     expected AS (SELECT *, sum(n) OVER (PARTITION BY feature, x) * 1.0 * sum(n) OVER (PARTITION BY feature, label)
-      / sum(n) OVER (PARTITION BY feature) AS e FROM cells)
-    SELECT feature, CAST((count(DISTINCT x) - 1) * (count(DISTINCT label) - 1) AS INTEGER) AS degrees_of_freedom,
-      round(sum((n - e) * (n - e) / e), 6) AS statistic FROM expected GROUP BY 1""")
+      / sum(n) OVER (PARTITION BY feature) AS e FROM cells),
+    tests AS (SELECT feature, CAST((count(DISTINCT x) - 1) * (count(DISTINCT label) - 1) AS INTEGER) AS degrees_of_freedom,
+      sum((n - e) * (n - e) / e) AS s FROM expected GROUP BY 1),
+    tails AS (SELECT feature, sum(exp(-s / 2 + (degrees_of_freedom / 2 + k) * ln(s / 2) - lgamma(degrees_of_freedom / 2 + k + 1))) AS below
+      FROM tests, range(0, 5000) t(k) WHERE s > 0 GROUP BY 1)
+    SELECT feature, round(greatest(1 - coalesce(below, 0), 0), 6) AS p_value, degrees_of_freedom, round(s, 6) AS statistic
+    FROM tests LEFT JOIN tails USING (feature) ORDER BY p_value, feature""")
 def chi_square(spark: SparkSession, d: str) -> DataFrame:
     from cohortlake.plans.evaluation_plans import member_scored
 
     people = v.members(spark, d).select("member_id", "age_cat", "sex", "race")
     tested = materialize(people.join(member_scored(spark, d).select("member_id", "label"), "member_id"), "labelled")
     result = ml.chi_square(tested, ["age_cat", "sex", "race"], "label")
-    return result.select("feature", "degrees_of_freedom", F.round("statistic", 6).alias("statistic"))
+    return result.select("feature", F.round("p_value", 6).alias("p_value"), "degrees_of_freedom", F.round("statistic", 6).alias("statistic"))
 
 
 # --- classifiers --------------------------------------------------------------
