@@ -283,23 +283,44 @@ def test_classifiers_without_labels(spark, docs):
 
 
 def test_trie_matches_by_edit_distance():
-    terms = {"idiot": 5.0, "scum": 4.0, "worthless": 6.0, "pathetic": 7.0, "weakling": 3.0, "lowe*": 2.0}
-    lexicon = toxicity.Lexicon(terms)
+    terms = {"idiot": 5.0, "scum": 4.0, "worthless": 6.0, "pathetic": 7.0, "weakling": 3.0, "lowe*": 2.0, "despi*": 4.5, "idiom*": 1.0}
+    lexicon = toxicity.Lexicon(terms, frozenset(["weaklings"]))
     draw = random.Random(4)
-    whole = [t for t in terms if not t.endswith("*")]
-    for _ in range(3000):
-        word = list(draw.choice(whole))
+    stems = {t.removesuffix("*"): t for t in terms}
+    for round_ in range(4000):
+        word = list(draw.choice(list(stems)))
         for _ in range(draw.randrange(4)):
             at = draw.randrange(len(word) + 1)
             word[at : at + draw.randrange(2)] = draw.choice(["", "x", "i", "s"])
-        word = "".join(word)
-        if not word or word.startswith("lowe"):
+        word = "".join(word) + draw.choice(["", "", "ung"])
+        if not word:
             continue
-        near = [terms[t] for t in whole if plain.edits(word, t) <= (lexicon.allowed(len(t)) if terms[t] >= 4 else 0)]
+        exact = max([terms.get(word, 0.0)] if word in terms else [w for t, w in terms.items() if t[-1] == "*" and word.startswith(t[:-1]) and len(word) >= 4] or [0.0])
+        near = [
+            w for t, w in terms.items() if toxicity.allowed(len(t.removesuffix("*"))) and min(
+                plain.edits(part, t.removesuffix("*")) for part in ([word] if t[-1] != "*" else [word[:n] for n in range(len(word) + 1)])
+            ) <= toxicity.allowed(len(t.removesuffix("*")))
+        ]
         weight, wrong = lexicon.match(word)
-        assert weight == (terms[word] if word in terms else max(near, default=0.0)), word
-        assert wrong == (word not in terms) or not weight
+        expected = exact or (0.0 if word == "weaklings" else max(near, default=0.0))
+        assert weight == expected, word
+        assert wrong == (not exact and word != "weaklings")
+        if round_ % 1000 == 999:
+            lexicon.automaton.clear()
     assert lexicon.match("loweiung") == (2.0, False)
+    assert lexicon.match("weaklings") == (0.0, False) and lexicon.match("weaklinqs")[0] == 0.0
+    assert lexicon.match("dspised") == (4.5, True)
+
+
+def test_automaton_starts_anew_without_other_results(monkeypatch):
+    terms = {"worthless": 6.0, "pathetic": 7.0, "despi*": 4.5}
+    draw = random.Random(5)
+    some = ["".join(draw.choice("aehiopstwrl") for _ in range(draw.randrange(3, 12))) for _ in range(500)] + ["worthles", "patetic", "despyce"]
+    wide = toxicity.Automaton(terms)
+    expected = [wide.best(w) for w in some]
+    monkeypatch.setattr(toxicity, "STATES", 3)
+    tight = toxicity.Automaton(terms)
+    assert [tight.best(w) for w in some] == expected and expected[-3:] == [6.0, 7.0, 4.5]
 
 
 def test_toxicity_held_out(spark, empty):
