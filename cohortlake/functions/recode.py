@@ -100,3 +100,9 @@ def age_sex_cells(age: Column, male: Column) -> list[Column]:
         tests += [male == sex] if sex is not None else []
         cells.append(F.when(reduce(and_, tests), 1).otherwise(0).alias(name))
     return cells
+
+
+def row_sum(columns: Sequence[Column]) -> Column:
+    """Sum across the columns of one row; a null counts as zero."""
+    values = F.array(*[F.coalesce(c.cast("double"), F.lit(0.0)) for c in columns])
+    return F.aggregate(values, F.lit(0.0), lambda total, value: total + value)

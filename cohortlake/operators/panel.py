@@ -53,7 +53,7 @@ def enroll_flags(panel: DataFrame, medicaid_days: str = "medicaid_days", chip_da
 
 
 def annual_summary(flags: DataFrame, keys: Sequence[str], days: str = "medicaid_days") -> DataFrame:
-    """Months enrolled, dual and managed-care, total days and twelve month flags per member."""
+    """Months enrolled, with Medicaid, dual and managed-care, total days and twelve month flags per key (member, year)."""
     month_columns = [f"{m.lower()}_elig" for m in codes.MONTH_NAMES]
 
     def months(flag: str) -> Column:
@@ -62,6 +62,7 @@ def annual_summary(flags: DataFrame, keys: Sequence[str], days: str = "medicaid_
     enrolled = flags.where(F.col("enrolled") == "yes")
     return enrolled.groupBy(*keys).agg(
         months("enrolled").alias("enrolled_months"),
+        months("med_enroll").alias("medicaid_months"),
         months("dual").alias("medicare_months"),
         months("managed_care").alias("managed_care_months"),
         F.sum(days).alias("total_days"),

@@ -279,35 +279,32 @@ def impute(spark: SparkSession, d: str) -> DataFrame:
 # --- disease groups -----------------------------------------------------------
 
 
-def _group_list(spark: SparkSession, d: str, names: list[str], types: list[str]) -> DataFrame:
-    """Code list: parts of two types, one group each, names padded with blanks as in the source lists."""
-    p = load(spark, d, "part", "p_partkey", "p_size", "p_type").where(F.col("p_type").isin(types))
+def _group_list(spark: SparkSession, d: str, names: list[str]) -> DataFrame:
+    """Code list: every part, one group each, names padded with blanks as in the source lists."""
+    p = load(spark, d, "part", "p_partkey", "p_size")
     name = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("p_size") % len(names) + 1).cast("int"))
     return p.select(F.col("p_partkey").alias("code"), F.concat(F.lit(" "), name, F.lit(" ")).alias("disease_group"))
 
 
-def _indicators(spark: SparkSession, d: str, names: list[str], types: list[str]) -> DataFrame:
+def _indicators(spark: SparkSession, d: str, names: list[str]) -> DataFrame:
     events = member_lines(spark, d, "l_partkey").withColumnRenamed("l_partkey", "code")
-    return features.group_indicators(events, _group_list(spark, d, names, types), v.MEMBER, "code", "disease_group", names)
+    return features.group_indicators(events, _group_list(spark, d, names), v.MEMBER, "code", "disease_group", names)
 
 
-DISEASE_TYPES, DRUG_TYPES = ["PROMO"], ["SMALL"]
-
-
-def _indicator_sql(name: str, names: list[str], types: list[str]) -> str:
+def _indicator_sql(name: str, names: list[str]) -> str:
     columns = ", ".join(f'CAST(max(CASE WHEN p_size % {len(names)} = {i} THEN 1 ELSE 0 END) AS INTEGER) AS "{n}"'
                         for i, n in enumerate(names))
     return f"""{name} AS (SELECT o_custkey AS member_id, {columns} FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  JOIN part ON l_partkey = p_partkey WHERE p_type IN {v.sql_list(types)} GROUP BY 1)"""
+  JOIN part ON l_partkey = p_partkey GROUP BY 1)"""
 
 
-DISEASE_SQL = _indicator_sql("disease", codes.DISEASE_GROUPS, DISEASE_TYPES)
-DRUG_SQL = _indicator_sql("drug", codes.DRUG_GROUPS, DRUG_TYPES)
+DISEASE_SQL = _indicator_sql("disease", codes.DISEASE_GROUPS)
+DRUG_SQL = _indicator_sql("drug", codes.DRUG_GROUPS)
 
 
 @query("cdps_groups", f"WITH {DISEASE_SQL} SELECT * FROM disease")
 def cdps_groups(spark: SparkSession, d: str) -> DataFrame:
-    return _indicators(spark, d, codes.DISEASE_GROUPS, DISEASE_TYPES)
+    return _indicators(spark, d, codes.DISEASE_GROUPS)
 
 
 def _cells_sql() -> str:
@@ -340,7 +337,7 @@ def _rules_sql() -> str:
 @query("hierarchy_rules", _rules_sql())
 def hierarchy_rules(spark: SparkSession, d: str) -> DataFrame:
     people = v.members(spark, d).select("member_id", F.floor("age").cast("int").alias("age"))
-    drugs = _indicators(spark, d, codes.DRUG_GROUPS, DRUG_TYPES)
+    drugs = _indicators(spark, d, codes.DRUG_GROUPS)
     joined = joins.assemble(people, [cdps_groups(spark, d), drugs], v.MEMBER).na.fill(0)
     return features.apply_rules(joined)
 

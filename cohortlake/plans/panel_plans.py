@@ -12,17 +12,19 @@ from cohortlake.plans import views as v
 from cohortlake.plans.registry import query
 from cohortlake.sources.tables import load
 
-YEAR = 1997
 FULL_MONTHS = 2
 
 
-def _panel(spark: SparkSession, d: str, year: int = YEAR) -> DataFrame:
+MEMBER_YEAR = [*v.MEMBER, "year"]
+
+
+def _panel(spark: SparkSession, d: str) -> DataFrame:
     summed, resolved = v.eligibility_columns()
-    return panel.member_month_panel(v.wide_eligibility(spark, d, year), v.MEMBER, summed, resolved)
+    return panel.member_month_panel(v.wide_eligibility(spark, d), MEMBER_YEAR, summed, resolved)
 
 
 @query("member_month_panel", f"""
-    WITH {v.panel_sql(YEAR)} SELECT * FROM panel""")
+    WITH {v.PANEL_SQL} SELECT * FROM panel""")
 def member_month_panel(spark: SparkSession, d: str) -> DataFrame:
     return _panel(spark, d)
 
@@ -38,7 +40,7 @@ FLAGS_SQL = f"""flags AS (
 
 
 @query("enroll_flags", f"""
-    WITH {v.panel_sql(YEAR)}, {FLAGS_SQL} SELECT * FROM flags WHERE enrolled = 'yes'""")
+    WITH {v.PANEL_SQL}, {FLAGS_SQL} SELECT * FROM flags WHERE enrolled = 'yes'""")
 def enroll_flags(spark: SparkSession, d: str) -> DataFrame:
     return panel.enroll_flags(_panel(spark, d)).where(F.col("enrolled") == "yes")
 
@@ -58,12 +60,12 @@ _MONTH_FLAG_SQL = ", ".join(
 
 
 @query("cohort_select", f"""
-    WITH {v.MEMBERS_SQL}, {v.panel_sql(YEAR)}, {FLAGS_SQL},
+    WITH {v.MEMBERS_SQL}, {v.PANEL_SQL}, {FLAGS_SQL},
     summary AS (
-      SELECT member_id, count(*) AS enrolled_months, count(*) FILTER (dual = 'yes') AS medicare_months,
+      SELECT member_id, year, count(*) AS enrolled_months, count(*) FILTER (med_enroll = 'yes') AS medicaid_months, count(*) FILTER (dual = 'yes') AS medicare_months,
         count(*) FILTER (managed_care = 'yes') AS managed_care_months, CAST(sum(medicaid_days) AS BIGINT) AS total_days,
         {_MONTH_FLAG_SQL}
-      FROM flags WHERE enrolled = 'yes' GROUP BY 1)
+      FROM flags WHERE enrolled = 'yes' GROUP BY 1, 2)
     SELECT m.member_id, m.state, m.age_cat, s.* EXCLUDE (member_id),
       {v.sql_case('m.state', codes.REGIONS, codes.OTHER_REGION)} AS region
     FROM members m JOIN summary s USING (member_id)
@@ -72,7 +74,7 @@ def cohort(spark: SparkSession, d: str) -> DataFrame:
     from cohortlake.functions.recode import region
 
     people = v.members(spark, d).select("member_id", "state", "age_cat")
-    summary = panel.annual_summary(panel.enroll_flags(_panel(spark, d)), v.MEMBER)
+    summary = panel.annual_summary(panel.enroll_flags(_panel(spark, d)), MEMBER_YEAR)
     # eligibility carries the person alone; the state comes from the person's record
     with_state = summary.join(people.select("member_id", "state"), "member_id")
     chosen = panel.select_cohort(people, with_state, "member_id", "state", "age_cat")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.functions import codes
 from cohortlake.functions.dates import month_index, trend_slope
-from cohortlake.functions.recode import composite_flag, recode, region, to_int
+from cohortlake.functions.recode import composite_flag, recode, region, row_sum, to_int
 from cohortlake.operators import joins, profile
 from cohortlake.plans import views as v
 from cohortlake.plans.registry import query
@@ -30,16 +30,16 @@ def null_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("monthly_scan", """
-    SELECT CAST(month(l_shipdate) AS INTEGER) AS month, count(*) AS line_count, count(DISTINCT l_orderkey) AS claims,
-      CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS paid
-    FROM lineitem WHERE year(l_shipdate) = 1997 GROUP BY 1""")
+    SELECT CAST(year(l_shipdate) AS INTEGER) AS year, CAST(month(l_shipdate) AS INTEGER) AS month, count(*) AS line_count,
+      count(DISTINCT l_orderkey) AS claims, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS paid
+    FROM lineitem GROUP BY 1, 2""")
 def monthly_scan(spark: SparkSession, d: str) -> DataFrame:
-    one_year = year_slice(load(spark, d, "lineitem", "l_orderkey", "l_shipdate", "l_extendedprice"), "l_shipdate", 1997)
-    month = F.month("l_shipdate").alias("month")
+    lines = load(spark, d, "lineitem", "l_orderkey", "l_shipdate", "l_extendedprice")
+    year, month = F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month")
     amount = F.sum(F.col("l_extendedprice").cast("decimal(18,2)"))
-    # claims are counted from (month, claim) groups: no task holds a set of claim keys
-    per_claim = one_year.groupBy(month, "l_orderkey").agg(F.count("*").alias("n"), amount.alias("paid"))
-    return per_claim.groupBy("month").agg(
+    # claims are counted from (year, month, claim) groups: no task holds a set of claim keys
+    per_claim = lines.groupBy(year, month, "l_orderkey").agg(F.count("*").alias("n"), amount.alias("paid"))
+    return per_claim.groupBy("year", "month").agg(
         F.sum("n").alias("line_count"), F.count("*").alias("claims"), F.sum("paid").cast("double").alias("paid")
     )
 
@@ -47,10 +47,13 @@ def monthly_scan(spark: SparkSession, d: str) -> DataFrame:
 @query("stack_years", """
     SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS claims,
       CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS amount
-    FROM orders WHERE year(o_orderdate) BETWEEN 1997 AND 1999 GROUP BY 1""")
+    FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1""")
 def stacked(spark: SparkSession, d: str) -> DataFrame:
+    """One frame per calendar year from the first to the last that the table holds."""
     orders = load(spark, d, "orders", "o_orderkey", "o_orderdate", "o_totalprice")
-    frames = {y: year_slice(orders, "o_orderdate", y) for y in (1997, 1998, 1999)}
+    first, last = orders.agg(F.year(F.min("o_orderdate")), F.year(F.max("o_orderdate"))).first()
+    years = range(first, last + 1) if first else [0]
+    frames = {y: year_slice(orders, "o_orderdate", y) for y in years}
     return stack_years(frames).groupBy("year").agg(
         F.count("*").alias("claims"),
         F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("amount"),
@@ -259,7 +262,9 @@ def crosstab(spark: SparkSession, d: str) -> DataFrame:
       coalesce(nullif(o_orderstatus, 'P'), 'none') AS filled, CAST(nullif(o_orderstatus, 'P') IS NULL AS INTEGER) AS was_null,
       try_cast(substr(o_orderpriority, 1, 1) AS INTEGER) + 1 AS priority_plus,
       try_cast(o_orderstatus AS INTEGER) AS bad_cast,
-      CAST(round((year(o_orderdate) - month(o_orderdate)) * 0.5, 6) AS DOUBLE) AS slope
+      CAST(round((year(o_orderdate) - month(o_orderdate)) * 0.5, 6) AS DOUBLE) AS slope,
+      array_to_string([o_orderstatus, substr(o_orderpriority, 1, 1), CAST(o_custkey AS VARCHAR)], '/') AS joined_array,
+      CAST(coalesce(o_custkey, 0) + coalesce(try_cast(o_orderstatus AS BIGINT), 0) + month(o_orderdate) AS BIGINT) AS row_total
     FROM orders""")
 def scalars(spark: SparkSession, d: str) -> DataFrame:
     o = load(spark, d, "orders")
@@ -280,4 +285,6 @@ def scalars(spark: SparkSession, d: str) -> DataFrame:
         to_int(status).cast("int").alias("bad_cast"),
         # slope through two points, one step apart
         F.round(trend_slope([F.month(day), F.year(day)]) / 2, 6).alias("slope"),
+        F.array_join(F.array(status, F.substring(priority, 1, 1), F.col("o_custkey").cast("string")), "/").alias("joined_array"),
+        row_sum([F.col("o_custkey"), to_int(status), F.month(day)]).cast("long").alias("row_total"),
     )

@@ -22,10 +22,11 @@ from cohortlake.sources.tables import load
       CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS paid
     FROM lineitem WHERE month(l_shipdate) IN (1, 2, 3, 11) GROUP BY 1""")
 def month_partition_read(spark: SparkSession, d: str) -> DataFrame:
-    """Lines written by month of all years; four months are opened, the other folders are not."""
+    """Lines written by month of all years; four months are opened, the other folders are not. The rebalance gathers
+    a month's rows in few files and splits a month that exceeds the advised partition size."""
     path = new_path(spark, "months")
     lines = load(spark, d, "lineitem", "l_orderkey", "l_extendedprice", F.month("l_shipdate").alias("month"))
-    tables.save_table(lines.where("month is not null").repartition("month"), path, ["month"])
+    tables.save_table(lines.where("month is not null").hint("rebalance", "month"), path, ["month"])
     some = tables.month_partitions(spark, path, [1, 2, 3, 11], ["l_extendedprice"])
     return some.groupBy("month").agg(
         F.count("*").alias("line_count"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("paid"))

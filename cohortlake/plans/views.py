@@ -157,17 +157,13 @@ def order_months(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def wide_eligibility(spark: SparkSession, d: str, year: int) -> DataFrame:
-    """Annual record per customer and order priority: twelve columns per attribute.
+def wide_eligibility(spark: SparkSession, d: str) -> DataFrame:
+    """Annual records of all years per customer and order priority: twelve columns per attribute.
 
     Several records per customer, as the source files have, so that combining
     duplicates matters.
     """
-    from cohortlake.sources.tables import year_slice
-
-    o = year_slice(
-        load(spark, d, "orders", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority"), "o_orderdate", year
-    )
+    o = load(spark, d, "orders", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority").where("o_orderdate is not null")
     month, status = F.month("o_orderdate"), F.col("o_orderstatus")
     priority = F.lpad(F.substring("o_orderpriority", 1, 1), 2, "0")
     columns = []
@@ -181,7 +177,7 @@ def wide_eligibility(spark: SparkSession, d: str, year: int) -> DataFrame:
             .alias(f"plan_{i:02d}"),
             F.max(F.when(here, (F.dayofmonth("o_orderdate") % 6).cast("string"))).alias(f"cov_{i:02d}"),
         ]
-    return o.groupBy(F.col("o_custkey").alias("member_id"), "o_orderpriority").agg(*columns)
+    return o.groupBy(F.col("o_custkey").alias("member_id"), F.year("o_orderdate").alias("year"), "o_orderpriority").agg(*columns)
 
 
 def eligibility_columns() -> tuple[dict, dict]:
@@ -194,19 +190,18 @@ def eligibility_columns() -> tuple[dict, dict]:
     )
 
 
-def panel_sql(year: int) -> str:
-    """The same panel written as months times members left joined to orders."""
-    return f"""months AS (SELECT unnest(range(1, 13)) AS month),
-people AS (SELECT DISTINCT o_custkey AS member_id FROM orders WHERE year(o_orderdate) = {year}),
+#: The same panel written as months times members and years left joined to orders.
+PANEL_SQL = """months AS (SELECT unnest(range(1, 13)) AS month),
+people AS (SELECT DISTINCT o_custkey AS member_id, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders WHERE o_orderdate IS NOT NULL),
 panel AS (
-  SELECT p.member_id, CAST(m.month AS INTEGER) AS month,
+  SELECT p.member_id, p.year, CAST(m.month AS INTEGER) AS month,
     CAST(sum(CASE WHEN o_orderstatus = 'P' THEN 0 WHEN o_orderkey IS NOT NULL THEN 1 END) AS BIGINT) AS medicaid_days,
     CAST(sum(CASE WHEN o_orderstatus = 'P' THEN 1 END) AS BIGINT) AS chip_days,
     max(CASE WHEN o_orderstatus = 'F' THEN '00' ELSE '0' || substr(o_orderpriority, 1, 1) END) AS dual_code,
     max('0' || CAST(day(o_orderdate) % 10 AS VARCHAR)) AS plan_code,
     max(CAST(day(o_orderdate) % 6 AS VARCHAR)) AS chip_code
   FROM people p CROSS JOIN months m
-  LEFT JOIN orders ON o_custkey = p.member_id AND year(o_orderdate) = {year} AND month(o_orderdate) = m.month
+  LEFT JOIN orders ON o_custkey = p.member_id AND year(o_orderdate) = p.year AND month(o_orderdate) = m.month
   GROUP BY ALL)"""
 
 
