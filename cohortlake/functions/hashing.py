@@ -50,16 +50,3 @@ def poisson_levels(mean: float) -> list[str]:
         levels.append(level)
         k += 1
     return levels
-
-
-def poisson_weight(text: Column, mean: float) -> Column:
-    """Poisson draw by inversion: the number of cumulative levels at or below the word."""
-    levels = poisson_levels(mean)
-    expr = None
-    for count, level in enumerate(levels):
-        expr = F.when(text < level, count) if expr is None else expr.when(text < level, count)
-    return expr.otherwise(len(levels)).cast("int")
-
-
-def bernoulli_weight(text: Column, probability: float) -> Column:
-    return below(text, probability).cast("int")

@@ -1,9 +1,10 @@
 """Bootstrap intervals in one job.
 
 A replicate gives each row a weight: Poisson for sampling with replacement, Bernoulli
-for sampling without. Weights come from a hash of (row key, salt, replicate), rows with
-weight 0 are dropped where they are made, and the rest are added up map-side into the
-few cells a metric needs. All replicates of all groups are therefore one aggregation.
+for sampling without. No replicate that misses a row is looked at: the hits of a row over all replicates are
+one Poisson count, and given that count each hit falls on any replicate alike. So a row costs its hits
+(fraction x replicates on average), drawn from hashes of (row key, salt, hit), and these are added up
+map-side into the few cells a metric needs. All replicates of all groups are one aggregation.
 
 ``cell_replicates`` is the form for very large scored sets: independent Poisson weights
 add up to a Poisson count, so one draw per (replicate, cell) has the same law as a draw
@@ -12,6 +13,7 @@ per row and costs replicates x cells, not replicates x rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.functions import codes
-from cohortlake.functions.hashing import bernoulli_weight, digest, poisson_weight
+from cohortlake.functions.hashing import digest, poisson_levels, word, word_as_number
 from cohortlake.operators.evaluation import (
     CELLS, auc_from_counts, confusion_cells, metric_columns, regression_columns, regression_sums, score_bounds,
 )
@@ -29,34 +31,39 @@ CLASSIFICATION = ["sensitivity", "specificity", "ppv", "npv", "accuracy", "mcc",
 WORDS_PER_DIGEST = 4
 
 
+def hit_rate(fraction: float, with_replacement: bool) -> float:
+    """Expected hits of a row in one replicate. Without replacement a row is in if it is hit at all, so that
+    1 - exp(-rate) is the fraction."""
+    return fraction if with_replacement else -math.log1p(-fraction)
+
+
 def weighted_replicates(df: DataFrame, key: Column, replicates: int, fraction: float, salt: str,
                         with_replacement: bool = True) -> DataFrame:
-    """Rows of every replicate with their positive ``weight``.
+    """The rows of every replicate, each with ``weight`` 1; with replacement a row may be in one several times.
 
-    One md5 digest holds four words and serves four consecutive replicates. The rows are
-    spread over the cluster first: each of them costs a thousand draws, so even a set that
-    fits one file is worth one small shuffle.
+    One md5 digest holds four words and serves four consecutive hits. The rows are spread
+    over the cluster first: each of them becomes many, so even a set that fits one file
+    is worth one small shuffle.
     """
+    if not with_replacement and fraction >= 1:
+        raise ValueError("a fraction below 1 is needed to sample without replacement")
     spark = df.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks = (replicates + WORDS_PER_DIGEST - 1) // WORDS_PER_DIGEST
-    drawn = df.repartition(tasks, key).withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn(
-        "__digest", digest(key, salt, F.col("__block").cast("string"))
-    )
-    weigh = poisson_weight if with_replacement else bernoulli_weight
-    words = F.array(*[
-        F.struct(
-            (F.col("__block") * WORDS_PER_DIGEST + i).alias("replicate"),
-            F.substring("__digest", 8 * i + 1, 8).alias("__word"),
-        )
-        for i in range(WORDS_PER_DIGEST)
-    ])
-    return (
-        drawn.select(*df.columns, F.inline(words))
-        .withColumn("weight", weigh(F.col("__word"), fraction))
-        .where((F.col("weight") > 0) & (F.col("replicate") < replicates))
-        .drop("__word")
-    )
+    # words are compared as text; the count of levels at or below a word is the Poisson draw
+    levels = F.array(*[F.lit(x) for x in poisson_levels(replicates * hit_rate(fraction, with_replacement))])
+    first = word(key, f"{salt}|n")
+    counted = df.repartition(tasks, key).withColumn("__hits", F.size(F.filter(levels, lambda level: level <= first)))
+
+    def four(block: Column) -> Column:
+        text = digest(key, salt, block.cast("string"))
+        words = [word_as_number(F.substring(text, 8 * i + 1, 8)) for i in range(WORDS_PER_DIGEST)]
+        return F.array(*[F.shiftright(w * replicates, 32).cast("int") for w in words])
+
+    blocks = F.sequence(F.lit(0), F.floor((F.col("__hits") - 1) / WORDS_PER_DIGEST).cast("int"))
+    places = F.slice(F.flatten(F.transform(blocks, four)), F.lit(1), F.col("__hits"))
+    drawn = counted.where("__hits > 0").select(
+        *df.columns, F.explode(places if with_replacement else F.array_distinct(places)).alias("replicate"))
+    return drawn.withColumn("weight", F.lit(1))
 
 
 def percentile_interval(replicates: DataFrame, metrics: Sequence[str], group: Sequence[str] = (),

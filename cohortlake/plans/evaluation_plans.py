@@ -149,16 +149,18 @@ def group_confusion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _replicates_sql(source: str, key: str, replicates: int, fraction: float, salt: str, with_replacement: bool = True) -> str:
-    if with_replacement:
-        levels = poisson_levels(fraction)
-        branches = " ".join(f"WHEN w < '{t}' THEN {k}" for k, t in enumerate(levels))
-        weight = f"CASE {branches} ELSE {len(levels)} END"
-    else:
-        weight = f"CAST(w < '{threshold(fraction)}' AS INTEGER)"
-    return f"""drawn AS (
-  SELECT s.*, r AS replicate, substr(md5(concat_ws('|', {key}, '{salt}', CAST(r // 4 AS VARCHAR))), 8 * (r % 4) + 1, 8) AS w
-  FROM {source} s CROSS JOIN (SELECT CAST(unnest(range(0, {replicates})) AS INTEGER) AS r)),
-weighted AS (SELECT * FROM (SELECT *, {weight} AS weight FROM drawn) WHERE weight > 0)"""
+    levels = poisson_levels(replicates * bootstrap.hit_rate(fraction, with_replacement))
+    branches = " ".join(f"WHEN w < '{t}' THEN {k}" for k, t in enumerate(levels))
+    every = "" if with_replacement else "DISTINCT"
+    return f"""counted AS (
+  SELECT *, CASE {branches} ELSE {len(levels)} END AS hits
+  FROM (SELECT s.*, substr(md5(concat_ws('|', {key}, '{salt}', 'n')), 1, 8) AS w FROM {source} s)),
+hit AS (SELECT *, unnest(range(0, hits)) AS i FROM counted),
+placed AS (
+  SELECT * EXCLUDE (w, hits, i), CAST(CAST('0x' || substr(md5(concat_ws('|', {key}, '{salt}', CAST(i // 4 AS VARCHAR))),
+    CAST(8 * (i % 4) + 1 AS BIGINT), 8) AS BIGINT) * {replicates} // 4294967296 AS INTEGER) AS replicate, 1 AS weight
+  FROM hit),
+weighted AS (SELECT {every} * FROM placed)"""
 
 
 def _percentile_sql(source: str, metrics: list[str], digits: int) -> str:

@@ -1,7 +1,9 @@
 """Metrics, samples and bootstrap intervals."""
 
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.sql import functions as F
@@ -69,12 +71,31 @@ def test_sample_to_size(spark):
     assert abs(sampling.sample_to_size(spark.range(5000), ["id"], 1000, "s").count() - 1000) < 120
 
 
-def test_poisson_weights_have_the_right_law(spark):
-    drawn = bootstrap.weighted_replicates(spark.range(2000), F.col("id"), 10, 0.5, "s")
-    stats = drawn.agg(F.sum("weight").alias("s"), F.max("weight").alias("m"), F.min("replicate").alias("lo"), F.max("replicate").alias("hi")).first()
-    assert abs(stats.s - 10000) < 400 and stats.m >= 3 and (stats.lo, stats.hi) == (0, 9)
-    once = bootstrap.weighted_replicates(spark.range(2000), F.col("id"), 10, 0.5, "s", with_replacement=False)
-    assert once.agg(F.max("weight")).first()[0] == 1 and abs(once.count() - 10000) < 400
+def test_replicate_counts_have_the_right_law(spark):
+    """Weights of (row, replicate): Poisson with replacement, 0 or 1 without, and independent between replicates."""
+    n, replicates, fraction = 2000, 20, 0.5
+    for again in (True, False):
+        drawn = bootstrap.weighted_replicates(spark.range(n), F.col("id"), replicates, fraction, "s", with_replacement=again)
+        weights = np.zeros((n, replicates))
+        for r in drawn.groupBy("id", "replicate").agg(F.sum("weight").alias("w")).collect():
+            weights[r.id, r.replicate] = r.w
+        for k in range(4):
+            share = math.exp(-fraction) * fraction**k / math.factorial(k) if again else {0: 1 - fraction, 1: fraction}.get(k, 0)
+            assert abs((weights == k).mean() - share) < 0.01, (again, k)
+        assert np.abs(weights.mean(0) - fraction).max() < 0.07
+        pairs = np.corrcoef(weights.T)
+        assert np.abs(pairs - np.eye(replicates)).max() < 0.11
+    same = [bootstrap.weighted_replicates(spark.range(50).repartition(k), F.col("id"), 30, 0.1, "s") for k in (1, 7)]
+    assert same[0].exceptAll(same[1]).count() == 0 and same[0].count() == same[1].count()
+
+
+def test_rows_without_hits_are_not_carried(spark):
+    drawn = bootstrap.weighted_replicates(spark.range(3000), F.col("id"), 1000, 0.002, "s")
+    assert abs(drawn.count() - 6000) < 400
+    missed = spark.range(3000).join(drawn, "id", "left_anti").count()
+    assert abs(missed / 3000 - math.exp(-2)) < 0.03
+    with pytest.raises(ValueError):
+        bootstrap.weighted_replicates(spark.range(3), F.col("id"), 10, 1.0, "s", with_replacement=False)
 
 
 def test_cell_and_row_bootstrap_agree(spark):
