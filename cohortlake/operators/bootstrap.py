@@ -51,18 +51,28 @@ def weighted_replicates(df: DataFrame, key: Column, replicates: int, fraction: f
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # words are compared as text; the count of levels at or below a word is the Poisson draw
     levels = F.array(*[F.lit(x) for x in poisson_levels(replicates * hit_rate(fraction, with_replacement))])
-    first = word(key, f"{salt}|n")
-    counted = df.repartition(tasks, key).withColumn("__hits", F.size(F.filter(levels, lambda level: level <= first)))
-
-    def four(block: Column) -> Column:
-        text = digest(key, salt, block.cast("string"))
-        words = [word_as_number(F.substring(text, 8 * i + 1, 8)) for i in range(WORDS_PER_DIGEST)]
-        return F.array(*[F.shiftright(w * replicates, 32).cast("int") for w in words])
-
-    blocks = F.sequence(F.lit(0), F.floor((F.col("__hits") - 1) / WORDS_PER_DIGEST).cast("int"))
-    places = F.slice(F.flatten(F.transform(blocks, four)), F.lit(1), F.col("__hits"))
-    drawn = counted.where("__hits > 0").select(
-        *df.columns, F.explode(places if with_replacement else F.array_distinct(places)).alias("replicate"))
+    # a lambda's argument is evaluated once, an outer expression once per level
+    hits = F.transform(F.array(word(key, f"{salt}|n")), lambda first: F.size(F.filter(levels, lambda level: level <= first)))[0]
+    # neither nullable nor under an inner explode: a filter inferred from it would be pushed below the caller's
+    # aggregates and draw once for every row there
+    counted = df.repartition(tasks, key).withColumn("__hits", F.coalesce(hits, F.lit(0)))
+    blocks = F.sequence(F.lit(0), F.expr(f"(__hits - 1) div {WORDS_PER_DIGEST}").cast("int"))
+
+    def places(text: Column) -> list[Column]:
+        return [F.shiftright(word_as_number(F.substring(text, 8 * i + 1, 8)) * replicates, 32).cast("int")
+                for i in range(WORDS_PER_DIGEST)]
+
+    if with_replacement:
+        digests = counted.withColumn("__block", F.explode_outer(blocks)).withColumn(
+            "__digest", digest(key, salt, F.col("__block").cast("string")))
+        four = [F.struct((F.col("__block") * WORDS_PER_DIGEST + i).alias("__hit"), p.alias("replicate"))
+                for i, p in enumerate(places(F.col("__digest")))]
+        drawn = digests.select(*df.columns, "__hits", F.inline(F.array(*four))).where("__hit < __hits").drop("__hit", "__hits")
+    else:
+        texts = F.transform(blocks, lambda block: digest(key, salt, block.cast("string")))
+        every = F.flatten(F.transform(texts, lambda text: F.array(*places(text))))
+        drawn = counted.select(*df.columns, F.explode_outer(F.array_distinct(F.slice(every, F.lit(1), F.col("__hits")))).alias("replicate"))
+        drawn = drawn.where("replicate is not null")
     return drawn.withColumn("weight", F.lit(1))
 
 
