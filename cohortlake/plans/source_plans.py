@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.functions import codes
+from cohortlake.functions import codes, sql
 from cohortlake.operators import cost, panel, profile
 from cohortlake.plans import feature_plans, views as v
 from cohortlake.plans.registry import query
@@ -82,6 +82,65 @@ def table_sink(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+@query("month_replace", """
+    SELECT CAST(month(l_shipdate) AS INTEGER) AS month, count(*) AS line_count,
+      CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * CASE WHEN month(l_shipdate) = 2 THEN 2 ELSE 1 END) AS DOUBLE) AS paid
+    FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY 1""")
+def month_replace(spark: SparkSession, d: str) -> DataFrame:
+    """A table by month of which a corrected February replaces the stored one; the other folders stay as they are."""
+    path = new_path(spark, "replaced")
+    price = F.col("l_extendedprice").cast("decimal(18,2)").alias("price")
+    lines = load(spark, d, "lineitem", price, F.month("l_shipdate").alias("month")).where("month is not null")
+    tables.save_table(lines.hint("rebalance", "month"), path, ["month"])
+    corrected = lines.where("month = 2").withColumn("price", F.col("price") * 2).hint("rebalance")
+    tables.replace_partitions(corrected.select(F.col("price").cast("decimal(18,2)"), "month"), path, ["month"])
+    return spark.read.parquet(path).groupBy("month").agg(
+        F.count("*").alias("line_count"), F.sum("price").cast("double").alias("paid"))
+
+
+@query("bucketed_join", """
+    SELECT c_custkey AS member_id, c_nationkey AS county, claims, amount FROM customer
+    JOIN (SELECT o_custkey, count(*) AS claims, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS amount
+      FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
+def bucketed_join(spark: SparkSession, d: str) -> DataFrame:
+    """Two blocks stored in buckets of the member; their join needs no exchange however large they are."""
+    people = load(spark, d, "customer", F.col("c_custkey").alias("member_id"), F.col("c_nationkey").alias("county"))
+    claims = load(spark, d, "orders", F.col("o_custkey").alias("member_id"), "o_totalprice").groupBy("member_id").agg(
+        F.count("*").alias("claims"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("amount"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stored = []
+    for label, block in (("people", people), ("claims", claims)):
+        path = new_path(spark, label)
+        # one file per bucket: rows meet their bucket before the write
+        block = block.repartition(buckets, *v.MEMBER)
+        stored.append(tables.save_bucketed(block, path.rsplit("/", 1)[-1].replace("-", "_"), path, v.MEMBER, buckets))
+    return stored[0].join(stored[1], v.MEMBER)
+
+
+@query("sql_text_block", f"""
+    WITH {v.MEMBERS_SQL}
+    SELECT {v.sql_case('m.state', codes.REGIONS, codes.OTHER_REGION)} AS region, {v.sql_months('o_orderdate')}::INTEGER AS month_idx,
+      count(*) AS claims, count(DISTINCT m.member_id) AS members, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS amount
+    FROM orders JOIN members m ON o_custkey = m.member_id
+    WHERE {v.sql_months('o_orderdate')} BETWEEN 13 AND 24 GROUP BY 1, 2""")
+def sql_text_block(spark: SparkSession, d: str, first: int = 13, last: int = 24) -> DataFrame:
+    """Claims by region and study month from SQL text over views, session functions and named parameters."""
+    sql.register(spark)
+    return spark.sql("""
+        WITH placed AS (
+          SELECT o_custkey AS member_id, study_month(CAST(o_orderdate AS DATE), :base_year) AS month_idx,
+            CAST(o_totalprice AS DECIMAL(18,2)) AS price
+          FROM {orders}),
+        per_member AS (
+          SELECT member_id, month_idx, count(*) AS n, sum(price) AS price FROM placed
+          WHERE month_idx BETWEEN :first AND :last GROUP BY member_id, month_idx)
+        SELECT region_of(state) AS region, month_idx, sum(n) AS claims, count(*) AS members, CAST(sum(price) AS DOUBLE) AS amount
+        FROM per_member JOIN {members} USING (member_id) GROUP BY ALL""",
+        args={"base_year": v.BASE_YEAR, "first": first, "last": last},
+        orders=load(spark, d, "orders", "o_custkey", "o_orderdate", "o_totalprice"),
+        members=v.members(spark, d).select("member_id", "state"))
+
+
 # --- completeness of the other families ---------------------------------------
 
 

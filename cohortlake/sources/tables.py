@@ -120,6 +120,12 @@ def save_bucketed(df: DataFrame, table: str, path: str, keys: Sequence[str], buc
     return df.sparkSession.table(table)
 
 
+def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
+    """Replace just those partitions of a stored table that ``df`` has rows for."""
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*partition_by).parquet(path)
+
+
 def save_report(df: DataFrame, path: str) -> None:
     """Overwrite a small report as CSV with a header."""
     df.write.mode("overwrite").csv(path, header=True)
