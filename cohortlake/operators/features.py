@@ -84,41 +84,58 @@ def category_values(crosswalk: DataFrame, category: str) -> list[str]:
     return sorted(r[0] for r in rows)
 
 
+def category_events(events: DataFrame, crosswalk: DataFrame, keys: Sequence[str], date: str, code: str, category: str,
+                    length: int = 3) -> DataFrame:
+    """Distinct (member, date, code) with the two-pass category."""
+    unique = distinct_events(events, [*keys, date, code], [code])
+    return crosswalk_prefix(unique, crosswalk, code, category, length)
+
+
 def category_counts(events: DataFrame, spine: DataFrame, crosswalk: DataFrame, keys: Sequence[str], date: str,
                     code: str, category: str, values: Sequence[str], length: int = 3,
                     prefix: str = "") -> DataFrame:
     """Distinct (member, date, code), two-pass category, pivoted counts, zero-filled spine."""
-    unique = distinct_events(events, [*keys, date, code], [code])
-    placed = crosswalk_prefix(unique, crosswalk, code, category, length)
+    placed = category_events(events, crosswalk, keys, date, code, category, length)
     return spine_fill(spine.select(*keys), pivot_counts(placed, keys, category, values, prefix), keys)
 
 
+def provider_events(events: DataFrame, keys: Sequence[str], date: str, service: str, billing: str) -> DataFrame:
+    """Distinct (member, date, specialty) of the service provider, else of the billing provider."""
+    chosen = events.withColumn("specialty", F.coalesce(F.col(service), F.col(billing)))
+    return distinct_events(chosen, [*keys, date, "specialty"], ["specialty"])
+
+
 def provider_counts(events: DataFrame, spine: DataFrame, keys: Sequence[str], date: str, service: str,
                     billing: str, values: Sequence[str], prefix: str = "") -> DataFrame:
     """Counts per specialty: the service provider's, else the billing provider's."""
-    chosen = events.withColumn("specialty", F.coalesce(F.col(service), F.col(billing)))
-    unique = distinct_events(chosen, [*keys, date, "specialty"], ["specialty"])
+    unique = provider_events(events, keys, date, service, billing)
     return spine_fill(spine.select(*keys), pivot_counts(unique, keys, "specialty", values, prefix, None), keys)
 
 
 def rx_adherence(fills: DataFrame, keys: Sequence[str], drug: str, fill_date: str, days: str,
                  generic: str) -> DataFrame:
     """Fills, drugs, share generic and days supplied over the span from first fill to last supply end."""
+    return drug_totals(fills, keys, drug, fill_date, days, generic).groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in DRUG_TOTALS], F.count("*").alias("number_of_unique_med"),
+    ).select(*keys, F.col("fills").alias("number_of_fills"), "number_of_unique_med",
+             *[c.alias(n) for n, c in adherence_shares().items()])
+
+
+DRUG_TOTALS = ("fills", "generic", "supplied", "span")
+
+
+def drug_totals(fills: DataFrame, keys: Sequence[str], drug: str, fill_date: str, days: str, generic: str) -> DataFrame:
+    """One row per member and drug: fills, generic fills, days supplied, days from first fill to last supply end."""
     supply = F.col(days).try_cast("int")
-    per_drug = fills.groupBy(*keys, drug).agg(
-        F.count("*").alias("fills"),
-        F.min(fill_date).alias("first_fill"),
-        F.max(F.date_add(fill_date, supply)).alias("supply_end"),
-        F.sum(supply).alias("supplied"),
-        F.sum(generic).alias("generic"),
-    )
-    span = F.datediff("supply_end", "first_fill")
-    return per_drug.groupBy(*keys).agg(
-        F.sum("fills").alias("number_of_fills"),
-        F.count("*").alias("number_of_unique_med"),
-        F.round(F.try_divide(F.sum("generic"), F.sum("fills")), 4).alias("percent_generic"),
-        F.round(F.try_divide(F.sum("supplied"), F.sum(span)), 4).alias("percent_med_adherence"),
-    )
+    span = F.datediff(F.max(F.date_add(fill_date, supply)), F.min(fill_date))
+    return fills.groupBy(*keys, drug).agg(
+        F.count("*").alias("fills"), F.sum(generic).alias("generic"), F.sum(supply).alias("supplied"), span.alias("span"))
+
+
+def adherence_shares() -> dict[str, Column]:
+    """Shares from a member's sums of the drug totals."""
+    return {"percent_generic": F.round(F.try_divide("generic", "fills"), 4),
+            "percent_med_adherence": F.round(F.try_divide("supplied", "span"), 4)}
 
 
 def sum_or_null(columns: Sequence[str]) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.functions import codes
 from cohortlake.functions.recode import age_sex_cells
-from cohortlake.operators import acute, features, joins, windows
+from cohortlake.operators import acute, assembly, features, joins, windows
 from cohortlake.plans import claim_plans, views as v
 from cohortlake.plans.acute_plans import ED_SQL, PLACES, PROCEDURES, REVENUE
 from cohortlake.plans.registry import query
@@ -192,14 +192,17 @@ spec AS (SELECT member_id, {_count_columns_sql(SPECIALTIES, 'sp_', 'specialty',
     WITH {v.INDEX_SQL}, {SPECIALTY_SQL} SELECT c_custkey AS member_id, {_filled_sql(SPECIALTIES, 'sp_', False)}
     FROM customer LEFT JOIN spec ON c_custkey = member_id""")
 def provider_counts(spark: SparkSession, d: str) -> DataFrame:
+    return features.provider_counts(
+        _specialists(spark, d), _spine(spark, d), v.MEMBER, "service_date", "service", "billing", SPECIALTIES, "sp_")
+
+
+def _specialists(spark: SparkSession, d: str) -> DataFrame:
     raw = outpatient_lines(spark, d, "l_linestatus", "l_returnflag", "l_suppkey", "l_partkey")
-    events = in_pre(raw, spark, d, "service_date").select(
+    return in_pre(raw, spark, d, "service_date").select(
         "member_id", "service_date",
         F.when(F.col("l_linestatus") == "F", F.concat(F.lit("S"), (F.col("l_suppkey") % 5).cast("string"))).alias("service"),
         F.when(F.col("l_returnflag") != "A", F.concat(F.lit("B"), (F.col("l_partkey") % 3).cast("string"))).alias("billing"),
     )
-    return features.provider_counts(
-        events, _spine(spark, d), v.MEMBER, "service_date", "service", "billing", SPECIALTIES, "sp_")
 
 
 RX_SQL = f"""per_drug AS (
@@ -220,11 +223,15 @@ rx_member AS (
       coalesce(percent_med_adherence, 0) AS percent_med_adherence
     FROM customer LEFT JOIN rx_member ON c_custkey = member_id""")
 def rx_adherence(spark: SparkSession, d: str) -> DataFrame:
+    block = features.rx_adherence(_fills(spark, d), v.MEMBER, "drug", "fill_date", "days", "generic")
+    return joins.spine_fill(_spine(spark, d), block, v.MEMBER)
+
+
+def _fills(spark: SparkSession, d: str) -> DataFrame:
     fills = member_lines(spark, d, "l_partkey", "l_shipdate", "l_quantity", "l_returnflag").select(
         "member_id", F.col("l_partkey").alias("drug"), F.to_date("l_shipdate").alias("fill_date"),
         F.col("l_quantity").cast("int").alias("days"), (F.col("l_returnflag") == "A").cast("int").alias("generic"))
-    block = features.rx_adherence(in_pre(fills, spark, d, "fill_date"), v.MEMBER, "drug", "fill_date", "days", "generic")
-    return joins.spine_fill(_spine(spark, d), block, v.MEMBER)
+    return in_pre(fills, spark, d, "fill_date")
 
 
 # --- area rates and imputation ------------------------------------------------
@@ -358,8 +365,55 @@ def spine_fill(spark: SparkSession, d: str) -> DataFrame:
       coalesce(percent_generic, 0) AS percent_generic, coalesce(percent_med_adherence, 0) AS percent_med_adherence
     FROM members m LEFT JOIN dx USING (member_id) LEFT JOIN rx_member USING (member_id) LEFT JOIN spec USING (member_id)""")
 def assemble(spark: SparkSession, d: str) -> DataFrame:
+    """Three blocks as tall rows that one aggregate per member sums."""
     people = v.members(spark, d).select("member_id", "state", "age_cat")
-    return joins.assemble(people, [dx_counts(spark, d), rx_adherence(spark, d), provider_counts(spark, d)], v.MEMBER)
+    codes_placed = features.category_events(
+        _pre_codes(spark, d), code_list(spark, d), v.MEMBER, "service_date", "code", "category", PREFIX)
+    seen = features.provider_events(_specialists(spark, d), v.MEMBER, "service_date", "service", "billing")
+    drugs = features.drug_totals(_fills(spark, d), v.MEMBER, "drug", "fill_date", "days", "generic")
+    totals = {c: c for c in features.DRUG_TOTALS} | {"number_of_unique_med": F.lit(1)}
+    blocks = [
+        assembly.counted(codes_placed, v.MEMBER, "category", PART_TYPES, "dx_"),
+        assembly.counted(seen, v.MEMBER, "specialty", SPECIALTIES, "sp_", None),
+        assembly.summed(drugs, v.MEMBER, totals),
+    ]
+    joined = assembly.assemble(people, blocks, v.MEMBER, features.adherence_shares())
+    return joined.withColumnRenamed("fills", "number_of_fills").drop("generic", "supplied", "span")
+
+
+DRUG_CLASSES = "p_brand || ' ' || p_type || ' ' || p_size"
+
+
+@query("sparse_category_counts", f"""
+    WITH {v.INDEX_SQL}, listed AS (
+      SELECT p_partkey, CASE WHEN p_size <= 45 THEN {DRUG_CLASSES} END AS drug_class FROM part),
+    slots AS (
+      SELECT drug_class, CAST(row_number() OVER (ORDER BY drug_class) - 1 AS INTEGER) AS slot
+      FROM (SELECT DISTINCT drug_class FROM listed WHERE drug_class IS NOT NULL)
+      UNION ALL SELECT 'unmatched', CAST(count(DISTINCT drug_class) AS INTEGER) FROM listed),
+    cells AS (
+      SELECT member_id, slot, count(*) AS n FROM (
+        SELECT DISTINCT o_custkey AS member_id, CAST(l_shipdate AS DATE) AS fill_date, l_partkey FROM lineitem
+        JOIN orders ON l_orderkey = o_orderkey JOIN idx ON o_custkey = member_id
+        WHERE {_pre_sql('l_shipdate')} AND l_partkey IS NOT NULL)
+      LEFT JOIN listed ON l_partkey = p_partkey JOIN slots ON coalesce(listed.drug_class, 'unmatched') = slots.drug_class
+      GROUP BY 1, 2)
+    SELECT c_custkey AS member_id, CAST(count(slot) AS INTEGER) AS n_categories, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_events,
+      coalesce(string_agg(slot || ':' || n, ' ' ORDER BY slot), '') AS counts
+    FROM customer LEFT JOIN cells ON c_custkey = member_id GROUP BY 1""")
+def sparse_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Counts over all classes of the drug list, one sparse row a member, written as slot:count."""
+    fills = _fills(spark, d).where("drug is not null").select("member_id", "drug", "fill_date").distinct()
+    listed = load(spark, d, "part", "p_partkey", "p_size", "p_brand", "p_type").where("p_size <= 45").select(
+        F.col("p_partkey").alias("drug"), F.expr(DRUG_CLASSES).alias("drug_class"))
+    placed = features.crosswalk_exact(fills, listed, "drug", "drug_class")
+    block = assembly.sparse_counts(placed, v.MEMBER, "drug_class", assembly.category_index(listed, "drug_class"))
+    joined = _spine(spark, d).join(block, v.MEMBER, "left")
+    entry = lambda x: F.concat_ws(":", x["slot"].cast("string"), x["n"].cast("string"))
+    return joined.select(
+        "member_id", F.coalesce(F.size("counts"), F.lit(0)).alias("n_categories"),
+        F.coalesce(F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x["n"]), F.lit(0).cast("bigint")).alias("n_events"),
+        F.coalesce(F.array_join(F.transform("counts", entry), " "), F.lit("")).alias("counts"))
 
 
 @query("assemble_inner", """
