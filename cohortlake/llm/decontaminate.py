@@ -1,223 +1,218 @@
 """Benchmark decontamination by winnowed word k-grams.
 
-Both sides keep, of every stretch of ``span - gram + 1`` consecutive k-gram hashes, the least.
-Two texts that share ``span`` words share such a stretch and so a kept hash. A document's
-kept hashes are looked up among those of the benchmark; around each hit every window of
-``span`` words is looked up in full and compared word by word. Items of fewer words are one
-window, which is looked up at every position.
+Of every window of ``span`` words both sides keep the least of its k-gram hashes, so a window has the
+same fingerprint wherever it stands: two texts that share ``span`` words share a fingerprint. Items of
+fewer words are one window, whose fingerprint is its own hash; windows of each such length are then
+fingerprinted in documents too. Fingerprints of documents are joined by shuffle with the distinct ones of the
+benchmark. Hits are verified on the whole window by a second join, on 128 bits of hash over all its words, and
+extended by merging windows that overlap or touch.
 
 Words are runs of characters other than ASCII non-alphanumerics, A-Z lower-cased. Null texts
 have no words. Items without words or without an id take no part; an id that occurs in
-several rows counts once. Documents may repeat; each row is judged by itself.
+several rows counts once. Documents may repeat; each row is judged by itself, but equal texts are looked up
+once. Texts are told apart by 128 bits of hash. Without an item nothing is covered.
 
-The benchmark is read in blocks of at most ``block_bytes`` of text (or one item), each
-sent to all tasks as one index. More blocks mean more passes over the documents, whose hits
-are then merged per document.
+Nothing of the benchmark is collected but a bitmap of its fingerprints of at most 2 ** ``sieve_bits`` bits, which
+spares the join most fingerprints that it would reject. It decides nothing: where it is full, or
+left out (``sieve_bits`` 0), the join drops the same rows. The items that share a window are one array, which
+is no longer than the list due for each document that holds the window.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlake.llm.store import stage
-from cohortlake.llm.words import ALNUM, Chunk, binary_texts, slices, winnowed
+from cohortlake.llm.store import drop, stage
+from cohortlake.llm.words import ALNUM, Chunk, binary_texts, slices, sliding_min
 
-SPAN, GRAM, SHARE, BLOCK_BYTES = 13, 5, 20, 16 << 20
-HITS = "doc_id bigint, body bigint, n_words bigint, starts array<bigint>, ends array<bigint>, items array<string>"
+SPAN, GRAM, SHARE, SIEVE_BITS = 13, 5, 20, 27
+BUCKET_BITS = 15  # what one bitmap of Spark's holds
+WINDOW = pa.struct([(n, pa.int64()) for n in ("key", "length", "start", "first", "second")])
+PRINTS = ("body bigint, other bigint, n_words bigint, "
+          "found array<struct<key: bigint, length: bigint, start: bigint, first: bigint, second: bigint>>")
+TEXT, SAME = ["body", "other"], ["length", "first", "second"]
 
 
 def tokens(text: bytes | None) -> list[bytes]:
     return text.translate(ALNUM).split() if text else []
 
 
-class Index:
-    """Windows and kept k-grams of a block of benchmark items."""
-
-    def __init__(self, items: list[tuple[str, bytes]], span: int, gram: int):
-        self.span, self.gram = span, gram
-        chunk = Chunk([tokens(text) for _, text in items])
-        lengths = np.diff(chunk.offsets)
-        self.windows = {}
-        for length in sorted({min(int(n), span) for n in lengths if n}):
-            of = chunk.text_of(starts := chunk.spans(length))
-            starts = starts[(lengths[of] == length) | (length == span)]
-            of = chunk.text_of(starts)
-            hashes = chunk.hash_spans(starts, length)
-            order = np.argsort(hashes, kind="stable")
-            keys, first = np.unique(hashes[order], return_index=True)
-            groups = np.split(of[order], first[1:])
-            sample = chunk.words[starts[order][first][:, None] + np.arange(length)]
-            names = [sorted({items[i][0] for i in set(g.tolist())}) for g in groups]
-            self.windows[length] = (keys, sample, names)
-        kept = chunk.hash_spans(*_grams(chunk, span, gram))
-        self.grams = np.unique(kept)
-        self.sieve = np.zeros(1 << 20, bool)
-        self.sieve[self.grams >> np.uint64(44)] = True
-
-    @classmethod
-    def of(cls, parts: dict) -> Index:
-        """An index from its parts: what is broadcast is plain arrays and lists."""
-        index = cls.__new__(cls)
-        index.__dict__.update(parts)
-        return index
-
-    def hits(self, chunk: Chunk):
-        """For each window length: starts of matching windows and the rows of the window table."""
-        for length, (keys, sample, _) in self.windows.items():
-            starts = self._near_hits(chunk) if length == self.span else chunk.spans(length)
-            if not len(starts):
-                continue
-            hashes = chunk.hash_spans(starts, length)
-            at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-            same = keys[at] == hashes
-            starts, at = starts[same], at[same]
-            same = (chunk.words[starts[:, None] + np.arange(length)] == sample[at]).all(axis=1)
-            yield length, starts[same], at[same]
-
-    def _near_hits(self, chunk: Chunk) -> np.ndarray:
-        starts, gram = _grams(chunk, self.span, self.gram)
-        hashes = chunk.hash_spans(starts, gram)
-        maybe = self.sieve[hashes >> np.uint64(44)]
-        starts, hashes = starts[maybe], hashes[maybe]
-        if not len(self.grams) or not len(starts):
-            return starts[:0]
-        starts = starts[self.grams[np.minimum(np.searchsorted(self.grams, hashes), len(self.grams) - 1)] == hashes]
-        around = np.unique((starts[:, None] - np.arange(self.span - gram + 1)).ravel())
-        around = around[around >= 0]
-        text = chunk.text_of(around)
-        return around[(around >= chunk.offsets[text]) & (around + self.span <= chunk.offsets[text + 1])]
-
-
-def _grams(chunk: Chunk, span: int, gram: int) -> tuple[np.ndarray, int]:
-    """Starts of the k-grams that winnowing keeps."""
-    starts = chunk.spans(gram)
+def fingerprints(chunk: Chunk, length: int, span: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and fingerprints of all windows of ``length`` words: the least k-gram hash, or if shorter than ``span`` their own."""
+    starts = chunk.spans(length)
+    if length < span:
+        return starts, chunk.hash_spans(starts, length)
     values = np.full(len(chunk), 2**64 - 1, np.uint64)
-    values[starts] = chunk.hash_spans(starts, gram)
-    return np.flatnonzero(winnowed(values, span - gram + 1)), gram
+    grams = chunk.spans(gram)
+    values[grams] = chunk.hash_spans(grams, gram)
+    return starts, sliding_min(values, span - gram + 1)[starts]
 
 
-def judge(texts: list[bytes | None], index: Index):
-    """(words, covered stretches, item ids) of each text."""
+def windows_of(texts: list[bytes | None], choose, span: int, gram: int):
+    """For each bounded slice of texts: words per text, then text, fingerprint, length, start and two hashes of the
+    windows; ``choose(chunk)`` gives (length, which texts have such windows, which fingerprints count)."""
     for low, high in slices(texts):
         chunk = Chunk(tokens(t) for t in texts[low:high])
-        step = np.zeros(len(chunk) + 1, np.int64)
-        names: dict[int, set[str]] = defaultdict(set)
-        for length, starts, at in index.hits(chunk):
-            np.add.at(step, starts, 1)
-            np.add.at(step, starts + length, -1)
-            table = index.windows[length][2]
-            for doc, row in np.unique(np.stack((chunk.text_of(starts), at)), axis=1).T.tolist():
-                names[doc].update(table[row])
-        covered = np.concatenate(([False], np.cumsum(step)[:-1] > 0, [False]))
-        for i in range(high - low):
-            a, b = chunk.offsets[i], chunk.offsets[i + 1]
-            if i in names:
-                own = np.concatenate(([False], covered[a + 1 : b + 1], [False]))
-                edges = np.flatnonzero(own[1:] != own[:-1])
-                yield int(b - a), edges[::2].tolist(), edges[1::2].tolist(), sorted(names[i])
-            else:
-                yield int(b - a), [], [], []
-
-
-def _blocks(items: DataFrame, item_id: str, text: str, block_bytes: int):
-    """The benchmark in pieces of bounded size; the number of pieces follows from its size."""
-    rows = items.select(F.col(item_id).cast("string").alias("name"), F.col(text).cast("binary").alias("text"))
-    rows = rows.where("name is not null and length(text) > 0")
-    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    count = -(-total // block_bytes)
-    for i in range(max(count, 1)):
-        block = rows.where(F.pmod(F.xxhash64("name", "text"), F.lit(max(count, 1))) == i)
-        yield [(r["name"], bytes(r["text"])) for r in block.collect()]
-
-
-def _findings(docs, items, doc_id, text, item_id, item_text, span, gram, block_bytes) -> DataFrame:
-    source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("body"), F.col(text).alias("text"))
-    passes = []
-    for block in _blocks(items, item_id, item_text, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(vars(Index(block, span, gram)))
-
-        def scan(batches, shared=shared):
-            for batch in batches:
-                found = list(judge(binary_texts(batch, "text"), Index.of(shared.value)))
-                words, starts, ends, names = (list(x) for x in zip(*found)) if found else ([], [], [], [])
-                numbers = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(words, pa.int64()), pa.array(starts, numbers),
-                     pa.array(ends, numbers), pa.array(names, pa.list_(pa.string()))],
-                    names=["doc_id", "body", "n_words", "starts", "ends", "items"],
-                )
-
-        passes.append(source.mapInArrow(scan, HITS))
-    if len(passes) == 1:
-        return passes[0]
-    every = passes[0]
-    for other in passes[1:]:
-        every = every.unionByName(other)
-    return _merged(every, len(passes))
-
-
-def _merged(hits: DataFrame, passes: int) -> DataFrame:
-    """Union of what several passes found in a document; rows of equal id and text count as often as they came."""
-    none = F.expr("cast(array() as array<struct<starts: bigint, ends: bigint>>)")
-
-    def join(done, x):
-        last = F.element_at(done, -1)
-        longer = F.struct(last["starts"].alias("starts"), F.greatest(last["ends"], x["ends"]).alias("ends"))
-        meets = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["ends"] >= x["starts"])
-        return F.when(meets, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(x)))
-
-    return (
-        hits.groupBy("doc_id", "body").agg(
-            F.first("n_words").alias("n_words"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))))).alias("pairs"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            (F.count("*") / passes).cast("int").alias("copies"),
-        )
-        .withColumn("pairs", F.aggregate("pairs", none, join))
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-        .select("doc_id", "body", "n_words", F.col("pairs.starts").alias("starts"), F.col("pairs.ends").alias("ends"), "items")
-    )
+        parts = [np.empty((6, 0), np.int64)]
+        for length, takes, counts in choose(chunk):
+            starts, keys = fingerprints(chunk, length, span, gram)
+            keep = counts(keys)
+            starts, keys = starts[keep], keys[keep]
+            of = chunk.text_of(starts)
+            mine = takes[of]
+            starts, keys, of = starts[mine], keys[mine], of[mine]
+            hashes = [chunk.hash_spans(starts, length, seed).view(np.int64) for seed in (0, 1)]
+            parts.append(np.stack((of, keys.view(np.int64), np.full(len(of), length), starts - chunk.offsets[of], *hashes)))
+        found = np.concatenate(parts, axis=1)
+        yield np.diff(chunk.offsets), found[:, np.argsort(found[0], kind="stable")]
+
+
+def _batch(fixed: list[pa.Array], names: list[str], found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    words = np.concatenate([w for w, _ in found]) if found else np.empty(0, np.int64)
+    rows = np.concatenate([x for _, x in found], axis=1) if found else np.empty((6, 0), np.int64)
+    sizes = np.concatenate([np.bincount(x[0], minlength=len(w)) for w, x in found]) if found else np.empty(0, np.int64)
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    windows = pa.StructArray.from_arrays([pa.array(x) for x in rows[1:]], fields=list(WINDOW))
+    lists = pa.ListArray.from_arrays(pa.array(offsets), windows)
+    return pa.RecordBatch.from_arrays([*fixed, pa.array(words, pa.int64()), lists], names=[*names, "n_words", "found"])
+
+
+def _everything(keys: np.ndarray) -> np.ndarray:
+    return np.ones(len(keys), bool)
+
+
+def _benchmark(items: DataFrame, item_id: str, text: str, span: int, gram: int) -> DataFrame:
+    """One row per distinct window: key, length, first, second, names (sorted ids of the items that hold it)."""
+
+    def choose(chunk):
+        sizes = np.diff(chunk.offsets)
+        for length in sorted({min(int(n), span) for n in sizes if n}):
+            yield length, sizes >= span if length == span else sizes == length, _everything
+
+    def scan(batches):
+        for batch in batches:
+            yield _batch([batch.column(0)], ["name"], list(windows_of(binary_texts(batch, "text"), choose, span, gram)))
+
+    rows = items.select(F.col(item_id).cast("string").alias("name"), F.col(text).alias("text")).where("name is not null")
+    each = rows.mapInArrow(scan, f"name string, {PRINTS.split(', ', 2)[2]}").select("name", F.inline("found"))
+    return each.select("name", "key", *SAME).distinct().groupBy("key", *SAME).agg(F.array_sort(F.collect_list("name")).alias("names"))
+
+
+def _sieve(keys: DataFrame, most: int) -> tuple[np.ndarray | None, int]:
+    """A bitmap of the fingerprints' leading bits, 32 bits or more a fingerprint while ``most`` allows it."""
+    bits = min(most, max(BUCKET_BITS, (32 * keys.count()).bit_length()))
+    if bits < BUCKET_BITS:
+        return None, 0
+    place = F.shiftrightunsigned("key", 64 - bits) + 1
+    buckets = keys.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bitmap"))
+    sieve = np.zeros(1 << (bits - 3), np.uint8)
+    size = 1 << (BUCKET_BITS - 3)
+    for row in buckets.collect():
+        low = (row["bucket"] - 1) * size
+        sieve[low : low + size] = np.frombuffer(row["bitmap"], np.uint8)[:size]
+    return sieve, bits
+
+
+def _prints(docs: DataFrame, source: list, names: list[str], text: str, lengths: list[int], sieve, bits: int, span: int, gram: int):
+    """Every document's hash, number of words, and the windows whose fingerprints the sieve lets through."""
+    shared = docs.sparkSession.sparkContext.broadcast(sieve)
+
+    def scan(batches):
+        held = shared.value
+
+        def counts(keys):
+            if held is None:
+                return _everything(keys)
+            at = keys >> np.uint64(64 - bits)
+            return held[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1) == 1
+
+        def choose(chunk):
+            for length in lengths:
+                yield length, np.ones(len(chunk.offsets) - 1, bool), counts
+
+        for batch in batches:
+            fixed = [batch.column(i) for i in range(len(names) + 2)]
+            yield _batch(fixed, [*names, *TEXT], list(windows_of(binary_texts(batch, "text"), choose, span, gram)))
+
+    rows = docs.select(*source, *_hashes(text), F.col(text).alias("text"))
+    return rows.mapInArrow(scan, ", ".join([*(f"{n} bigint" for n in names), PRINTS]))
+
+
+def _hashes(text: str) -> list:
+    return [F.xxhash64(F.col(text)).alias("body"), F.xxhash64(F.lit(1), F.col(text)).alias("other")]
+
+
+def _findings(docs, source, names, items, text, item_id, item_text, span, gram, sieve_bits) -> tuple[DataFrame, DataFrame]:
+    """(every document's prints; starts, ends and items of each text in which something is covered)."""
+    if not 1 <= gram <= span:
+        raise ValueError("a k-gram is no longer than the span")
+    bench = stage(_benchmark(items, item_id, item_text, span, gram), "benchmark")
+    keys = bench.select("key").distinct()
+    lengths = sorted(r["length"] for r in bench.select("length").distinct().collect())
+    prints = stage(_prints(docs, source, names, text, lengths, *_sieve(keys, sieve_bits), span, gram), "prints")
+
+    # equal texts have equal windows: one of them is looked up
+    once = prints.where("size(found) > 0").groupBy(*TEXT).agg(F.first("found").alias("found"))
+    shared = once.select(*TEXT, F.inline("found")).join(keys.hint("merge"), "key", "left_semi")
+    # arrays of items stay behind until each text knows which it needs
+    listed = bench.select(*SAME, F.md5(F.to_json("names").cast("binary")).alias("list"), "names")
+    hits = stage(shared.join(listed.select(*SAME, "list").hint("merge"), SAME).select(*TEXT, "start", "length", "list"), "hits")
+
+    ends = hits.groupBy(*TEXT, "start").agg(F.max(F.col("start") + F.col("length")).alias("end"))
+    order = Window.partitionBy(*TEXT).orderBy("start")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = ends.withColumn("fresh", F.coalesce(F.col("start") > before, F.lit(True)).cast("int"))
+    stretches = apart.withColumn("stretch", F.sum("fresh").over(order)).groupBy(*TEXT, "stretch").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"))
+    covered = stretches.groupBy(*TEXT).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("covered"))
+    lists = listed.groupBy("list").agg(F.first("names").alias("names"))
+    named = hits.select(*TEXT, "list").distinct().join(lists, "list").select(*TEXT, F.explode("names").alias("name")).distinct()
+    named = named.groupBy(*TEXT).agg(F.array_sort(F.collect_list("name")).alias("items"))
+    found = covered.join(named, TEXT).select(
+        *TEXT, F.col("covered.start").alias("starts"), F.col("covered.end").alias("ends"), "items")
+    found = stage(found, "covered")
+    drop(bench, hits)
+    return prints, found
+
+
+def _hit(starts: str = "starts", ends: str = "ends"):
+    return F.aggregate(F.zip_with(ends, starts, lambda e, s: e - s), F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+
+def _bad(n_hit, n_words, share: int):
+    return (n_hit > 0) & (n_hit * share >= n_words)
 
 
 def contamination(
     docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-    item_text: str = "text", span: int = SPAN, gram: int = GRAM, share: int = SHARE, block_bytes: int = BLOCK_BYTES,
+    item_text: str = "text", span: int = SPAN, gram: int = GRAM, share: int = SHARE, sieve_bits: int = SIEVE_BITS,
 ) -> DataFrame:
     """One row per document: doc_id, body (hash of the text), n_words, starts and ends of the covered
     stretches (in words), items (sorted ids), n_hit, n_items, contaminated: something is covered, and at
     least one word in ``share``. Other columns of ``docs`` are not read."""
-    hits = _findings(docs, items, doc_id, text, item_id, item_text, span, gram, block_bytes)
-    n_hit = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return hits.withColumns({"n_hit": n_hit, "n_items": F.size("items").cast("bigint")}).withColumn(
-        "contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))
-    )
+    source = [F.col(doc_id).cast("bigint").alias("doc_id")]
+    prints, found = _findings(docs, source, ["doc_id"], items, text, item_id, item_text, span, gram, sieve_bits)
+    rows = prints.drop("found").join(found.hint("merge"), TEXT, "left")
+    none = {"starts": "array<bigint>", "ends": "array<bigint>", "items": "array<string>"}
+    rows = rows.select("doc_id", "body", "n_words", *[F.coalesce(c, F.array().cast(t)).alias(c) for c, t in none.items()])
+    return rows.withColumns({"n_hit": _hit(), "n_items": F.size("items").cast("bigint")}).withColumn(
+        "contaminated", _bad(F.col("n_hit"), F.col("n_words"), share))
 
 
 def clean(
     docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    span: int = SPAN, gram: int = GRAM, share: int = SHARE, block_bytes: int = BLOCK_BYTES,
+    span: int = SPAN, gram: int = GRAM, share: int = SHARE, sieve_bits: int = SIEVE_BITS,
 ) -> DataFrame:
     """The documents that are not contaminated, all columns as they are."""
-    blocks = _blocks(items, item_id, item_text, block_bytes)
-    shared = docs.sparkSession.sparkContext.broadcast(vars(Index(next(blocks), span, gram)))
-    if next(blocks, None) is None:
-
-        def keep(batches):
-            for batch in batches:
-                good = [
-                    n == 0 or not starts or share * (sum(ends) - sum(starts)) < n
-                    for n, starts, ends, _ in judge(binary_texts(batch, text), Index.of(shared.value))
-                ]
-                yield batch.filter(pa.array(good, pa.bool_()))
-
-        return docs.mapInArrow(keep, docs.schema)
-    bad = contamination(
-        docs.withColumn("__none", F.lit(0).cast("bigint")), items, doc_id="__none", text=text, item_id=item_id, item_text=item_text,
-        span=span, gram=gram, share=share, block_bytes=block_bytes,
-    ).where("contaminated").select(F.col("body").alias("__bad")).distinct()
-    return docs.join(stage(bad, "contaminated"), F.xxhash64(F.col(text)) == F.col("__bad"), "left_anti")
+    prints, found = _findings(docs, [], [], items, text, item_id, item_text, span, gram, sieve_bits)
+    words = prints.where("size(found) > 0").select(*TEXT, "n_words").distinct()
+    bad = found.join(words, TEXT).where(_bad(_hit(), F.col("n_words"), share)).select(
+        F.col("body").alias("__body"), F.col("other").alias("__other"))
+    bad = stage(bad, "contaminated")
+    drop(prints, found)
+    first, second = [h for h in _hashes(text)]
+    return docs.join(bad.hint("merge"), (first == F.col("__body")) & (second == F.col("__other")), "left_anti")

@@ -140,16 +140,16 @@ def test_repeats_share_an_anchor(seed):
 ITEMS = [(1, " ".join(words(2, 90))), (2, None), (3, ""), (4, "Two, WORDS!"), (5, " ".join(words(1, 120)[30:50])), (5, "one"), (None, "same same"), (6, "é ü")]
 
 
-@pytest.mark.parametrize("block", [1 << 20, 60])
-def test_contamination(spark, docs, block):
+@pytest.mark.parametrize("bits", [decontaminate.SIEVE_BITS, 0])
+def test_contamination(spark, docs, bits):
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string").withColumn("extra", F.lit(1))
-    found = decontaminate.contamination(docs, items, block_bytes=block)
+    found = decontaminate.contamination(docs, items, sieve_bits=bits)
     got = as_map(found, "doc_id", "n_words", "n_hit", "items", "contaminated")
     known = [(n, t) for n, t in ITEMS if n is not None]
     for i, text in edge_texts().items():
         n, hit, names, bad = plain.contamination(text, known)
         assert got[i] == (n, hit, names, bad), i
-    clean = decontaminate.clean(docs, items, block_bytes=block)
+    clean = decontaminate.clean(docs, items, sieve_bits=bits)
     assert clean.columns == docs.columns
     assert {r[0] for r in clean.select("doc_id").collect()} == {i for i, v in got.items() if not v[3]}
 
@@ -159,8 +159,37 @@ def test_contamination_of_nothing(spark, docs, empty, messy):
     assert decontaminate.contamination(docs, none).where("n_hit > 0 or contaminated").count() == 0
     assert decontaminate.contamination(empty, none).count() == 0
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
-    for block in (1 << 20, 60):
-        assert decontaminate.contamination(messy, items, block_bytes=block).count() == messy.count()
+    for bits in (decontaminate.SIEVE_BITS, 0):
+        assert decontaminate.contamination(messy, items, sieve_bits=bits).count() == messy.count()
+
+
+def test_contamination_with_a_full_sieve_and_a_hot_window(spark):
+    """A bitmap far too small for the benchmark, and a passage that most documents and a third of the items hold."""
+    shared, draw = words(5, 13, 4000), random.Random(6)
+    items = [(i, " ".join((shared if i % 3 == 0 else []) + words(100 + i, 30, 4000))) for i in range(600)]
+    texts = {
+        j: " ".join(words(1000 + j, 20, 4000) + (shared if j % 4 else []) + words(100 + draw.randrange(600), 30, 4000)[j % 20 :] + words(j, 5, 9))
+        for j in range(60)
+    }
+    frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(4)
+    bench = spark.createDataFrame(items, "item_id bigint, text string").repartition(3)
+    got = as_map(decontaminate.contamination(frame, bench, sieve_bits=15), "doc_id", "n_words", "n_hit", "items", "contaminated")
+    assert got == {j: plain.contamination(t, items) for j, t in texts.items()}
+    assert any(len(v[2]) >= 200 for v in got.values())
+
+
+def test_contamination_by_other_settings(spark, docs):
+    """Spans as long as the k-gram, and stretches that touch without overlapping."""
+    items = spark.createDataFrame([(1, "l1 l2"), (2, "l3 l4"), (3, "two words")], "item_id bigint, text string")
+    found = as_map(decontaminate.contamination(docs, items, span=2, gram=2), "doc_id", "starts", "ends", "items")
+    for i, text in edge_texts().items():
+        starts, ends, names = found[i]
+        assert sum(ends) - sum(starts) == plain.contamination(text, [(1, "l1 l2"), (2, "l3 l4"), (3, "two words")], 2)[1]
+        assert all(e < s for e, s in zip(ends, starts[1:]))
+    four = next(i for i, t in edge_texts().items() if t == "l1\nl2\nl3\nl4")
+    assert found[four] == ([0], [4], ["1", "2"])
+    with pytest.raises(ValueError):
+        decontaminate.contamination(docs, items, span=2, gram=3)
 
 
 def test_winnowing_keeps_one_in_every_stretch():
