@@ -102,12 +102,14 @@ def _benchmark(items: DataFrame, item_id: str, text: str, span: int, gram: int)
 
 
 def _sieve(keys: DataFrame, most: int) -> tuple[np.ndarray | None, int]:
-    """A bitmap of the fingerprints' leading bits, 32 bits or more a fingerprint while ``most`` allows it."""
+    """A bitmap with two places for each fingerprint, its leading and its last bits; 32 bits or more a fingerprint while
+    ``most`` allows it, so that about one in 250 others passes."""
     bits = min(most, max(BUCKET_BITS, (32 * keys.count()).bit_length()))
     if bits < BUCKET_BITS:
         return None, 0
-    place = F.shiftrightunsigned("key", 64 - bits) + 1
-    buckets = keys.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(
+    places = F.array(F.shiftrightunsigned("key", 64 - bits), F.col("key").bitwiseAND((1 << bits) - 1))
+    place = F.col("place") + 1
+    buckets = keys.select(F.explode(places).alias("place")).groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bitmap"))
     sieve = np.zeros(1 << (bits - 3), np.uint8)
     size = 1 << (BUCKET_BITS - 3)
@@ -117,6 +119,10 @@ def _sieve(keys: DataFrame, most: int) -> tuple[np.ndarray | None, int]:
     return sieve, bits
 
 
+def _set(bitmap: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return bitmap[places >> np.uint64(3)] >> (places & np.uint64(7)).astype(np.uint8) & np.uint8(1) == 1
+
+
 def _prints(docs: DataFrame, source: list, names: list[str], text: str, lengths: list[int], sieve, bits: int, span: int, gram: int):
     """Every document's hash, number of words, and the windows whose fingerprints the sieve lets through."""
     shared = docs.sparkSession.sparkContext.broadcast(sieve)
@@ -127,8 +133,9 @@ def _prints(docs: DataFrame, source: list, names: list[str], text: str, lengths:
         def counts(keys):
             if held is None:
                 return _everything(keys)
-            at = keys >> np.uint64(64 - bits)
-            return held[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1) == 1
+            keep = _set(held, keys >> np.uint64(64 - bits))
+            keep[keep] = _set(held, keys[keep] & np.uint64((1 << bits) - 1))
+            return keep
 
         def choose(chunk):
             for length in lengths:
