@@ -158,7 +158,8 @@ def _findings(docs, source, names, items, text, item_id, item_text, span, gram,
     if not 1 <= gram <= span:
         raise ValueError("a k-gram is no longer than the span")
     bench = stage(_benchmark(items, item_id, item_text, span, gram), "benchmark")
-    keys = bench.select("key").distinct()
+    # a table of its own: both sides of the join are then plain exchanges, whose hot keys adaptive execution splits
+    keys = stage(bench.select("key").distinct(), "keys")
     lengths = sorted(r["length"] for r in bench.select("length").distinct().collect())
     prints = stage(_prints(docs, source, names, text, lengths, *_sieve(keys, sieve_bits), span, gram), "prints")
 
@@ -182,7 +183,7 @@ def _findings(docs, source, names, items, text, item_id, item_text, span, gram,
     found = covered.join(named, TEXT).select(
         *TEXT, F.col("covered.start").alias("starts"), F.col("covered.end").alias("ends"), "items")
     found = stage(found, "covered")
-    drop(bench, hits)
+    drop(bench, keys, hits)
     return prints, found
 
 
