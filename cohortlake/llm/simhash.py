@@ -11,7 +11,8 @@ Equal fingerprints are one node, so copies are never compared. The tree is fitte
 and those that the triangle bound lets come within ``distance`` of one there, to its inner branch and those
 beyond the radius to its outer branch: two linked fingerprints reach a common leaf. A leaf
 whose share of the sample is large is cut into blocks, and each pair of blocks is a shard of
-its own. Shards return their groups of connected fingerprints, each member paired with the smallest one,
+its own. Beyond ``leaves`` times ``leaf`` fingerprints the sample can tell no more leaves apart and shards grow with
+the table; a task then splits its shard by a tree of its own, so that work goes with its rows times ``leaf``. Shards return their groups of connected fingerprints, each member paired with the smallest one,
 never all pairs.
 
 Rows without doc_id get a fingerprint, and the component of an equal fingerprint of a row with
@@ -160,6 +161,17 @@ def groups(fps: np.ndarray, distance: int) -> list[np.ndarray]:
     return found
 
 
+def pieces(fps: np.ndarray, distance: int, leaf: int) -> list[np.ndarray]:
+    """Positions in sets of about ``leaf`` such that two linked fingerprints share a set: a tree of the shard's own."""
+    if len(fps) <= 4 * leaf:
+        return [np.arange(len(fps))]
+    order = np.argsort(fps)
+    tree = Tree(fps[order[:: -(-len(fps) // SAMPLE)]], len(fps), distance, leaf, len(fps))
+    at, shard = tree.shards(fps)
+    by = np.argsort(shard, kind="stable")
+    return np.split(at[by], np.flatnonzero(np.diff(shard[by])) + 1)
+
+
 def links(nodes: DataFrame, *, distance: int = DISTANCE, sample: int = SAMPLE, leaf: int = LEAF, leaves: int = LEAVES) -> DataFrame:
     """Pairs (a, b) of nodes (node, fp) that connect exactly what links of ``distance`` or fewer bits connect."""
     total = nodes.count()
@@ -180,8 +192,8 @@ def links(nodes: DataFrame, *, distance: int = DISTANCE, sample: int = SAMPLE, l
             yield from rows.to_batches()
 
     def connect(rows: pd.DataFrame) -> pd.DataFrame:
-        node = rows["node"].to_numpy()
-        found = [np.sort(node[x]) for x in groups(rows["fp"].to_numpy().view(np.uint64), distance)]
+        node, fps = rows["node"].to_numpy(), rows["fp"].to_numpy().view(np.uint64)
+        found = [np.sort(node[at[x]]) for at in pieces(fps, distance, leaf) for x in groups(fps[at], distance)]
         return pd.DataFrame({
             "a": np.concatenate([np.repeat(x[:1], len(x) - 1) for x in found] or [node[:0]]),
             "b": np.concatenate([x[1:] for x in found] or [node[:0]]),

@@ -370,3 +370,27 @@ def test_toxicity_held_out(spark, empty):
     assert got.where("held_out").count() > 100
     assert got.where("held_out and predicted != toxic").count() <= 4
     assert toxicity.classify(empty, df.select("doc_id", "toxic")).count() == 0
+
+
+def test_large_shards_are_split_by_a_tree_of_their_own(spark):
+    """As many links as all pairs give, where the sample's tree has too few leaves; and far fewer comparisons."""
+    draw = np.random.default_rng(11)
+    centres = draw.integers(0, 2**64, 3000, np.uint64)
+    flips = [np.uint64(1) << draw.integers(0, 64, 3000, np.uint64) for _ in range(3)]
+    fps = np.unique(np.concatenate((centres, centres[:1500] ^ flips[0][:1500], centres[1500:] ^ flips[1][1500:] ^ flips[2][1500:])))
+    parts = simhash.pieces(fps, 2, 64)
+    assert len(np.unique(np.concatenate(parts))) == len(fps) and sum(len(p) ** 2 for p in parts) < len(fps) ** 2 / 4
+    def components(pairs):
+        parent = list(range(len(fps)))
+        def root(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+        for a, b in pairs:
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+        return [root(i) for i in range(len(fps))]
+    wanted = components([(i, j) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 2) if i < j])
+    nodes = spark.createDataFrame([(i, int(f)) for i, f in enumerate(fps.view(np.int64))], "node bigint, fp bigint").repartition(3)
+    found = simhash.links(nodes, sample=256, leaf=32, leaves=4).collect()
+    assert components([(r["a"], r["b"]) for r in found]) == wanted
