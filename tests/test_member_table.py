@@ -5,11 +5,15 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from cohortlake.operators import windows
-from cohortlake.plans import feature_plans
+from cohortlake.plans import claim_plans, feature_plans, ml_plans
 
 SMALL = "/root/testdata/sf0.001"
 
 
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def scans(df):
     """Files that a query's last plan reads."""
     return [f.rsplit("/", 2)[-2] if f.endswith(".snappy.parquet") else f.rsplit("/", 1)[-1] for f in df.inputFiles()]
@@ -36,3 +40,14 @@ def test_claim_lines_meet_their_claims_once(spark):
     """Three blocks read one written table of lines; the line table itself is in none of their plans."""
     read = scans(feature_plans.assemble(spark, SMALL))
     assert "lineitem.parquet" not in read and any("pre-lines" in f for f in read)
+
+
+def test_blocks_of_the_member_table_are_written_apart(spark):
+    """The last join of the member table reads a row a member from each block made from claims, and aggregates none."""
+    frame = ml_plans.base_frame(spark, SMALL)
+    assert "lineitem.parquet" not in scans(frame)
+    assert plan(frame).count("Aggregate") <= 3  # index months, area rates and their mean
+    blocks = [claim_plans.slope, claim_plans.post_outcomes]
+    for block in blocks:
+        months = claim_plans.claim_months(spark, SMALL)
+        assert sorted(block(spark, SMALL, months).collect()) == sorted(block(spark, SMALL).collect())
