@@ -2,10 +2,12 @@
 
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from cohortlake.operators import windows
-from cohortlake.plans import claim_plans, feature_plans, ml_plans
+from cohortlake.plans import claim_plans, feature_plans, ml_plans, views
+from cohortlake.session import at_once, materialize
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -51,3 +53,35 @@ def test_blocks_of_the_member_table_are_written_apart(spark):
     for block in blocks:
         months = claim_plans.claim_months(spark, SMALL)
         assert sorted(block(spark, SMALL, months).collect()) == sorted(block(spark, SMALL).collect())
+
+
+def test_member_table_is_joined_in_written_steps(spark):
+    """A task of the last join holds the sorted rows of the last blocks only: outcome and cost, beside the first half."""
+    frame = ml_plans.base_frame(spark, SMALL, lambda: spark.createDataFrame([(1, 0.5)], "member_id int, given double"))
+    assert plan(frame).count("Join") == 3 and plan(frame).count("Aggregate") == 0
+    assert {r["member_id"]: r["given"] for r in frame.where("member_id in (1, 2)").select("member_id", "given").collect()} == {1: 0.5, 2: 0.0}
+
+
+def test_cost_from_claims_whose_lines_were_summed_once(spark):
+    index = materialize(views.index_months(spark, SMALL), "index")
+    totals = materialize(claim_plans.claim_totals(spark, SMALL), "totals")
+    apart, shared = claim_plans.total_cost(spark, SMALL), claim_plans.total_cost(spark, SMALL, totals, index)
+    assert "lineitem.parquet" in scans(apart) and "lineitem.parquet" not in scans(shared)
+    assert sorted(apart.collect()) == sorted(shared.collect())
+    assert shared.where("total_cost > 0").count() > 0
+    months = claim_plans.claim_months(spark, SMALL, totals)
+    for block in (claim_plans.slope, claim_plans.post_outcomes):
+        assert sorted(block(spark, SMALL).collect()) == sorted(block(spark, SMALL, months, index).collect())
+
+
+def test_lines_carry_the_listed_columns(spark):
+    lines = feature_plans.pre_lines(spark, SMALL, feature_plans.CODE_AND_FILL)
+    assert not {"l_suppkey", "l_linenumber", "l_linestatus"} & set(lines.columns)
+    for block in (feature_plans.dx_counts, feature_plans.rx_adherence):
+        assert sorted(block(spark, SMALL).collect()) == sorted(block(spark, SMALL, lines).collect())
+
+
+def test_makers_side_by_side_keep_their_order(spark):
+    assert at_once(lambda: spark.range(3).count(), lambda: "b", lambda: spark.range(5).count()) == [3, "b", 5]
+    with pytest.raises(ZeroDivisionError):
+        at_once(lambda: 1, lambda: 1 // 0)
