@@ -78,17 +78,22 @@ class Tree:
             if self.feature[node] >= 0 and self.gain[node] < gamma and self.feature[self.low[node]] < 0 and self.feature[self.high[node]] < 0:
                 self.feature[node] = -1
 
-    def route(self, bins: np.ndarray) -> np.ndarray:
-        """The leaf of each row."""
-        feature, bound, missing_low, low, high = (np.array(x) for x in (self.feature, self.bound, self.missing_low, self.low, self.high))
-        at, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
-        moving = rows[feature[at] >= 0]
-        while len(moving):
-            node = at[moving]
-            value = bins[moving, feature[node]]
-            at[moving] = np.where(np.where(value == 0, missing_low[node], value <= bound[node]), low[node], high[node])
-            moving = moving[feature[at[moving]] >= 0]
-        return at
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        """What :func:`route` reads. Tasks get it made: nodes grow with the table, and so do the batches that are routed."""
+        return tuple(np.array(x) for x in (self.feature, self.bound, self.missing_low, self.low, self.high))
+
+
+def route(arrays: tuple[np.ndarray, ...], bins: np.ndarray) -> np.ndarray:
+    """The leaf of each row."""
+    feature, bound, missing_low, low, high = arrays
+    at, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
+    moving = rows[feature[at] >= 0]
+    while len(moving):
+        node = at[moving]
+        value = bins[moving, feature[node]]
+        at[moving] = np.where(np.where(value == 0, missing_low[node], value <= bound[node]), low[node], high[node])
+        moving = moving[feature[at[moving]] >= 0]
+    return at
 
 
 def weight(g, h, s: Settings):
@@ -187,7 +192,7 @@ def grow(bins: np.ndarray, g: np.ndarray, h: np.ndarray, s: Settings, layout: La
                 if found:
                     gain, column, bound, missing_low, low, high = found
                     after += tree.split(node, column, bound, missing_low, gain, float(weight(low[0], low[1], s)), float(weight(high[0], high[1], s)))
-        at = tree.route(bins)
+        at = route(tree.arrays(), bins)
         front, level = after, level + 1
     return tree
 
@@ -231,11 +236,19 @@ class Model:
     base: float
     trees: list[Tree] = field(default_factory=list)
 
+    def steps(self) -> list[tuple]:
+        """Each tree as arrays, and what its nodes add to the margin."""
+        return [(tree.arrays(), self.settings.step * np.array(tree.value)) for tree in self.trees]
+
     def margins(self, bins: np.ndarray) -> np.ndarray:
-        out = np.full(len(bins), self.base)
-        for tree in self.trees:
-            out += self.settings.step * np.array(tree.value)[tree.route(bins)]
-        return out
+        return margins(self.base, self.steps(), bins)
+
+
+def margins(base: float, steps: Sequence[tuple], bins: np.ndarray) -> np.ndarray:
+    out = np.full(len(bins), base)
+    for arrays, step in steps:
+        out += step[route(arrays, bins)]
+    return out
 
 
 def fit(df: DataFrame, key: str, label: str, columns: Sequence[str], settings: Settings, *, missing: float = 0.0, local: int = LOCAL) -> Model:
@@ -295,20 +308,21 @@ def _totals(rows: DataFrame, s: Settings) -> tuple[int, float, float]:
 def _large_splits(rows: DataFrame, tree: Tree, nodes: list[int], layout: Layout, s: Settings, allowed: np.ndarray):
     place = np.full(len(tree.value), -1)
     place[nodes] = np.arange(len(nodes))
-    step = max(1, CELLS // layout.total)
+    step, arrays = max(1, CELLS // layout.total), tree.arrays()
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bins, (g, h) = _matrix(batch.column("bins"), layout.columns), _gradients(batch, s)
-            at = place[tree.route(bins)]
-            own, at = np.unique(at, return_inverse=True)
+            at = place[route(arrays, bins)]
+            here = at >= 0
+            bins, g, h = bins[here], g[here], h[here]
+            own, at = np.unique(at[here], return_inverse=True)
             for first in range(0, len(own), step):
                 here = (at >= first) & (at < first + step)
                 sums = histograms(at[here] - first, bins[here], g[here], h[here], min(step, len(own) - first), layout)
                 i, cell = np.nonzero(sums[..., 2])
                 node, column, value = own[first + i], layout.column[cell], sums[i, cell]
-                inside = node >= 0
-                yield _frame([x[inside] for x in (node, column, cell - layout.start[column], *value.T)], ("node", "column", "bin", "g", "h", "n"))
+                yield _frame([node, column, cell - layout.start[column], *value.T], ("node", "column", "bin", "g", "h", "n"))
 
     def choose(cells: pa.Table) -> pa.Table:
         sums = np.zeros((1, layout.total, 3))
@@ -332,13 +346,14 @@ def _small_trees(rows: DataFrame, tree: Tree, levels: dict[int, int], layout: La
     """(node, the tree below it) for each waiting node."""
     if not levels:
         return []
-    names = ("node", *vars(Tree()))
+    names, arrays, wanted = ("node", *vars(Tree())), tree.arrays(), np.zeros(len(tree.value), bool)
+    wanted[list(levels)] = True
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bins, (g, h) = _matrix(batch.column("bins"), layout.columns), _gradients(batch, s)
-            at = tree.route(bins)
-            inside = np.isin(at, list(levels))
+            at = route(arrays, bins)
+            inside = wanted[at]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(at[inside]), batch.column("key").filter(pa.array(inside)), batch.column("bins").filter(pa.array(inside)), pa.array(g[inside]), pa.array(h[inside])],
                 names=["node", "key", "bins", "g", "h"])
@@ -370,10 +385,11 @@ def _graft(tree: Tree, grown) -> None:
 
 
 def _advance(state: DataFrame, tree: Tree, width: int, s: Settings) -> DataFrame:
+    arrays, steps = tree.arrays(), s.step * np.array(tree.value)
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            step = s.step * np.array(tree.value)[tree.route(_matrix(batch.column("bins"), width))]
-            margin = batch.column("margin").to_numpy(zero_copy_only=False) + step
+            margin = batch.column("margin").to_numpy(zero_copy_only=False) + steps[route(arrays, _matrix(batch.column("bins"), width))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "y", "bins")), pa.array(margin)], names=["key", "y", "bins", "margin"])
 
     return state.select("key", "y", "bins", "margin").mapInArrow(add, ROWS)
@@ -382,14 +398,15 @@ def _advance(state: DataFrame, tree: Tree, width: int, s: Settings) -> DataFrame
 def predict(model: Model, df: DataFrame, key: str, label: str, keep: Sequence[str] = (), missing: float = 0.0) -> DataFrame:
     """``keep``, key, y and ``prediction``: the probability of class 1, or the predicted value."""
     rows = binned(df, key, label, model.columns, model.cuts, keep, missing)
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    # arrays alone are sent: unlike the classes, executors read them without this package
+    shared, base, width, logistic = df.sparkSession.sparkContext.broadcast(model.steps()), model.base, len(model.cuts), model.settings.logistic
     names = [*keep, "key", "y"]
     schema = rows.select(*names).schema.add("prediction", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            margin = shared.value.margins(_matrix(batch.column("bins"), len(model.cuts)))
-            out = 1 / (1 + np.exp(-margin)) if model.settings.logistic else margin
+            margin = margins(base, shared.value, _matrix(batch.column("bins"), width))
+            out = 1 / (1 + np.exp(-margin)) if logistic else margin
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out)], names=[*names, "prediction"])
 
     return rows.mapInArrow(run, schema)

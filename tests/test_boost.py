@@ -100,3 +100,21 @@ def test_edges(spark):
     unlabelled = df.withColumn("y", F.when(F.col("id") > 5, F.col("y")))
     assert boost.predict(boost.fit(unlabelled, "id", "y", ["a"], CASES[0]), df, "id", "y", ["b"]).columns == ["b", "key", "y", "prediction"]
     assert boost.importance(boost.fit(df, "id", "y", ["a", "b"], CASES[0]))[0][1] > 0
+
+
+def test_scoring_sends_arrays_made_once():
+    """Tasks get each tree as arrays, not as lists that every batch turns into arrays; nothing sent names this package."""
+    import pickle
+
+    rng = np.random.default_rng(3)
+    bins = rng.integers(0, 4, (500, 2)).astype(np.uint8)
+    tree = boost.Tree()
+    tree.leaf(0.5)
+    low, high = tree.split(0, 0, 1, True, 1.0, 2.0, 3.0)
+    tree.split(high, 1, 2, False, 1.0, 5.0, 7.0)
+    model = boost.Model(["a", "b"], [np.arange(2.0)] * 2, boost.Settings(step=0.5), 1.0, [tree, tree])
+    steps = model.steps()
+    assert all(isinstance(x, np.ndarray) for arrays, values in steps for x in (*arrays, values))
+    assert b"cohortlake" not in pickle.dumps(steps)
+    plain = [1.0 + 2 * 0.5 * (2.0 if a <= 1 else 5.0 if 0 < b <= 2 else 7.0) for a, b in bins]
+    assert boost.margins(model.base, steps, bins).tolist() == plain == model.margins(bins).tolist()
