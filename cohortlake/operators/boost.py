@@ -25,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlake.functions.hashing import below, word
-from cohortlake.session import materialize
+from cohortlake.functions.hashing import below, threshold, word
+from cohortlake.session import materialize, superseded
 
-BINS, LOCAL, CELLS, LEAST_GAIN = 63, 8192, 1 << 17, 1e-6
+BINS, LOCAL, WHOLE, CELLS, LEAST_GAIN = 63, 8192, 1 << 26, 1 << 17, 1e-6
+KINDS = {"feature": np.int32, "bound": np.uint8, "missing_low": np.bool_, "low": np.int32, "high": np.int32, "gain": np.float64, "value": np.float64}
 ROWS = "key bigint, y double, bins binary, margin double"
 
 
@@ -72,15 +73,29 @@ class Tree:
         self.feature[node], self.bound[node], self.missing_low[node], self.low[node], self.high[node], self.gain[node] = feature, bound, missing_low, a, b, gain
         return a, b
 
+    def split_all(self, nodes: np.ndarray, feature, bound, missing_low, gain, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """:meth:`split` for leaves one after another; low and high child of each in turn."""
+        after = len(self.value) + np.arange(2 * len(nodes))
+        for name, x in zip(vars(self), (-1, 0, True, -1, -1, 0.0)):
+            getattr(self, name).extend([x] * len(after))
+        self.value.extend(np.stack((low, high), axis=1).ravel().tolist())
+        for i, *split in zip(nodes.tolist(), *[np.asarray(x).tolist() for x in (feature, bound, missing_low, gain, after[::2], after[1::2])]):
+            self.feature[i], self.bound[i], self.missing_low[i], self.gain[i], self.low[i], self.high[i] = int(split[0]), int(split[1]), *split[2:]
+        return after
+
     def prune(self, gamma: float) -> None:
         """Take back splits of two leaves that gain less than gamma; children come after their parents."""
         for node in range(len(self.feature) - 1, -1, -1):
             if self.feature[node] >= 0 and self.gain[node] < gamma and self.feature[self.low[node]] < 0 and self.feature[self.high[node]] < 0:
                 self.feature[node] = -1
 
+    def packed(self) -> Tree:
+        """The same as arrays of small numbers: a hundred deep trees have many nodes."""
+        return Tree(**{n: np.array(x, KINDS[n]) for n, x in vars(self).items()})
+
     def arrays(self) -> tuple[np.ndarray, ...]:
         """What :func:`route` reads. Tasks get it made: nodes grow with the table, and so do the batches that are routed."""
-        return tuple(np.array(x) for x in (self.feature, self.bound, self.missing_low, self.low, self.high))
+        return tuple(np.asarray(x) for x in (self.feature, self.bound, self.missing_low, self.low, self.high))
 
 
 def route(arrays: tuple[np.ndarray, ...], bins: np.ndarray) -> np.ndarray:
@@ -103,7 +118,8 @@ def weight(g, h, s: Settings):
 
 def score(g, h, s: Settings):
     h = h + s.lambda_
-    return np.where(h > 0, np.maximum(np.abs(g) - s.alpha, 0) ** 2 / np.where(h > 0, h, 1), 0.0)
+    g = np.maximum(np.abs(g) - s.alpha, 0) if s.alpha else g
+    return g * g / h if s.lambda_ > 0 else np.where(h > 0, g * g / np.where(h > 0, h, 1), 0.0)
 
 
 def derivatives(margin: np.ndarray, y: np.ndarray, s: Settings):
@@ -119,7 +135,7 @@ def columns_of(tree: int, level: int, count: int, s: Settings) -> np.ndarray:
         ranked = sorted(candidates, key=lambda c: hashlib.md5("|".join(map(str, (s.salt, *where, c))).encode()).hexdigest())
         return sorted(ranked[: max(1, round(share * len(ranked)))])
 
-    return np.array(first(first(range(count), s.by_tree, "tree", tree), s.by_level, "level", tree, level))
+    return np.array(first(first(range(count), s.by_tree, "tree", tree), s.by_level, "level", tree, level), np.int64)
 
 
 class Layout:
@@ -128,75 +144,123 @@ class Layout:
     def __init__(self, cuts: Sequence[np.ndarray]):
         sizes = np.array([len(c) + 2 for c in cuts], np.int64)
         self.columns, self.total = len(sizes), int(sizes.sum())
-        self.start = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
+        self.end = np.cumsum(sizes).astype(np.int64)
+        self.start = self.end - sizes
         self.column = np.repeat(np.arange(len(sizes)), sizes)
 
-    def candidates(self, allowed: np.ndarray) -> np.ndarray:
-        """Cells of the allowed columns, those of missing values left out."""
-        cells = np.flatnonzero(np.isin(self.column, allowed))
-        return cells[~np.isin(cells, self.start)]
-
-
-def histograms(at: np.ndarray, bins: np.ndarray, g: np.ndarray, h: np.ndarray, nodes: int, layout: Layout) -> np.ndarray:
-    """Sums of g, h and rows by [node, cell]."""
-    cell = (at[:, None] * layout.total + layout.start + bins).ravel()
-    size = nodes * layout.total
-    sums = [np.bincount(cell, w if w is None else np.repeat(w, layout.columns), size) for w in (g, h, None)]
-    return np.stack(sums, axis=-1).reshape(nodes, layout.total, 3)
-
-
-def best_splits(sums: np.ndarray, allowed: np.ndarray, s: Settings, layout: Layout) -> list[tuple | None]:
-    """(gain, column, bin, missing low, sums low, sums high) for each node of [node, cell, 3], or None."""
-    cells = layout.candidates(allowed)
-    if not len(cells):
-        return [None] * len(sums)
-    column = layout.column[cells]
-    known = sums.copy()
-    known[:, layout.start] = 0
-    known = np.cumsum(known, axis=1)
-    without = known[:, cells] - known[:, layout.start[column]]
-    whole = sums[:, layout.column == allowed[0]].sum(axis=1)
-    # [node, cell, missing low or high, 3]
-    low = np.stack((without + sums[:, layout.start[column]], without), axis=2)
-    high = whole[:, None, None] - low
-    gain = score(low[..., 0], low[..., 1], s) + score(high[..., 0], high[..., 1], s) - score(whole[:, 0], whole[:, 1], s)[:, None, None]
-    fits = (low[..., 2] > 0.5) & (high[..., 2] > 0.5) & (low[..., 1] >= s.child) & (high[..., 1] >= s.child)
-    gain = np.where(fits, gain, -np.inf).reshape(len(sums), -1)
-    out = []
-    for node, best in enumerate(gain.argmax(axis=1)):
-        if gain[node, best] <= LEAST_GAIN:
-            out.append(None)
-            continue
-        at, side = divmod(int(best), 2)
-        bin_ = int(cells[at] - layout.start[column[at]])
-        out.append((float(gain[node, best]), int(column[at]), bin_, side == 0, low[node, at, side], high[node, at, side]))
+    def open(self, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cells of the allowed columns, those of missing values left out, and which of them are a column's first."""
+        cells = np.isin(self.column, allowed)
+        cells[self.start] = False
+        first = np.zeros(self.total, bool)
+        first[self.start[allowed] + 1] = True
+        return cells, first
+
+    def cells(self, bins: np.ndarray) -> np.ndarray:
+        """Each row's known values as cells, filled up with ``total``: of many 0/1 columns a row has few."""
+        row, column = np.nonzero(bins)
+        known = np.bincount(row, minlength=len(bins))
+        out = np.full((len(bins), max(int(known.max(initial=0)), 1)), self.total, np.int32)
+        out[row, np.arange(len(row)) - np.repeat(np.cumsum(known) - known, known)] = self.start[column] + bins[row, column]
+        return out
+
+
+def histograms(at: np.ndarray, cells: np.ndarray, g: np.ndarray, h: np.ndarray, nodes: int, layout: Layout) -> np.ndarray:
+    """Sums of g, h and rows by [which, node, cell] over known values; the cell after the last is that of all rows."""
+    width = layout.total + 1
+    cell = (at[:, None] * width + cells).ravel()
+    out = np.empty((3, nodes, width))
+    for k, w in enumerate((g, h, None)):
+        out[k] = np.bincount(cell, w if w is None else np.repeat(w, cells.shape[1]), nodes * width).reshape(nodes, width)
+        out[k, :, -1] = np.bincount(at, w, nodes)
     return out
 
 
-def grow(bins: np.ndarray, g: np.ndarray, h: np.ndarray, s: Settings, layout: Layout, tree_no: int, level: int = 0) -> Tree:
+def best_splits(sums: np.ndarray, allowed: np.ndarray, s: Settings, layout: Layout) -> tuple[np.ndarray, ...]:
+    """node, gain, column, bin, missing low, sums low, sums high of the nodes of [which, node, cell] that a split gains.
+
+    An empty bin parts the rows as the last one below it that has rows does, so only bins with rows are tried, and a column's first.
+    """
+    whole, known = sums[:, :, -1], sums[:, :, :-1]
+    cells, first = layout.open(allowed)
+    node, cell = np.nonzero(((known[2] > 0) & cells) | first)
+    if not len(node):
+        return np.zeros(0, np.int64), *[np.zeros(0)] * 3, np.zeros(0, bool), *[np.zeros((0, 3))] * 2
+    column, run = layout.column[cell], np.cumsum(known, axis=2)
+    missing = whole[:, :, None] - (run[:, :, layout.end - 1] - run[:, :, layout.start])
+    missing[:2, missing[2] < 0.5] = 0
+    without = run[:, node, cell] - run[:, node, layout.start[column]]
+    # [which, node and cell, missing low or high]
+    low = np.stack((without + missing[:, node, column], without), axis=2)
+    high = whole[:, node, None] - low
+    gain = score(low[0], low[1], s) + score(high[0], high[1], s) - score(whole[0], whole[1], s)[node, None]
+    fits = (low[2] > 0.5) & (high[2] > 0.5) & (low[1] >= s.child) & (high[1] >= s.child)
+    gain = np.where(fits, gain, -np.inf).ravel()
+    own, begin = np.unique(node, return_index=True)
+    top = np.maximum.reduceat(gain, 2 * begin)
+    # the first of a node's largest
+    at = np.flatnonzero(gain == np.repeat(top, np.diff(2 * begin, append=len(gain))))
+    at = at[np.unique(node[at // 2], return_index=True)[1]][top > LEAST_GAIN]
+    pair, side = np.divmod(at, 2)
+    column = column[pair]
+    return own[top > LEAST_GAIN], gain[at], column, cell[pair] - layout.start[column], side == 0, low[:, pair, side].T, high[:, pair, side].T
+
+
+def grow(bins: np.ndarray, cells: np.ndarray, g: np.ndarray, h: np.ndarray, s: Settings, layout: Layout, tree_no: int, level: int = 0) -> Tree:
     """A whole tree, or the part below a node of some level, on rows in memory; a bounded number of nodes at a time."""
-    tree, step = Tree(), max(1, CELLS // max(layout.total, 1))
+    tree, step = Tree(), max(1, CELLS // (layout.total + 1))
     tree.leaf(float(weight(g.sum(), h.sum(), s)))
-    at, front = np.zeros(len(bins), np.int64), [0]
-    while front and level < s.depth:
-        allowed, after = columns_of(tree_no, level, layout.columns, s), []
-        place = np.full(len(tree.value), -1)
-        place[front] = np.arange(len(front))
-        order = np.argsort(place[at], kind="stable")
-        ranked = place[at][order]
+    # rows of nodes that may be split, by their place in the front
+    rows, place, front = np.arange(len(bins)), np.zeros(len(bins), np.int64), np.zeros(1, np.int64)
+    while len(front) and level < s.depth:
+        allowed, parts = columns_of(tree_no, level, layout.columns, s), []
         for first in range(0, len(front), step):
-            some = front[first : first + step]
-            rows = order[np.searchsorted(ranked, first) : np.searchsorted(ranked, first + len(some))]
-            sums = histograms(place[at[rows]] - first, bins[rows], g[rows], h[rows], len(some), layout)
-            for node, found in zip(some, best_splits(sums, allowed, s, layout)):
-                if found:
-                    gain, column, bound, missing_low, low, high = found
-                    after += tree.split(node, column, bound, missing_low, gain, float(weight(low[0], low[1], s)), float(weight(high[0], high[1], s)))
-        at = route(tree.arrays(), bins)
-        front, level = after, level + 1
+            some = slice(*np.searchsorted(place, (first, first + step)))
+            own = rows[some]
+            sums = histograms(place[some] - first, cells[own], g[own], h[own], min(step, len(front) - first), layout)
+            node, *found = best_splits(sums, allowed, s, layout)
+            parts.append((node + first, *found))
+        node, gain, column, bound, missing_low, low, high = (np.concatenate(x) for x in zip(*parts))
+        after = tree.split_all(front[node], column, bound, missing_low, gain, weight(low[:, 0], low[:, 1], s), weight(high[:, 0], high[:, 1], s))
+        rank = np.full(len(front), -1)
+        rank[node] = np.arange(len(node))
+        at = rank[place]
+        rows, at = rows[at >= 0], at[at >= 0]
+        value = bins[rows, column[at].astype(np.int64)]
+        place = 2 * at + ~np.where(value == 0, missing_low[at], value <= bound[at])
+        # a single row is not split
+        several = np.bincount(place, minlength=len(after)) > 1
+        kept = several[place]
+        rows, place, front = rows[kept], (np.cumsum(several) - 1)[place[kept]], after[several]
+        order = np.argsort(place, kind="stable")
+        rows, place, level = rows[order], place[order], level + 1
     return tree
 
 
+def grow_all(keys: Sequence, y: np.ndarray, bins: np.ndarray, base: float, s: Settings, layout: Layout) -> Iterator[tuple[int, Tree]]:
+    """Number and tree, one after another, on rows in memory."""
+    cells, margin = layout.cells(bins), np.full(len(y), base)
+    for number in range(s.trees):
+        own = np.flatnonzero(drawn(keys, number, s))
+        if not len(own):
+            continue
+        g, h = derivatives(margin[own], y[own], s)
+        tree = grow(bins[own], cells[own], g, h, s, layout, number)
+        tree.prune(s.gamma)
+        tree = tree.packed()
+        margin += s.step * tree.value[route(tree.arrays(), bins)]
+        yield number, tree
+
+
+def drawn(keys: Sequence, number: int, s: Settings) -> np.ndarray:
+    """Which rows a tree is grown on: the draws of :func:`fit`'s filter on keys in memory, as bytes of their text; null is empty."""
+    if s.subsample >= 1:
+        return np.ones(len(keys), bool)
+    salt, least = f"{s.salt}|{number}", bytes.fromhex(threshold(s.subsample))
+    ends = {False: f"|{salt}".encode(), True: salt.encode()}
+    return np.fromiter((hashlib.md5(k + ends[not k]).digest()[:4] < least for k in keys), bool, len(keys))
+
+
 def cuts_of(df: DataFrame, columns: Sequence[str], missing: float = 0.0) -> list[np.ndarray]:
     """Upper bounds of all bins but the last, per column; missing values have no part in them."""
     steps = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
@@ -238,7 +302,7 @@ class Model:
 
     def steps(self) -> list[tuple]:
         """Each tree as arrays, and what its nodes add to the margin."""
-        return [(tree.arrays(), self.settings.step * np.array(tree.value)) for tree in self.trees]
+        return [(tree.arrays(), self.settings.step * np.asarray(tree.value)) for tree in self.trees]
 
     def margins(self, bins: np.ndarray) -> np.ndarray:
         return margins(self.base, self.steps(), bins)
@@ -251,8 +315,12 @@ def margins(base: float, steps: Sequence[tuple], bins: np.ndarray) -> np.ndarray
     return out
 
 
-def fit(df: DataFrame, key: str, label: str, columns: Sequence[str], settings: Settings, *, missing: float = 0.0, local: int = LOCAL) -> Model:
-    """Fit on the rows of ``df`` that have a label; the start is the mean label (its log odds for classes)."""
+def fit(df: DataFrame, key: str, label: str, columns: Sequence[str], settings: Settings, *, missing: float = 0.0, local: int | None = None) -> Model:
+    """Fit on the rows of ``df`` that have a label; the start is the mean label (its log odds for classes).
+
+    Tables of at most ``WHOLE`` values are fitted where their rows meet, all trees in one group; ``local`` puts that bound, and that of
+    a node's rows, at so many rows.
+    """
     known = df.where(F.col(label).isNotNull())
     cuts = cuts_of(known, columns, missing)
     rows = materialize(binned(known, key, label, columns, cuts, missing=missing), "binned")
@@ -261,18 +329,45 @@ def fit(df: DataFrame, key: str, label: str, columns: Sequence[str], settings: S
     model = Model(list(columns), cuts, settings, float(base))
     if not count:
         return model
+    layout = Layout(cuts)
+    if count <= (WHOLE // max(len(cuts), 1) if local is None else local):
+        model.trees += _whole_trees(rows, layout, float(base), settings)
+        superseded(rows)
+        return model
     state = rows.withColumn("margin", F.lit(float(base)))
     for number in range(settings.trees):
-        drawn = state if settings.subsample >= 1 else state.where(below(word(F.col("key"), f"{settings.salt}|{number}"), settings.subsample))
-        tree = _one_tree(drawn, Layout(cuts), settings, number, local)
+        some = state if settings.subsample >= 1 else state.where(below(word(F.col("key"), f"{settings.salt}|{number}"), settings.subsample))
+        tree = _one_tree(some, layout, settings, number, LOCAL if local is None else local)
         if tree is None:
             continue
-        model.trees.append(tree)
+        model.trees.append(tree.packed())
         if number + 1 < settings.trees:
-            state = materialize(_advance(state, tree, len(cuts), settings), "margins")
+            after = materialize(_advance(state, tree, len(cuts), settings), "margins")
+            superseded(state)
+            state = after
     return model
 
 
+def _whole_trees(rows: DataFrame, layout: Layout, base: float, s: Settings) -> Iterator[Tree]:
+    """All trees, grown by one task that reads every row and hands on each tree as it is done."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches, schema)
+        table = table.sort_by([(c, "ascending") for c in ("key", "y", "bins")])
+        keys = [b"" if k is None else str(k).encode() for k in table.column("key").to_pylist()]
+        y, bins = table.column("y").to_numpy(), _matrix(table.column("bins"), layout.columns)
+        del table
+        for number, tree in grow_all(keys, y, bins, base, s, layout):
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in vars(tree).values()]], names=["number", *KINDS])
+
+    schema = pa.schema([("key", pa.int64()), ("y", pa.float64()), ("bins", pa.binary())])
+    found = materialize(rows.select(schema.names).coalesce(1).mapInArrow(run, "number bigint, " + ", ".join(f"{n} binary" for n in KINDS)), "trees")
+    # a few at a time: together they may be larger than what a driver takes at once
+    for first in range(0, s.trees, 10):
+        for row in found.where(F.col("number").between(first, first + 9)).orderBy("number").collect():
+            yield Tree(**{n: np.frombuffer(row[n], kind) for n, kind in KINDS.items()})
+    superseded(found)
+
+
 def _one_tree(rows: DataFrame, layout: Layout, s: Settings, number: int, local: int) -> Tree | None:
     """Levels of large nodes by summed histograms, then every small node to its end in one group."""
     tree, waiting, level = Tree(), [], 0
@@ -308,7 +403,7 @@ def _totals(rows: DataFrame, s: Settings) -> tuple[int, float, float]:
 def _large_splits(rows: DataFrame, tree: Tree, nodes: list[int], layout: Layout, s: Settings, allowed: np.ndarray):
     place = np.full(len(tree.value), -1)
     place[nodes] = np.arange(len(nodes))
-    step, arrays = max(1, CELLS // layout.total), tree.arrays()
+    step, arrays = max(1, CELLS // (layout.total + 1)), tree.arrays()
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -317,26 +412,24 @@ def _large_splits(rows: DataFrame, tree: Tree, nodes: list[int], layout: Layout,
             here = at >= 0
             bins, g, h = bins[here], g[here], h[here]
             own, at = np.unique(at[here], return_inverse=True)
+            cells = layout.cells(bins)
             for first in range(0, len(own), step):
                 here = (at >= first) & (at < first + step)
-                sums = histograms(at[here] - first, bins[here], g[here], h[here], min(step, len(own) - first), layout)
-                i, cell = np.nonzero(sums[..., 2])
-                node, column, value = own[first + i], layout.column[cell], sums[i, cell]
-                yield _frame([node, column, cell - layout.start[column], *value.T], ("node", "column", "bin", "g", "h", "n"))
+                sums = histograms(at[here] - first, cells[here], g[here], h[here], min(step, len(own) - first), layout)
+                i, cell = np.nonzero(sums[2])
+                yield _frame([own[first + i], cell, *sums[:, i, cell]], ("node", "cell", "g", "h", "n"))
 
     def choose(cells: pa.Table) -> pa.Table:
-        sums = np.zeros((1, layout.total, 3))
-        at = layout.start[cells.column("column").to_numpy()] + cells.column("bin").to_numpy()
+        sums = np.zeros((3, 1, layout.total + 1))
         for k, c in enumerate("ghn"):
-            sums[0, at, k] = cells.column(c).to_numpy()
-        found = best_splits(sums, allowed, s, layout)[0]
-        if not found:
+            sums[k, 0, cells.column("cell").to_numpy()] = cells.column(c).to_numpy()
+        found = best_splits(sums, allowed, s, layout)[1:]
+        if not len(found[0]):
             return pa.table({n: pa.array([], t) for n, t in (("node", pa.int64()), ("found", pa.list_(pa.float64())))})
-        gain, column, bound, side, low, high = found
-        return pa.table({"node": cells.column("node")[:1], "found": [[gain, column, bound, float(side), *low, *high]]})
+        return pa.table({"node": cells.column("node")[:1], "found": [np.concatenate([x[:1].ravel() for x in found]).astype(float).tolist()]})
 
-    parts = rows.mapInArrow(add_up, "node bigint, column bigint, bin bigint, g double, h double, n double")
-    summed = parts.groupBy("node", "column", "bin").agg(*[F.sum(c).alias(c) for c in "ghn"])
+    parts = rows.mapInArrow(add_up, "node bigint, cell bigint, g double, h double, n double")
+    summed = parts.groupBy("node", "cell").agg(*[F.sum(c).alias(c) for c in "ghn"])
     for row in summed.groupBy("node").applyInArrow(choose, "node bigint, found array<double>").orderBy("node").collect():
         f = row["found"]
         yield nodes[row["node"]], f[0], int(f[1]), int(f[2]), bool(f[3]), f[4:7], f[7:10]
@@ -361,7 +454,8 @@ def _small_trees(rows: DataFrame, tree: Tree, levels: dict[int, int], layout: La
     def finish(group: pa.Table) -> pa.Table:
         group = group.sort_by("key")
         node = group.column("node")[0].as_py()
-        grown = grow(_matrix(group.column("bins"), layout.columns), group.column("g").to_numpy(), group.column("h").to_numpy(), s, layout, number, levels[node])
+        bins = _matrix(group.column("bins"), layout.columns)
+        grown = grow(bins, layout.cells(bins), group.column("g").to_numpy(), group.column("h").to_numpy(), s, layout, number, levels[node])
         return pa.table({"node": [node], **{n: [list(map(float, x))] for n, x in vars(grown).items()}})
 
     dealt = rows.mapInArrow(deal, "node bigint, key bigint, bins binary, g double, h double")

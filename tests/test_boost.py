@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cohortlake.functions import codes
 from cohortlake.operators import boost
 
 
@@ -118,3 +119,33 @@ def test_scoring_sends_arrays_made_once():
     assert b"cohortlake" not in pickle.dumps(steps)
     plain = [1.0 + 2 * 0.5 * (2.0 if a <= 1 else 5.0 if 0 < b <= 2 else 7.0) for a, b in bins]
     assert boost.margins(model.base, steps, bins).tolist() == plain == model.margins(bins).tolist()
+
+
+def test_draws_in_memory_are_those_of_the_filter(spark):
+    s = boost.Settings(subsample=0.4, salt="d")
+    keys = [None, *range(-3, 300)]
+    kept = spark.createDataFrame([(k,) for k in keys], "key bigint").where(boost.below(boost.word(F.col("key"), f"{s.salt}|7"), s.subsample)).collect()
+    in_memory = boost.drawn([b"" if k is None else str(k).encode() for k in keys], 7, s)
+    assert {r["key"] for r in kept} == {k for k, hit in zip(keys, in_memory) if hit} and 80 < len(kept) < 160
+
+
+@pytest.mark.parametrize("case", [1, 2])
+def test_a_table_fitted_in_one_task_has_the_trees_of_one_fitted_by_jobs(spark, case):
+    """With keys that are null or come twice."""
+    df, _ = table(spark, CASES[case].logistic)
+    df = df.unionAll(df.where("id < 20")).withColumn("id", F.expr("if(id % 13 = 0, null, id)"))
+    columns = ["a", "b", "c", "d"]
+    one, many = (boost.fit(df, "id", "y", columns, CASES[case], local=n) for n in (None, 30))
+    assert len(one.trees) == CASES[case].trees and any((t.feature >= 0).any() for t in one.trees)
+    scores = [sorted(r["prediction"] for r in boost.predict(m, df, "id", "y").collect()) for m in (one, many)]
+    np.testing.assert_allclose(*scores, rtol=1e-9)
+
+
+def test_the_chosen_classifier_grows_all_its_trees(spark):
+    """As many trees as the learner grows untold, on every column at every level."""
+    df, _ = table(spark, True)
+    s = boost.Settings(**codes.BOOSTED_CHOSEN)
+    model = boost.fit(df, "id", "y", ["a", "b", "c", "d"], s)
+    assert len(model.trees) == 100 and s.by_tree == s.by_level == 1.0
+    # a step of 0.005 needs them: the margins move
+    assert boost.predict(model, df, "id", "y").agg(F.max("prediction") - F.min("prediction")).first()[0] > 0.3
