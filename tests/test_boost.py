@@ -149,3 +149,9 @@ def test_the_chosen_classifier_grows_all_its_trees(spark):
     assert len(model.trees) == 100 and s.by_tree == s.by_level == 1.0
     # a step of 0.005 needs them: the margins move
     assert boost.predict(model, df, "id", "y").agg(F.max("prediction") - F.min("prediction")).first()[0] > 0.3
+
+
+def test_the_cost_settings_grow_all_their_trees(spark):
+    df, _ = table(spark, False)
+    model = boost.fit(df, "id", "y", ["a", "b", "c", "d"], boost.Settings(logistic=False, **codes.COST_BOOSTED))
+    assert len(model.trees) == 100 and sum((t.feature >= 0).any() for t in model.trees) > 90
