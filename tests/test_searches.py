@@ -44,3 +44,8 @@ def rows_seen(spark, member_table, monkeypatch):
 def test_elastic_net_is_searched_on_every_training_row(rows_seen):
     seen, whole = rows_seen(penalised, "choose", ml_plans.ml_elastic_net)
     assert seen == whole > 200
+
+
+def test_boosted_cost_is_searched_on_every_training_row(rows_seen):
+    seen, whole = rows_seen(ml, "choose_by_r2", ml_plans.ml_gbt_regressor)
+    assert seen == whole > 200
