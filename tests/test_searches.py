@@ -49,3 +49,8 @@ def test_elastic_net_is_searched_on_every_training_row(rows_seen):
 def test_boosted_cost_is_searched_on_every_training_row(rows_seen):
     seen, whole = rows_seen(ml, "choose_by_r2", ml_plans.ml_gbt_regressor)
     assert seen == whole > 200
+
+
+def test_the_forest_grid_is_searched_on_every_training_row(rows_seen):
+    seen, whole = rows_seen(trees, "search_forests", ml_plans.forest_points)
+    assert seen == whole > 200
