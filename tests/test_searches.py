@@ -54,3 +54,18 @@ def test_boosted_cost_is_searched_on_every_training_row(rows_seen):
 def test_the_forest_grid_is_searched_on_every_training_row(rows_seen):
     seen, whole = rows_seen(trees, "search_forests", ml_plans.forest_points)
     assert seen == whole > 200
+
+
+def test_the_boosted_classifier_is_searched_on_every_row_with_all_trees(rows_seen, monkeypatch):
+    seen, whole = rows_seen(ml, "choose_by_mcc", ml_plans.ml_gbt)
+    assert seen == whole > 200
+    points = []
+
+    def see(train, validation, stages, label, build, settings):
+        points.extend(settings)
+        raise Seen(0)
+
+    monkeypatch.setattr(ml, "choose_by_mcc", see)
+    with pytest.raises(Seen):
+        ml_plans.ml_gbt(None, "")
+    assert points and all(p["trees"] == 100 and p.get("subsample", 1.0) == 1.0 for p in points)
